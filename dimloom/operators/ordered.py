@@ -53,13 +53,17 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
 
 
 def ordered_window(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
-                   outputs: Sequence[Out], *, keys_from: DataFrame | None = None,
+                   outputs: Sequence[Out], *, keys_from: DataFrame | None = None, group_bound: int | None = None,
                    hot_rows: int = HOT_ROWS, segments: int | None = None) -> DataFrame:
     """Add window columns. ``order_by`` should end in a column that breaks ties.
 
     ``keys_from`` is a cheaper relation with at least as many rows per group, for
     instance the one table the group key comes from, to look for hot groups in.
+    ``group_bound`` is a known limit on the rows of a group; at or below ``hot_rows`` it
+    saves that look.
     """
+    if group_bound is not None and group_bound <= hot_rows:
+        return _plain(df, partition_by, order_by, outputs)
     if not partition_by:
         rows = (keys_from if keys_from is not None else df).count()
         if rows > hot_rows:
@@ -176,13 +180,20 @@ def ntile(df: DataFrame, buckets: int, order_by: Sequence[str], name: str, *,
     return numbered.withColumn(name, tile.cast("int")).drop("_rn")
 
 
+def has_hot_group(df: DataFrame, partition_by: Sequence[str], hot_rows: int, keys_from: DataFrame | None,
+                  group_bound: int | None) -> bool:
+    if group_bound is not None and group_bound <= hot_rows:
+        return False
+    counted = (keys_from if keys_from is not None else df).groupBy(*partition_by).count()
+    return not counted.where(F.col("count") > hot_rows).isEmpty()
+
+
 def rank(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], name: str, *,
-         keys_from: DataFrame | None = None, hot_rows: int = HOT_ROWS,
+         keys_from: DataFrame | None = None, group_bound: int | None = None, hot_rows: int = HOT_ROWS,
          segments: int | None = None) -> DataFrame:
     """RANK with gaps. Hot groups are ranked over their distinct values, with the row counts
     of equal values added up first, so neither a large group nor a large tie is one task."""
-    counted = (keys_from if keys_from is not None else df).groupBy(*partition_by).count()
-    if counted.where(F.col("count") > hot_rows).isEmpty():
+    if not has_hot_group(df, partition_by, hot_rows, keys_from, group_bound):
         w = W.partitionBy(*partition_by).orderBy(*[sort_column(c) for c in order_by])
         return df.withColumn(name, F.rank().over(w).cast("bigint"))
     keys = [*partition_by, *bare(order_by)]
@@ -193,17 +204,16 @@ def rank(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], na
 
 
 def running_sum(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], column: str,
-                name: str, *, frame: str = "range", keys_from: DataFrame | None = None,
+                name: str, *, frame: str = "range", keys_from: DataFrame | None = None, group_bound: int | None = None,
                 hot_rows: int = HOT_ROWS, segments: int | None = None) -> DataFrame:
     """Cumulative sum. ``range`` gives rows that tie in the order the same total (the SQL
     default); ``rows`` counts row by row and needs a tie-breaking order."""
     if frame == "rows":
         return ordered_window(df, partition_by, order_by, [Out(name, "running_sum", column)],
-                              keys_from=keys_from, hot_rows=hot_rows, segments=segments)
+                              keys_from=keys_from, group_bound=group_bound, hot_rows=hot_rows, segments=segments)
     if frame != "range":
         raise ValueError(f"unknown frame {frame}")
-    counted = (keys_from if keys_from is not None else df).groupBy(*partition_by).count()
-    if counted.where(F.col("count") > hot_rows).isEmpty():
+    if not has_hot_group(df, partition_by, hot_rows, keys_from, group_bound):
         w = W.partitionBy(*partition_by).orderBy(*[sort_column(c) for c in order_by])
         return df.withColumn(name, F.sum(column).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)))
     keys = [*partition_by, *bare(order_by)]

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from dimloom.plans import dims, facts, reports, views  # noqa: F401
+from dimloom.plans import dims, facts, reports, statements, views  # noqa: F401

@@ -307,6 +307,28 @@ class Staging:
 
         return date_dim_for(self.table("orders", ["o_orderdate"]), "o_orderdate")
 
+    # ---- the three small roles of the statement patterns -----------------
+    @cached_property
+    def pat_product(self) -> DataFrame:
+        return self.table("part").select(
+            F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") != 13, F.col("p_name")).alias("product_name"),
+            F.col("p_brand").alias("product_number"), F.col("p_type").alias("kind"), F.col("p_size").cast("bigint").alias("size"))
+
+    @cached_property
+    def pat_config(self) -> DataFrame:
+        return self.table("supplier").select(
+            F.col("s_suppkey").cast("string").alias("config_key"),
+            F.when(F.col("s_acctbal") > 1000, F.col("s_name")).alias("config_value"))
+
+    @cached_property
+    def pat_target(self) -> DataFrame:
+        """The dimension before a statement runs: larger products, some under an old or no name."""
+        size = F.col("p_size")
+        return self.table("part").where(size > 25).select(
+            F.when(size != 50, F.col("p_partkey").cast("string")).alias("alternate_key"),
+            F.when(size < 45, F.when(size < 35, F.concat(F.lit("old "), "p_name")).otherwise(F.col("p_name")))
+            .alias("product_name"))
+
     # ---- facts ---------------------------------------------------------
     @cached_property
     def fct_sales(self) -> DataFrame:
@@ -328,6 +350,15 @@ _CARD_CASE = "CASE c_custkey % 4 " + " ".join(
     f"WHEN {i} THEN '{c}'" for i, c in enumerate(CARD_TYPES)) + " END"
 
 STAGE_SQL: dict[str, str] = {
+    "pat_product": """
+        SELECT p_partkey AS product_id, CASE WHEN p_size <> 13 THEN p_name END AS product_name, p_brand AS product_number,
+               p_type AS kind, CAST(p_size AS BIGINT) AS size FROM part""",
+    "pat_config": """
+        SELECT CAST(s_suppkey AS VARCHAR) AS config_key, CASE WHEN s_acctbal > 1000 THEN s_name END AS config_value FROM supplier""",
+    "pat_target": """
+        SELECT CASE WHEN p_size <> 50 THEN CAST(p_partkey AS VARCHAR) END AS alternate_key,
+               CASE WHEN p_size < 35 THEN 'old ' || p_name WHEN p_size < 45 THEN p_name END AS product_name
+        FROM part WHERE p_size > 25""",
     "stg_customer": f"""
         SELECT c_custkey AS customer_id,
                CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_custkey END AS person_id,
