@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimloom.sources.files import Files
+
 MAX_COPY_LIMIT = 10_000  # fixed value: the upper bound of a capped table copy
 
 
@@ -130,28 +132,23 @@ def replace_rows(df: DataFrame, path: str) -> int:
     The new rows are written next to the target first and only then put in its place,
     so a failed write leaves the old table whole. The count is taken by the write itself.
     """
-    from pyspark.sql import Observation
-
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__incoming")
-    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__outgoing")
-    if not fs.exists(target) and fs.exists(old):
+    path = path.rstrip("/")
+    incoming, outgoing = f"{path}__incoming", f"{path}__outgoing"
+    files = Files(df.sparkSession, path)
+    if not files.exists(path) and files.exists(outgoing):
         # An earlier swap stopped half way: the old table is still whole, take it back.
-        fs.rename(old, target)
+        files.move(outgoing, path)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(staged.toString())
-    if fs.exists(target):
-        fs.delete(old, True)
-        if not fs.rename(target, old):
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(incoming)
+    if files.exists(path):
+        files.remove(outgoing)
+        if not files.move(path, outgoing):
             raise OSError(f"cannot move {path} aside")
-    if not fs.rename(staged, target):
-        if fs.exists(old):
-            fs.rename(old, target)
+    if not files.move(incoming, path):
+        if files.exists(outgoing):
+            files.move(outgoing, path)
         raise OSError(f"cannot put the new rows in place at {path}")
-    fs.delete(old, True)
+    files.remove(outgoing)
     return seen.get["rows"]
 
 
@@ -199,11 +196,12 @@ def export_seed(df: DataFrame, path: str) -> tuple[bool, int]:
     """
     spark = df.sparkSession
     rows, digest = content_signature(df)
-    try:
-        if content_signature(read_seed(spark, path, df.schema)) == (rows, digest):
-            return False, rows
-    except Exception:  # noqa: BLE001 - no earlier export, or one of another shape
-        pass
+    if Files(spark, path).exists(path):
+        try:
+            if content_signature(read_seed(spark, path, df.schema)) == (rows, digest):
+                return False, rows
+        except Exception:  # noqa: BLE001 - an earlier export of another shape is replaced
+            pass
     df.write.mode("overwrite").option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
     return True, rows
 
