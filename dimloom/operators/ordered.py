@@ -167,7 +167,7 @@ def ntile(df: DataFrame, buckets: int, order_by: Sequence[str], name: str, *,
     if rows <= hot_rows:
         w = W.orderBy(*[sort_column(c) for c in order_by])
         return df.withColumn(name, F.ntile(buckets).over(w))
-    numbered = row_numbers(df, order_by, "_rn", hot_rows=hot_rows, segments=segments)
+    numbered = row_numbers(df, order_by, "_rn", keys_from=keys_from, hot_rows=hot_rows, segments=segments)
     if keys_from is not None:
         rows = numbered.agg(F.max("_rn")).first()[0]
     size, longer = divmod(rows, buckets)

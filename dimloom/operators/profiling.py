@@ -19,7 +19,7 @@ PII_NAMES = ["email", "ssn", "social_security", "dob", "birth_date", "phone", "m
 PII_VALUES = {
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
     "ssn": r"^\d{3}-\d{2}-\d{4}$",
-    "phone": r"^\+?[\d(][\d() .-]{6,17}\d$",
+    "phone": r"^(?=.*[() .-])\+?[\d(][\d() .-]{6,17}\d$",
     "credit_card": r"^(?:\d[ -]?){13,16}$",
     "ip_address": r"^(?:\d{1,3}\.){3}\d{1,3}$",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dimloom.plans.staging import Staging, with_stage
+from dimloom.session import tune
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,11 @@ def plain_types(df: DataFrame) -> DataFrame:
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(entry: Entry):
-        return lambda spark, sf_dir: plain_types(entry.build(Staging(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return plain_types(entry.build(Staging(spark, sf_dir)))
+
+        return run
 
     return {name: bind(entry) for name, entry in REGISTRY.items()}
 

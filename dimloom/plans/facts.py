@@ -36,15 +36,14 @@ def sales_fact_rows(t: Staging, lines: DataFrame | None = None, *, address: str
         date_key("order_date").alias("date_key"))
     current = F.col("is_current")
     h = (
-        h.join(t.dim_customer.where(current).select("customer_id", "customer_key"), "customer_id")
+        h.join(t.customer_keys, "customer_id")
         .join(t.dim_address.where(current).select(F.col("address_id").alias("bill_to_address_id"), "address_key"),
               "bill_to_address_id", address)
         .join(t.dim_credit_card.where(current).select("credit_card_id", "credit_card_key"), "credit_card_id", "left")
         .join(F.broadcast(t.dim_order_status.select(F.col("order_status").alias("status"), "order_status_key")), "status")
     )
-    products = t.dim_product.where(current).select("product_id", "product_key")
     lines = lines if lines is not None else t.stg_sales_order_detail
-    return lines.join(h, "sales_order_id").join(products, "product_id").select(*FACT_COLUMNS)
+    return lines.join(h, "sales_order_id").join(t.product_keys, "product_id").select(*FACT_COLUMNS)
 
 
 def discount_filtered(t: Staging, rule: str) -> DataFrame:

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from dimloom.plans import checks, dims, facts, reports, statements, streams, views  # noqa: F401
+from dimloom.plans import checks, dims, facts, profiles, reports, statements, streams, views  # noqa: F401

@@ -43,6 +43,24 @@ NOW = "2001-08-01 00:00:00"
 LOAD_TIME = "2012-01-01 00:00:00"
 
 
+# The given tables, declared: reading one starts no job to look at its files.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def money(name: str):
     return F.col(name).cast("decimal(18,4)")
 
@@ -57,12 +75,16 @@ class Staging:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
     def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
-        return read_table(self.spark, self.path(name), columns)
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.path(name), schema=TABLES[name])
+        df = self._tables[name]
+        return df.select(*columns) if columns else df
 
     # ---- staging -----------------------------------------------------
     @cached_property
@@ -239,6 +261,15 @@ class Staging:
             F.lit(True).alias("is_current"),
         )
 
+    @cached_property
+    def customer_keys(self) -> DataFrame:
+        """The key columns of the current customers: looking a key up needs no names."""
+        return self.stg_customer.select("customer_id", (F.col("customer_id") + 1).alias("customer_key"))
+
+    @cached_property
+    def product_keys(self) -> DataFrame:
+        return self.stg_product.select("product_id", (F.col("product_id") + 1).alias("product_key"))
+
     @cached_property
     def product_enriched(self) -> DataFrame:
         # Subcategory and category are a few dozen rows built from part: no hint,

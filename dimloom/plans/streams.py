@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dimloom.plans.catalog import query
-from dimloom.plans.staging import Staging, ntz
+from dimloom.plans.staging import TABLES, Staging, ntz
 from dimloom.session import scratch_path
 from dimloom.streaming import loads as S
 
 
 def events(t: Staging) -> DataFrame:
-    return S.read_stream(t.spark, t.path("events"))
+    return S.read_stream(t.spark, t.path("events"), T.StructType.fromDDL(TABLES["events"]))
 
 
 def place(t: Staging, name: str) -> tuple[str, str]:

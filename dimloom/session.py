@@ -13,12 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Split a hot join key even where that costs a shuffle later on.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Before a query runs, sizes are guesses from compressed files: broadcast only what is
+    # small beyond doubt, and leave the rest to the sizes measured at run time.
+    "spark.sql.autoBroadcastJoinThreshold": "2m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16m",
 }
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply the settings above to a session, but for those its owner has set."""
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in SCALE_CONF.items():
+        if key not in given:
+            spark.conf.set(key, value)
+
+
 def local_session(app: str, cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
     partitions = cores if isinstance(cores, int) else (os.cpu_count() or 8)
@@ -30,9 +42,8 @@ def local_session(app: str, cores: int | str = "*", memory: str = "8g") -> Spark
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in SCALE_CONF.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    tune(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -14,9 +14,11 @@ from dimloom.sources.files import Files
 MAX_COPY_LIMIT = 10_000  # fixed value: the upper bound of a capped table copy
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Full scan; only the listed columns reach the file reader."""
-    df = spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+               schema: T.StructType | str | None = None) -> DataFrame:
+    """Full scan; only the listed columns reach the file reader. A declared schema saves the
+    job that would look at the files."""
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     return df.select(*columns) if columns else df
 
 
