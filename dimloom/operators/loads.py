@@ -125,18 +125,20 @@ def insert_only_merge(target: DataFrame, source: DataFrame, keys: Sequence[str])
 
 def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], tracked: Tracked, effective: Column | str, *,
                open_end: Column | None = None, surrogate: str | None = None, numbering: str = "sequence",
-               on_missing: str = "keep", duplicates: str = "error") -> DataFrame:
+               on_missing: str = "keep", duplicates: str = "error",
+               latest_by: Sequence[str] | None = None) -> DataFrame:
     """Close changed versions, open new ones, add new keys, leave the rest alone.
 
     One full outer join over the current rows decides all four cases, so running the
     same batch again changes nothing. ``effective`` is the change time, or the source
     column that holds it. ``open_end`` replaces the NULL end of an open version.
     ``surrogate`` names the surrogate key: numbered on from the highest one
-    (``sequence``) or a hash of key and start (``hash``).
+    (``sequence``) or a hash of key and start (``hash``). A repeated source key is an error, or
+    with ``duplicates="latest"`` the first row in the order of ``latest_by`` counts.
     """
     if on_missing not in ("keep", "expire"):
         raise ValueError(f"unknown on_missing {on_missing}")
-    source = one_per_key(source, keys, duplicates)
+    source = one_per_key(source, keys, duplicates, latest_by)
     current, history = target.where(F.col(CURRENT)), target.where(~F.col(CURRENT))
     joined = sides(current, source, keys)
     in_t, in_s = F.col("t").isNotNull(), F.col("s").isNotNull()

@@ -16,12 +16,12 @@ from dimloom.operators.relational import with_scalar
 # The names the profiling rules look for.
 PII_NAMES = ["email", "ssn", "social_security", "dob", "birth_date", "phone", "mobile", "address", "zip", "postal_code",
              "credit_card", "card_number", "passport", "national_id", "ip_address", "first_name", "last_name", "full_name"]
-PII_VALUES = {
+PII_VALUES = {  # the first match names the column
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
     "ssn": r"^\d{3}-\d{2}-\d{4}$",
-    "phone": r"^(?=.*[() .-])\+?[\d(][\d() .-]{6,17}\d$",
-    "credit_card": r"^(?:\d[ -]?){13,16}$",
     "ip_address": r"^(?:\d{1,3}\.){3}\d{1,3}$",
+    "credit_card": r"^(?:\d[ -]?){13,16}$",
+    "phone": r"^(?=.*[() .-])\+?[\d(][\d() .-]{6,17}\d$",
 }
 WATERMARK_NAMES = r"(modified|updated|load|etl|batch)(_at|_?date)$|(_dt|_ts|_dttm|_at|date)$|^ts$"
 START_NAMES = r"^(valid|effective|start)_?(from|date|start)$"
@@ -294,7 +294,9 @@ def classify_table(df: DataFrame, *, natural_key: Sequence[str] = (), foreign_ke
     if natural_key:
         several = not df.groupBy(*natural_key).count().where("count > 1").isEmpty()
     scd2 = [bool(surrogate) and bool(natural_key), versioned, several]
-    flags = [c for c in df.columns if profile[f"d_{c}"] <= 5 and c not in natural_key]
+    flags = [c for c, k in kinds.items() if c not in natural_key and (
+        isinstance(k, (T.BooleanType, *INTEGRAL)) and profile[f"d_{c}"] <= 5
+        or isinstance(k, T.StringType) and 2 <= profile[f"d_{c}"] <= 5)]
     open_milestones = [c for c in milestones if profile[f"n_{c}"] < rows]
 
     def answer(kind: str, confidence: str, why: str) -> DataFrame:

@@ -190,6 +190,10 @@ def content_signature(df: DataFrame) -> tuple[int, str]:
     return row["n"], str(row["h"])
 
 
+# Doubled quotes, NULL apart from the empty string, line breaks inside quotes.
+SEED_FORMAT = {"header": "true", "nullValue": "\\N", "escape": '"', "multiLine": "true"}
+
+
 def export_seed(df: DataFrame, path: str) -> tuple[bool, int]:
     """Write a table as CSV with a header, only if its content changed.
 
@@ -204,13 +208,12 @@ def export_seed(df: DataFrame, path: str) -> tuple[bool, int]:
                 return False, rows
         except Exception:  # noqa: BLE001 - an earlier export of another shape is replaced
             pass
-    df.write.mode("overwrite").option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").options(**SEED_FORMAT).csv(path)
     return True, rows
 
 
 def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("nullValue", "\\N")
-            .option("emptyValue", "").option("enforceSchema", False).csv(path))
+    return spark.read.schema(schema).options(**SEED_FORMAT).option("enforceSchema", False).csv(path)
 
 
 def referential_sample(parent: DataFrame, child: DataFrame, key: str, n: int,
