@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dimloom.functions.scalar import changed
 from dimloom.operators.ordered import row_numbers
-from dimloom.operators.relational import latest_per_key, with_scalar
+from dimloom.operators.relational import delete_where, latest_per_key, with_scalar
 from dimloom.session import materialize
 
 FROM, TO, CURRENT = "valid_from", "valid_to", "is_current"
@@ -243,8 +243,13 @@ def accumulating_snapshot(target: DataFrame, source: DataFrame, key: Sequence[st
     return out
 
 
-def periodic_snapshot(target: DataFrame, rows: DataFrame, period: str) -> DataFrame:
-    """Replace the periods the new rows cover; every other period stays."""
+def periodic_snapshot(target: DataFrame, rows: DataFrame, period: str, as_of: Column | None = None) -> DataFrame:
+    """Replace the periods the new rows cover; every other period stays.
+
+    With ``as_of`` only that period is replaced: a filter that prunes partitions, no join.
+    """
+    if as_of is not None:
+        return delete_where(target, F.col(period) == as_of).unionByName(rows)
     kept = target.join(rows.select(period).distinct(), period, "left_anti").select(*target.columns)
     return kept.unionByName(rows)
 

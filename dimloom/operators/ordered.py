@@ -23,7 +23,8 @@ HOT_ROWS = 2_000_000
 
 @dataclass(frozen=True)
 class Out:
-    """One output column: ``row_number``, ``lag`` (previous row) or ``running_sum``."""
+    """One output column: ``row_number``, ``lag`` (previous row), ``running_sum`` or
+    ``group_rows`` (rows in the whole group)."""
 
     name: str
     kind: str
@@ -92,6 +93,8 @@ def _plain(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
             cols[out.name] = F.lag(out.column).over(w)
         elif out.kind == "running_sum":
             cols[out.name] = F.sum(out.column).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+        elif out.kind == "group_rows":
+            cols[out.name] = F.count(F.lit(1)).over(W.partitionBy(*partition_by))
         else:
             raise ValueError(f"unknown window output {out.kind}")
     return df.withColumns(cols)
@@ -101,7 +104,7 @@ def _segmented(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[st
                outputs: Sequence[Out], segments: int | None) -> DataFrame:
     spark = df.sparkSession
     n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds come from a sample, so the cut is fixed once in a checkpoint.
+    # Range bounds come from a sample, so the cut is written once and then read.
     cut = materialize(
         df.repartitionByRange(n, *partition_by, *[sort_column(c) for c in order_by])
         .withColumn("_seg", F.spark_partition_id())
@@ -127,6 +130,7 @@ def _segmented(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[st
     carried = totals.select(
         "_seg", *part,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+        F.sum("_rows").over(W.partitionBy(*part)).alias("_rows_all"),
         *[F.sum(f"_sum_{c}").over(earlier).alias(f"_before_{c}") for c in sum_cols],
         *([F.lag("_tail").over(before).alias("_tail_before")] if lag_cols else []),
     )
@@ -137,6 +141,8 @@ def _segmented(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[st
         elif out.kind == "running_sum":
             local = local.withColumn(
                 out.name, F.sum(out.column).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        elif out.kind == "group_rows":
+            local = local.withColumn(out.name, F.count(F.lit(1)).over(W.partitionBy("_seg", *part)))
     # At most two rows per segment: bounded by the number of partitions.
     linked = match_keys(local, carried, ["_seg", *part], "left", broadcast=True)
     cols = {}
@@ -149,6 +155,8 @@ def _segmented(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[st
             start = F.col(f"_before_{out.column}")
             cols[out.name] = F.when(start.isNull(), F.col(out.name)).otherwise(
                 start + F.coalesce(F.col(out.name), F.lit(0)))
+        elif out.kind == "group_rows":
+            cols[out.name] = F.coalesce(F.col("_rows_all"), F.col(out.name))
         else:
             raise ValueError(f"unknown window output {out.kind}")
     return linked.withColumns(cols).select(*df.columns, *[o.name for o in outputs])

@@ -120,13 +120,25 @@ def not_in(left: DataFrame, left_col: str, right: DataFrame, right_col: str) ->
     left is dropped otherwise. The built-in form broadcasts its right side whatever its size.
     """
     values = right.select(F.col(right_col).alias("_v"))
-    facts = values.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_v").isNull()).alias("_nulls"))
     kept = left.join(values.where(F.col("_v").isNotNull()).distinct(), left[left_col] == F.col("_v"), "left_anti")
-    return with_scalar(kept, facts).where(
+    return with_scalar(kept, _in_facts(values)).where(
         (F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(left_col).isNotNull())
     ).drop("_n", "_nulls")
 
 
+def flag_not_in(left: DataFrame, left_col: str, right: DataFrame, right_col: str, name: str) -> DataFrame:
+    """The same test as a column: every row stays and says whether it would pass."""
+    values = right.select(F.col(right_col).alias("_v"))
+    known = values.where(F.col("_v").isNotNull()).distinct().withColumn("_hit", F.lit(True))
+    marked = with_scalar(left.join(known, left[left_col] == F.col("_v"), "left"), _in_facts(values))
+    passes = (F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(left_col).isNotNull() & F.col("_hit").isNull())
+    return marked.select(*left.columns, passes.alias(name))
+
+
+def _in_facts(values: DataFrame) -> DataFrame:
+    return values.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_v").isNull()).alias("_nulls"))
+
+
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
     """Attach the columns of a one-row relation as an uncorrelated scalar subquery."""
     row = scalar.select(F.struct(*scalar.columns).alias("_scalar")).scalar()

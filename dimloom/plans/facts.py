@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,25 +27,26 @@ FACT_OUT = """
 
 
 def sales_fact_rows(t: Staging, lines: DataFrame | None = None, *, address: str = "left",
-                    header: DataFrame | None = None) -> DataFrame:
+                    header: DataFrame | None = None, columns: Sequence[str] = FACT_COLUMNS) -> DataFrame:
     """Sale lines with the keys of the current dimension rows.
 
     The dimensions that hang off the order are resolved on the header, before the join
     with the many times larger lines. Only the six-row status table has a broadcast hint.
+    Address and card are left joins on unique keys: they change no rows, so a reader that
+    does not want their key does not pay for them.
     """
     h = (header if header is not None else t.stg_sales_order_header).select(
         "sales_order_id", "customer_id", "bill_to_address_id", "credit_card_id", "status",
         date_key("order_date").alias("date_key"))
-    current = F.col("is_current")
-    h = (
-        h.join(t.customer_keys, "customer_id")
-        .join(t.dim_address.where(current).select(F.col("address_id").alias("bill_to_address_id"), "address_key"),
-              "bill_to_address_id", address)
-        .join(t.dim_credit_card.where(current).select("credit_card_id", "credit_card_key"), "credit_card_id", "left")
-        .join(F.broadcast(t.dim_order_status.select(F.col("order_status").alias("status"), "order_status_key")), "status")
-    )
+    h = h.join(t.customer_keys, "customer_id").join(
+        F.broadcast(t.dim_order_status.select(F.col("order_status").alias("status"), "order_status_key")), "status")
+    if "address_key" in columns or address != "left":
+        h = h.join(t.dim_address.where("is_current").select(F.col("address_id").alias("bill_to_address_id"), "address_key"),
+                   "bill_to_address_id", address)
+    if "credit_card_key" in columns:
+        h = h.join(t.dim_credit_card.where("is_current").select("credit_card_id", "credit_card_key"), "credit_card_id", "left")
     lines = lines if lines is not None else t.stg_sales_order_detail
-    return lines.join(h, "sales_order_id").join(t.product_keys, "product_id").select(*FACT_COLUMNS)
+    return lines.join(h, "sales_order_id").join(t.product_keys, "product_id").select(*columns)
 
 
 def discount_filtered(t: Staging, rule: str) -> DataFrame:
@@ -151,7 +154,8 @@ ROLLUP_LEVELS = 4
 
 
 def sales_summary(t: Staging, dialect: str = "postgres") -> DataFrame:
-    base = t.fct_sales.join(F.broadcast(t.dim_date.select("date_key")), "date_key")
+    base = t.fact("date_key", "product_key", "sales_order_id", "order_qty", "line_total").join(
+        F.broadcast(t.dim_date.select("date_key")), "date_key")
     if dialect == "oracle":  # row count, and the level without a year is dropped
         totals = base.groupBy("date_key", "product_key").agg(
             F.sum("order_qty").alias("total_qty"), F.sum("line_total").alias("total_revenue"),
@@ -313,7 +317,7 @@ def load_inventory_snapshot(t: Staging) -> DataFrame:
             (F.col("p_size").cast("bigint") * factor).alias("units_on_hand"), F.col("p_retailprice").alias("unit_cost"))
 
     earlier = slice_of("2001-07-31", 1).unionByName(slice_of("2001-08-01", 1))
-    return periodic_snapshot(earlier, slice_of("2001-08-01", 2), "snapshot_date")
+    return periodic_snapshot(earlier, slice_of("2001-08-01", 2), "snapshot_date", F.lit("2001-08-01").cast("date"))
 
 
 HISTORY_SQL = f"""

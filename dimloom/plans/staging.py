@@ -368,6 +368,14 @@ class Staging:
 
         return sales_fact_rows(self)
 
+    def fact(self, *columns: str) -> DataFrame:
+        """Some columns of the fact: from the stored table once a load has written it."""
+        if "fct_sales" in self.__dict__:
+            return self.fct_sales.select(*columns)
+        from dimloom.plans.facts import sales_fact_rows
+
+        return sales_fact_rows(self, columns=columns)
+
     @cached_property
     def fct_sales_by_channel(self) -> DataFrame:
         from dimloom.plans.facts import sales_by_channel

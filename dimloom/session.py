@@ -74,7 +74,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor re-reads files
-    instead of recomputing, and later reads see exactly the same rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write the rows once below the shared folder and read them from there.
+
+    A lost executor then re-reads files instead of recomputing, and every later read sees
+    the same rows. A columnar table lets later reads skip columns, which a checkpoint's
+    row files would not.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

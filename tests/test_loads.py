@@ -127,6 +127,7 @@ def test_periodic_snapshot_and_partition_overwrite(spark, tmp_path):
     old = spark.createDataFrame([(1, "d1", 5), (1, "d2", 6)], "id int, day string, n int")
     new = spark.createDataFrame([(1, "d2", 7), (2, "d2", 8)], "id int, day string, n int")
     assert rows(L.periodic_snapshot(old, new, "day")) == [(1, "d1", 5), (1, "d2", 7), (2, "d2", 8)]
+    assert rows(L.periodic_snapshot(old, new, "day", F.lit("d2"))) == rows(L.periodic_snapshot(old, new, "day"))
     path = str(tmp_path / "snap")
     L.write_periods(old, path, "day")
     L.write_periods(new, path, "day")

@@ -25,10 +25,11 @@ def skewed(spark):
 def test_segmented_row_number_lag_and_sum(skewed, segments):
     w = W.partitionBy("g").orderBy("x", "id")
     plain = skewed.select("id", F.row_number().over(w).cast("bigint").alias("rn"), F.lag("v").over(w).alias("p"),
-                          F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"))
-    got = ordered_window(skewed, ["g"], ["x", "id"], [Out("rn", "row_number"), Out("p", "lag", "v"), Out("s", "running_sum", "v")],
-                         hot_rows=20, segments=segments)
-    assert rows(got, "id", "rn", "p", "s") == rows(plain)
+                          F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"),
+                          F.count(F.lit(1)).over(W.partitionBy("g")).alias("n"))
+    got = ordered_window(skewed, ["g"], ["x", "id"], [Out("rn", "row_number"), Out("p", "lag", "v"), Out("s", "running_sum", "v"),
+                                          Out("n", "group_rows")], hot_rows=20, segments=segments)
+    assert rows(got, "id", "rn", "p", "s", "n") == rows(plain)
 
 
 def test_descending_order(skewed):

@@ -16,7 +16,10 @@ def test_not_in_follows_sql(spark, left, right):
     a, b = frame(spark, left), frame(spark, right, "y int")
     a.createOrReplaceTempView("not_in_a")
     b.createOrReplaceTempView("not_in_b")
-    assert rows(R.not_in(a, "x", b, "y")) == rows(spark.sql("SELECT x FROM not_in_a WHERE x NOT IN (SELECT y FROM not_in_b)"))
+    wanted = rows(spark.sql("SELECT x FROM not_in_a WHERE x NOT IN (SELECT y FROM not_in_b)"))
+    assert rows(R.not_in(a, "x", b, "y")) == wanted
+    flagged = R.flag_not_in(a, "x", b, "y", "ok")
+    assert rows(flagged.where("ok"), "x") == wanted and flagged.count() == len(left)
 
 
 def test_delete_keeps_unknown(spark):
