@@ -6,6 +6,8 @@ checkpoint, so the plan of level 20 is as small as that of level 1.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ MAX_DEPTH = 20  # fixed value: how deep a dependency walk goes
 
 
 def hierarchy(df: DataFrame, key: str, parent: str, name: str, *, separator: str = " > ", path_length: int = 500,
-              max_depth: int = MAX_DEPTH) -> DataFrame:
+              max_depth: int | None = None) -> DataFrame:
     """Walk down from the rows without a parent: level, parent's name, path of names.
 
-    Rows below a cycle are never reached, as with a recursive query; the depth cap stops
-    a walk that would not end. Direct reports are counted over all rows.
+    The walk goes on until a level is empty; ``max_depth`` ends it on purpose. Rows on a
+    cycle of their own are never reached, as with a recursive query. More levels than rows
+    mean that repeated keys form a cycle the walk can enter: that is an error. Direct
+    reports are counted over all rows.
     """
     base = materialize(df.select(
         F.col(key).alias("_id"), F.col(parent).alias("_up"), F.col(name).alias("_name")))
@@ -28,7 +32,12 @@ def hierarchy(df: DataFrame, key: str, parent: str, name: str, *, separator: str
         "_id", "_up", "_name", F.lit(None).cast("string").alias("_up_name"), F.lit(1).alias("_level"),
         F.substring("_name", 1, path_length).alias("_path")))
     found = level
-    for depth in range(2, max_depth + 1):
+    most = base.count()
+    for depth in count(2):
+        if max_depth is not None and depth > max_depth:
+            break
+        if depth > most + 1:
+            raise ValueError("the hierarchy has a cycle through a repeated key")
         above = level.select(F.col("_id").alias("_pid"), F.col("_name").alias("_pname"), F.col("_path").alias("_ppath"))
         level = materialize(base.join(above, F.col("_up") == F.col("_pid")).select(
             "_id", "_up", "_name", F.col("_pname").alias("_up_name"), F.lit(depth).alias("_level"),
@@ -63,7 +72,7 @@ def transitive_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFram
     return found
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame, max_levels: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Parallel batches: level 0 depends on nothing, each later level only on earlier ones.
 
     ``src`` depends on ``dst``. Nodes on or behind a cycle get no level.
@@ -74,7 +83,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame, max_levels: int = 100
     inside = edges.select("src", "dst").distinct().join(known, F.col("dst") == F.col("_n"), "left_semi")
     waiting, blocking = nodes, materialize(inside.join(known, F.col("src") == F.col("_n"), "left_semi"))
     out = None
-    for level in range(max_levels):
+    for level in count():
         ready = materialize(waiting.join(blocking.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break

@@ -120,6 +120,16 @@ class Scd2Stream:
         self.table.write(merged, batch_id, ["is_current"])
 
 
+    def trim(self, keep: int = 2) -> None:
+        """Remove the current rows of all but the newest ``keep`` batches: readers no longer look
+        at them. Keep at least two, so the newest batch can still be replayed."""
+        if keep < 2:
+            raise ValueError("a replay of the newest batch needs the current rows before it")
+        files = Files(self.table.spark, self.table.path)
+        for batch in self.table.batches()[:-keep]:
+            files.remove(f"{self.table.folder(batch)}/is_current=true")
+
+
 def drop_duplicates(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
     """One row per key among rows at most ``delay`` apart, within and across batches."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))

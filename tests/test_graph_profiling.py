@@ -25,10 +25,16 @@ def test_hierarchy_levels_paths_and_counts(spark):
     assert H.hierarchy(staff, "id", "up", "name", path_length=5).where("id = 4").first()["manager_path"] == "A > B"
 
 
-def test_deep_chain_stays_within_the_cap(spark):
-    chain = spark.range(1, 41).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("up"), F.col("id").cast("string").alias("name"))
-    assert H.hierarchy(chain, "id", "up", "name").count() == 20
-    assert H.hierarchy(chain, "id", "up", "name", max_depth=60).count() == 40
+def test_deep_chain_is_walked_to_its_end(spark):
+    chain = spark.range(1, 26).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("up"), F.col("id").cast("string").alias("name"))
+    assert H.hierarchy(chain, "id", "up", "name").count() == 25
+    assert H.hierarchy(chain, "id", "up", "name", max_depth=20).count() == 20
+
+
+def test_cycle_through_a_repeated_key_is_an_error(spark):
+    staff = spark.createDataFrame([(1, None, "A"), (2, 1, "B"), (2, 3, "B"), (3, 2, "C")], "id int, up int, name string")
+    with pytest.raises(ValueError, match="cycle"):
+        H.hierarchy(staff, "id", "up", "name")
 
 
 def test_closure_with_a_cycle(spark):

@@ -64,6 +64,9 @@ def test_scd2_stream_equals_batch(spark, inbox, tmp_path):
                            latest_by=["-ts"]).checkpoint()
     assert compare(dim.read(), table).first()["equivalent"]
     assert rows(dim.read().where("is_current"), "id", "v") == [(1, "A"), (2, "B"), (3, "c")]
+    before = rows(dim.read())
+    dim.trim()
+    assert rows(dim.read()) == before and dim.table.read().where("is_current").select("batch").distinct().count() == 2
     assert rows(dim.read().where("NOT is_current"), "id", "v", "valid_to") == [(1, "a", day(2)), (2, "b", day(3))]
 
 
