@@ -507,10 +507,10 @@ def table_function(t):
     return t.table("customer", ["c_custkey"]).join(big, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
 
 
-@query("pipelined_function", "UDF", """
+@query("row_generator", "UDF", """
     SELECT part, COUNT(*) AS orders FROM (
         SELECT unnest(string_split(o_orderpriority, '-')) AS part FROM orders) x GROUP BY 1""")
-def pipelined_function(t):
+def row_generator(t):
     """A function that yields several rows per row: a generator, inside the JVM."""
     return t.table("orders").select(F.explode(F.split("o_orderpriority", "-")).alias("part")).groupBy("part").agg(
         F.count(F.lit(1)).alias("orders"))
