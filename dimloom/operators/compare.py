@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dimloom.functions.scalar import row_hash
-from dimloom.operators.relational import with_scalar
 
 COUNT_NAMES = ("a_count", "b_count", "a_minus_b", "b_minus_a", "equivalent")
 
 
-def multiset_diff(a: DataFrame, b: DataFrame, as_text: bool = True) -> DataFrame:
-    """Rows whose number of copies differs, with both counts.
+def copies(a: DataFrame, b: DataFrame, as_text: bool = True) -> DataFrame:
+    """Every distinct row with its number of copies on either side.
 
-    One shuffle: both sides are counted together, so copies of a row are added up
-    before they move. ``as_text`` compares values by their text, columns by name.
+    One scan of each side and one shuffle: both are counted together, so copies of a row are
+    added up before they move.
     """
     cols = sorted(a.columns)
     if cols != sorted(b.columns):
@@ -29,19 +28,28 @@ def multiset_diff(a: DataFrame, b: DataFrame, as_text: bool = True) -> DataFrame
         vals = [F.col(f"`{c}`").cast("string").alias(c) if as_text else F.col(f"`{c}`") for c in cols]
         return df.select(*vals, F.lit(in_a).alias("_a"), F.lit(1 - in_a).alias("_b"))
 
-    return (side(a, 1).unionByName(side(b, 0)).groupBy(*[f"`{c}`" for c in cols])
-            .agg(F.sum("_a").alias("a_copies"), F.sum("_b").alias("b_copies"))
-            .where(F.col("a_copies") != F.col("b_copies")))
+    return side(a, 1).unionByName(side(b, 0)).groupBy(*[f"`{c}`" for c in cols]).agg(
+        F.sum("_a").alias("a_copies"), F.sum("_b").alias("b_copies"))
+
+
+def multiset_diff(a: DataFrame, b: DataFrame, as_text: bool = True) -> DataFrame:
+    """Rows whose number of copies differs, with both counts.
+
+    ``as_text`` compares values by their text, columns by name.
+    """
+    return copies(a, b, as_text).where(F.col("a_copies") != F.col("b_copies"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: row counts, rows only on either side (with multiplicity), equivalent."""
-    diff = multiset_diff(a, b).agg(
-        F.coalesce(F.sum(F.greatest(F.col("a_copies") - F.col("b_copies"), F.lit(0))), F.lit(0)).alias("a_minus_b"),
-        F.coalesce(F.sum(F.greatest(F.col("b_copies") - F.col("a_copies"), F.lit(0))), F.lit(0)).alias("b_minus_a"))
-    counts = with_scalar(a.agg(F.count(F.lit(1)).alias("a_count")), b.agg(F.count(F.lit(1)).alias("b_count")))
-    return with_scalar(counts, diff).withColumn(
-        "equivalent", (F.col("a_minus_b") == 0) & (F.col("b_minus_a") == 0)).select(*COUNT_NAMES)
+    def total(c) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    extra = F.col("a_copies") - F.col("b_copies")
+    return copies(a, b).agg(
+        total("a_copies").alias("a_count"), total("b_copies").alias("b_count"),
+        total(F.greatest(extra, F.lit(0))).alias("a_minus_b"), total(F.greatest(-extra, F.lit(0))).alias("b_minus_a"),
+    ).withColumn("equivalent", (F.col("a_minus_b") == 0) & (F.col("b_minus_a") == 0))
 
 
 # Words that make a statement more than a query.

@@ -253,18 +253,24 @@ def scd2_health(df: DataFrame, keys: Sequence[str], start: str = "valid_from", e
     """
     lagged = ordered_window(df, keys, [start], [Out("_prev_end", "lag", end), Out("_pos", "row_number")], **window)
     has_prev = F.col("_pos") > 1
-    rows = lagged.agg(
-        F.count(F.lit(1)).alias("versions"),
-        F.count_if(has_prev & (F.col("_prev_end").isNull() | (F.col("_prev_end") > F.col(start)))).alias("overlaps"),
-        F.count_if(has_prev & (F.col("_prev_end") < F.col(start))).alias("gaps"),
-        F.count_if(F.col(end) < F.col(start)).alias("inverted"),
-        F.count_if(F.col(end).isNull() != F.col(current)).alias("flag_mismatch"))
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(current)).alias("_cur")).agg(
-        F.count(F.lit(1)).alias("keys"), F.count_if(F.col("_n") > 1).alias("versioned_keys"),
-        F.count_if(F.col("_cur") > 1).alias("many_current"), F.count_if(F.col("_cur") == 0).alias("no_current"))
-    return with_scalar(rows, per_key).withColumn(
-        "healthy", (F.col("overlaps") == 0) & (F.col("many_current") == 0) & (F.col("inverted") == 0)
-        & (F.col("flag_mismatch") == 0))
+    # The keys are in place already: adding up per key first costs no shuffle.
+    per_key = lagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(current)).alias("_cur"),
+        F.count_if(has_prev & (F.col("_prev_end").isNull() | (F.col("_prev_end") > F.col(start)))).alias("_overlaps"),
+        F.count_if(has_prev & (F.col("_prev_end") < F.col(start))).alias("_gaps"),
+        F.count_if(F.col(end) < F.col(start)).alias("_inverted"),
+        F.count_if(F.col(end).isNull() != F.col(current)).alias("_mismatch"))
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    return per_key.agg(
+        total("_n").alias("versions"), total("_overlaps").alias("overlaps"), total("_gaps").alias("gaps"),
+        total("_inverted").alias("inverted"), total("_mismatch").alias("flag_mismatch"), F.count(F.lit(1)).alias("keys"),
+        F.count_if(F.col("_n") > 1).alias("versioned_keys"), F.count_if(F.col("_cur") > 1).alias("many_current"),
+        F.count_if(F.col("_cur") == 0).alias("no_current"),
+    ).withColumn("healthy", (F.col("overlaps") == 0) & (F.col("many_current") == 0) & (F.col("inverted") == 0)
+                 & (F.col("flag_mismatch") == 0))
 
 
 def classify_table(df: DataFrame, *, natural_key: Sequence[str] = (), foreign_keys: Sequence[str] = (),
