@@ -46,7 +46,7 @@ def sales_fact_rows(t: Staging, lines: DataFrame | None = None, *, address: str
     if "credit_card_key" in columns:
         h = h.join(t.dim_credit_card.where("is_current").select("credit_card_id", "credit_card_key"), "credit_card_id", "left")
     lines = lines if lines is not None else t.stg_sales_order_detail
-    return lines.join(h, "sales_order_id").join(t.product_keys, "product_id").select(*columns)
+    return lines.join(h, "sales_order_id").join(t.product_keys.drop("product_name"), "product_id").select(*columns)
 
 
 def discount_filtered(t: Staging, rule: str) -> DataFrame:

@@ -268,7 +268,8 @@ class Staging:
 
     @cached_property
     def product_keys(self) -> DataFrame:
-        return self.stg_product.select("product_id", (F.col("product_id") + 1).alias("product_key"))
+        """Key and name of the current products: neither needs the category tables."""
+        return self.stg_product.select("product_id", (F.col("product_id") + 1).alias("product_key"), "product_name")
 
     @cached_property
     def product_enriched(self) -> DataFrame:
