@@ -128,13 +128,13 @@ def junk_dim(df: DataFrame, flags: Sequence[str], mode: str = "distinct", max_ro
     if mode == "distinct":
         combos = df.select(*flags).distinct()
     elif mode == "cross":
-        sizes = df.agg(*[F.countDistinct(c).alias(c) for c in flags])
+        sizes = df.agg(*[F.countDistinct(F.struct(c)).alias(c) for c in flags])
         product = 1
         for n in sizes.first():
             product *= max(n, 1)
         if product > max_rows:
             raise ValueError(f"{product} flag combinations exceed {max_rows}")
-        combos = df.select(flags[0]).where(F.col(flags[0]).isNotNull()).distinct()
+        combos = df.select(flags[0]).distinct()
         for c in flags[1:]:
             combos = explode_axis(combos, df, c, max_rows)
     else:
@@ -207,16 +207,15 @@ def minidimension(df: DataFrame, bands: Mapping[str, Column], key: str = "mini_k
     return keyed.drop(*bands), keyed.select(key, *bands).distinct()
 
 
-def coverage_gaps(expected: Sequence[DataFrame], events: DataFrame, keys: Sequence[str],
-                  max_side: int = 100_000) -> DataFrame:
+def coverage_gaps(expected: Sequence[DataFrame], events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected combinations without an event.
 
-    The first of ``expected`` may be of any size; each further one is a one-column axis
-    of at most ``max_side`` values, since the combinations are what the report is about.
+    The first of ``expected`` may have several columns, each further one is an axis of one
+    column. The combinations are what the report is about; they are spread, not looped over.
     """
     spine = expected[0].distinct()
     for axis in expected[1:]:
-        spine = explode_axis(spine, axis, axis.columns[0], max_side)
+        spine = explode_axis(spine, axis, axis.columns[0])
     return spine.join(events.select(*keys).distinct(), list(keys), "left_anti")
 
 

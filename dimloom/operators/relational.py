@@ -147,16 +147,25 @@ def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
 
 
 def explode_axis(df: DataFrame, axis: DataFrame, column: str, max_values: int = 100_000) -> DataFrame:
-    """Every row once per distinct value of a small axis (CROSS JOIN with a bounded side).
+    """Every row once per distinct value of an axis (CROSS JOIN with the axis).
 
-    The axis is checked first: above ``max_values`` it is an error. Its values travel as
-    one array, so the rows neither move nor meet in a nested loop.
+    Up to ``max_values`` values travel as one array, so the rows neither move nor meet in a
+    nested loop. A longer axis is cut into chunks and the rows are salted; an equi join on
+    (chunk, salt) then makes the same pairs, spread over all tasks.
     """
     values = axis.select(column).distinct()
-    if values.limit(max_values + 1).count() > max_values:
-        raise ValueError(f"axis {column} has more than {max_values} values")
-    array = values.agg(F.collect_set(column).alias("_axis"))
-    return with_scalar(df, array).withColumn(column, F.explode("_axis")).drop("_axis")
+    size = values.limit(max_values + 1).count()
+    if size <= max_values:
+        array = values.agg(F.collect_set(F.struct(column)).alias("_axis"))
+        spread = with_scalar(df, array).withColumn("_axis", F.explode("_axis"))
+        return spread.select(*df.columns, F.col(f"_axis.{column}").alias(column))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = -(-values.count() // max_values)
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    right = values.withColumn("_chunk", F.pmod(F.xxhash64(column), F.lit(chunks))).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.join(right, ["_chunk", "_salt"]).select(*df.columns, column)
 
 
 def compare_to_group(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:

@@ -24,10 +24,9 @@ SCALE_CONF = {
 
 
 def tune(spark: SparkSession) -> None:
-    """Apply the settings above to a session, but for those its owner has set."""
-    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    """Apply the settings above where the session's owner has set nothing."""
     for key, value in SCALE_CONF.items():
-        if key not in given:
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 
 

@@ -42,6 +42,8 @@ def test_junk_dimension_modes(spark):
     assert seen.count() == 3 and every.count() == 4
     assert seen.join(every, "flag_key").count() == 3
     assert df.withColumn("flag_key", D.junk_key(["x", "y"])).join(seen, "flag_key").count() == 4
+    with_null = df.unionByName(spark.createDataFrame([(None, "a")], "x boolean, y string"))
+    assert D.junk_dim(with_null, ["x", "y"], "cross").count() == 6
     with pytest.raises(ValueError, match="exceed"):
         D.junk_dim(df, ["x", "y"], "cross", max_rows=3)
 

@@ -79,12 +79,14 @@ def test_pivot_unpivot_roundtrip(spark):
         (1, "A", 5), (1, "B", 7), (2, "A", 1), (2, "B", 0)]
 
 
-def test_axis_has_a_checked_size(spark):
-    df = frame(spark, [1, 2])
-    axis = spark.range(5).toDF("day")
-    assert R.explode_axis(df, axis, "day").count() == 10
-    with pytest.raises(ValueError, match="more than 4"):
-        R.explode_axis(df, axis, "day", 4)
+@pytest.mark.parametrize("limit", [100, 4, 1])
+def test_axis_of_any_size_gives_every_pair(spark, limit):
+    df = frame(spark, [1, 2, 2, None])
+    axis = frame(spark, [10, 11, 11, 12, 13, None], "day int")
+    out = R.explode_axis(df, axis, "day", limit)
+    assert rows(out) == rows(df.crossJoin(axis.distinct()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_batches_and_audit(spark):
