@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimloom.functions.scalar import changed
-from dimloom.operators.ordered import row_numbers
+from dimloom.operators.ordered import Out, ordered_window, row_numbers
 from dimloom.operators.relational import delete_where, latest_per_key, with_scalar
 from dimloom.session import materialize
 
@@ -185,6 +185,41 @@ def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], tracke
         numbered.withColumn(surrogate, F.col(surrogate).cast(kinds[surrogate])))
 
 
+def scd2_history(current: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Tracked, effective: str,
+                 **window) -> DataFrame:
+    """SCD2 where one batch may hold several changes of a key: each makes its own version.
+
+    The current row and the changes of a key are put in order; a change equal to the one
+    before it makes no version, and each version ends where the next begins. Changes must
+    be newer than the current version (see ``split_late``).
+    """
+    skip = {FROM, TO, CURRENT}
+    have = set(changes.columns)
+    kinds = {f.name: f.dataType for f in current.schema.fields}
+    rest = [c for c in changes.columns if c not in keys and c != effective]
+    single = dedup(changes, [*keys, effective], rest) if rest else changes.distinct()
+    fresh = single.select(*[
+        (F.col(effective) if c == FROM else F.lit(True) if c == CURRENT
+         else F.col(c) if c in have and c not in skip else F.lit(None)).cast(kinds[c]).alias(c) for c in current.columns])
+    rows = current.unionByName(fresh)
+    seen = ordered_window(rows, keys, [FROM], [
+        Out("_pos", "row_number"), *[Out(f"_p_{c}", "lag", c) for c in tracked]], **window)
+    moved = change_test(tracked, lambda c: F.col(f"_p_{c}"), F.col)
+    kept = seen.where((F.col("_pos") == 1) | moved).select(*current.columns)
+    # The next start is the previous row of the reversed order.
+    chained = ordered_window(kept, keys, [f"-{FROM}"], [Out("_next", "lag", FROM)], **window)
+    return chained.withColumns({
+        TO: F.coalesce(F.col("_next"), F.col(TO)), CURRENT: F.col("_next").isNull()}).select(*current.columns)
+
+
+def split_late(current: DataFrame, changes: DataFrame, keys: Sequence[str], effective: str) -> tuple[DataFrame, DataFrame]:
+    """(changes newer than their key's current version, the others)."""
+    starts = current.select(*keys, F.col(FROM).alias("_from"))
+    marked = changes.join(starts, list(keys), "left")
+    late = F.coalesce(F.col(effective) <= F.col("_from"), F.lit(False))
+    return marked.where(~late).select(*changes.columns), marked.where(late).select(*changes.columns)
+
+
 def assign_surrogate_keys(new_rows: DataFrame, name: str, order_by: Sequence[str], start: DataFrame | int = 0,
                           **kw) -> DataFrame:
     """Number only the new rows, from ``start`` (a number or a one-row relation) + 1 upwards."""

@@ -39,16 +39,14 @@ USER_DIM = "user_id bigint, event_type string, valid_from timestamp_ntz, valid_t
 
 
 @query("stream_scd2", "X2 M8", """
-    WITH last AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) x WHERE rn = 1),
-    start AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
-    SELECT s.user_id, 'error' AS event_type, TIMESTAMP '2023-01-01' AS valid_from,
-           CASE WHEN l.event_type <> 'error' THEN l.ts END AS valid_to, l.event_type = 'error' AS is_current
-    FROM start s JOIN last l ON l.user_id = s.user_id
-    UNION ALL
-    SELECT l.user_id, l.event_type, l.ts, NULL, TRUE FROM last l
-    WHERE l.user_id NOT IN (SELECT user_id FROM start) OR l.event_type <> 'error'""")
+    WITH changes AS (SELECT DISTINCT user_id, 'error' AS event_type, TIMESTAMP '2023-01-01' AS ts FROM events WHERE event_type = 'error'
+                     UNION ALL SELECT user_id, event_type, ts FROM events),
+    seen AS (SELECT *, ROW_NUMBER() OVER w AS pos, LAG(event_type) OVER w AS prev FROM changes WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    kept AS (SELECT * FROM seen WHERE pos = 1 OR event_type IS DISTINCT FROM prev)
+    SELECT user_id, event_type, ts AS valid_from, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to,
+           LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS is_current FROM kept""")
 def stream_scd2(t: Staging) -> DataFrame:
-    """Users' last event type, versioned by event time, on top of an earlier state."""
+    """Users' event types as versions by event time, on top of an earlier state."""
     path, progress = place(t, "scd2")
     before = t.table("events").where("event_type = 'error'").select("user_id").distinct().select(
         "user_id", F.lit("error").alias("event_type"), ntz("2023-01-01 00:00:00").alias("valid_from"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimloom.operators.loads import Tracked, apply_changes, dedup, incremental_append, scd2_merge
+from dimloom.operators.loads import Tracked, apply_changes, dedup, incremental_append, scd2_history, split_late
 from dimloom.operators.quality import freshness
 from dimloom.operators.relational import latest_per_key, with_scalar
 from dimloom.sources.files import Files
@@ -96,13 +96,18 @@ class UpsertLog:
 class Scd2Stream:
     """SCD2 on a stream. A batch writes the versions it closed and the new current rows.
 
-    Closed versions are never read or rewritten again by later batches; readers take the closed
-    versions of all batches and the current rows of the newest.
+    Several changes of a key in one batch make several versions, so the result does not
+    depend on where one batch ends. A change that is not newer than its key's current version
+    goes to the late table. Closed versions are never read or rewritten by later batches;
+    readers take the closed versions of all batches and the current rows of the newest.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], tracked: Tracked,
                  effective: str, start: DataFrame | None = None):
-        self.table = BatchTable(spark, path, schema)
+        self.table = BatchTable(spark, f"{path.rstrip('/')}/versions", schema)
+        change = T.StructType([f for f in schema.fields if f.name not in ("valid_from", "valid_to", "is_current")]
+                              + [T.StructField(effective, schema["valid_from"].dataType)])
+        self.late = BatchTable(spark, f"{path.rstrip('/')}/late", change)
         self.keys, self.tracked, self.effective = list(keys), tracked, effective
         if start is not None and not self.table.batches():
             self.table.write(start, -1, ["is_current"])
@@ -115,9 +120,9 @@ class Scd2Stream:
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         current = self.read(before=batch_id).where("is_current")
-        changes = dedup(batch, self.keys, [f"-{self.effective}"])
-        merged = scd2_merge(current, changes, self.keys, self.tracked, self.effective, duplicates="trusted")
-        self.table.write(merged, batch_id, ["is_current"])
+        newer, late = split_late(current, batch.select(*self.late.schema.names), self.keys, self.effective)
+        self.late.write(late, batch_id)
+        self.table.write(scd2_history(current, newer, self.keys, self.tracked, self.effective), batch_id, ["is_current"])
 
 
     def trim(self, keep: int = 2) -> None:

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimloom.operators.loads import scd2_merge
 from dimloom.operators.compare import compare
+from dimloom.operators.loads import scd2_history
 from dimloom.streaming import loads as S
 from tests.conftest import rows
 
@@ -55,19 +55,33 @@ def test_replayed_batch_leaves_the_same_table(spark, inbox, tmp_path):
 DIM = "id bigint, v string, valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean"
 
 
-def test_scd2_stream_equals_batch(spark, inbox, tmp_path):
-    dim = S.Scd2Stream(spark, str(tmp_path / "dim"), T.StructType.fromDDL(DIM), ["id"], {"v": "null_safe"}, "ts")
+def scd2(spark, path):
+    return S.Scd2Stream(spark, str(path), T.StructType.fromDDL(DIM), ["id"], {"v": "null_safe"}, "ts")
+
+
+def test_scd2_stream_versions_and_late_rows(spark, inbox, tmp_path):
+    dim = scd2(spark, tmp_path / "dim")
     S.run(stream(spark, inbox[0]), dim.on_batch, str(tmp_path / "cp"))
-    table = spark.createDataFrame([], DIM)
-    for b in inbox[1]:
-        table = scd2_merge(table, spark.createDataFrame(b, KIND), ["id"], {"v": "null_safe"}, "ts", duplicates="latest",
-                           latest_by=["-ts"]).checkpoint()
-    assert compare(dim.read(), table).first()["equivalent"]
     assert rows(dim.read().where("is_current"), "id", "v") == [(1, "A"), (2, "B"), (3, "c")]
+    assert rows(dim.read().where("NOT is_current"), "id", "v", "valid_to") == [(1, "a", day(2)), (2, "b", day(3))]
+    # the last batch repeats a row of the first: not newer, so it is set aside
+    assert rows(dim.late.read(), "id", "v", "ts") == [(2, "b", day(1))]
     before = rows(dim.read())
     dim.trim()
     assert rows(dim.read()) == before and dim.table.read().where("is_current").select("batch").distinct().count() == 2
-    assert rows(dim.read().where("NOT is_current"), "id", "v", "valid_to") == [(1, "a", day(2)), (2, "b", day(3))]
+
+
+def test_scd2_stream_does_not_depend_on_batch_borders(spark, tmp_path):
+    data = [(1, "a", day(1)), (1, "b", day(2)), (1, "b", day(3)), (1, "a", day(4)), (2, "x", day(1)), (2, None, day(5))]
+    one, many = scd2(spark, tmp_path / "one"), scd2(spark, tmp_path / "many")
+    one.on_batch(spark.createDataFrame(data, KIND), 0)
+    for i, row in enumerate(sorted(data, key=lambda r: r[2])):
+        many.on_batch(spark.createDataFrame([row], KIND), i)
+    assert compare(one.read(), many.read()).first()["equivalent"]
+    assert rows(one.read(), "id", "v", "valid_to") == rows(spark.createDataFrame([
+        (1, "a", day(2)), (1, "b", day(4)), (1, "a", None), (2, "x", day(5)), (2, None, None)], "id bigint, v string, t timestamp_ntz"))
+    hot = scd2_history(spark.createDataFrame([], DIM), spark.createDataFrame(data, KIND), ["id"], {"v": "null_safe"}, "ts", hot_rows=1, segments=3)
+    assert compare(hot, one.read()).first()["equivalent"]
 
 
 def test_append_new_across_batches(spark, inbox, tmp_path):
