@@ -112,7 +112,7 @@ def stream_freshness(t: Staging) -> DataFrame:
     """Judged 30 hours after the newest event."""
     path, progress = place(t, "freshness")
     newest = t.table("events").agg(F.max("ts")).first()[0]
-    now = F.lit(newest) + F.expr("interval 30 hours")
+    now = ntz(newest.isoformat(" ")) + F.expr("interval 30 hours")
     table = S.BatchTable(t.spark, path, T.StructType.fromDDL("max_loaded_at timestamp_ntz, age_hours bigint, status string"))
-    S.run(events(t), S.monitor_freshness(table, "ts", now.cast("timestamp_ntz")), progress)
+    S.run(events(t), S.monitor_freshness(table, "ts", now), progress)
     return table.read().drop("batch")
