@@ -417,10 +417,3 @@ def run_steps(spark: SparkSession, steps: Sequence[tuple[str, Callable[[], DataF
             raise RuntimeError(f"step {number} ({name}) failed: {error}") from error
         report.append((number, name, "ok", rows if isinstance(rows, int) else None, None))
     return spark.createDataFrame(report, STEP_REPORT)
-
-
-def with_late_flag(fact: DataFrame, event_time: str, loaded_time: Column, days: int) -> DataFrame:
-    """Mark facts that arrive more than ``days`` after they happened."""
-    return fact.withColumn("is_late", F.datediff(loaded_time, F.col(event_time)) > days)
-
-
