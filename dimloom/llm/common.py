@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dimloom.session import SCALE_CONF, materialize
 
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 # A word, by the ASCII white space of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows that may be sent to every task. At some tens of bytes a row this is a few MB.
@@ -22,6 +25,10 @@ def prepare(spark: SparkSession) -> None:
     for key, value in (SCALE_CONF | {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}).items():
         if spark.conf.get(key, None) is None or (key.endswith("PerBatch") and int(spark.conf.get(key)) > int(value)):
             spark.conf.set(key, value)
+    # Python workers import this package from where the driver has it, unless it is installed for them.
+    seen = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in seen:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, seen)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

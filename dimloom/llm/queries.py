@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dimloom.llm import mixing, packing, quality, secrets, tokens
-from dimloom.llm.common import prepare, table
+from dimloom.llm import mixing, neighbours, packing, quality, secrets, simhash, tokens, urls
+from dimloom.llm.common import table
+from dimloom.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,11 +29,26 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The rules of the URL filter: verdict, and host with path.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@query
+def op2_markov_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 @query
 def op3_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), word_vocabulary(), SEQUENCE)
 
 
+@query
+def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.search(rows, F.col("vec_id") % 50 == 0, 5)
+
+
 @query
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
@@ -56,6 +71,13 @@ def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(F.transform("secrets", place), ",").alias("spans"))
 
 
+@query
+def op9_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = materialize(simhash.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text")))
+    found = simhash.near_duplicates(hashed)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op10_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
