@@ -87,13 +87,13 @@ def measure(text: bytes) -> tuple[int, ...]:
     return len(words), chars, len(_SYMBOLS.findall(text)), repeated, repeated_words(words), lines
 
 
-def text_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` without its text and with the features; every other column is kept. A null text counts as empty.
+def text_features(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df`` with the features, and without its text unless ``keep_text``; every other column is kept.
 
-    Names that clash with a feature are replaced by the feature.
+    A null text counts as empty. Columns named like a feature are replaced by the feature.
     """
     names = [f.split()[0] for f in FEATURES.split(", ")]
-    others = [c for c in df.columns if c != text and c not in names]
+    others = [c for c in df.columns if (keep_text or c != text) and c not in names]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others] + [FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +105,6 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in others], F.col(text)).mapInArrow(run, schema)
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """``text_features``, written out: the features are read twice, the texts once."""
-    return materialize(text_features(df, text))
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -187,26 +182,37 @@ def _everything():
     return Window.partitionBy(F.lit(0))
 
 
-def judge(features: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", risk: Risk = Risk()) -> DataFrame:
-    """Add ``base_failed`` and ``kept`` to the rows of ``text_features``.
+def learn(features: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", risk: Risk = Risk()) -> DataFrame:
+    """The certified cutoffs, written out: one row per stratum, one column per rule, null where the rule rejects nothing.
 
-    ``labels`` has ``key`` and ``quality`` (1 is good); null keys or qualities take no part, and a document labelled both ways counts as
-    both. Rows are matched by key, so repeated documents stay. A null stratum is a stratum of its own, spelled ''. Without
-    labels nothing but the base rules rejects.
+    ``features`` are the rows of ``text_features``. ``labels`` has ``key`` and ``quality`` (1 is good); null keys or qualities
+    take no part, and a document labelled both ways counts as both.
     """
-    features = features.withColumn("base_failed", base_failed())
     shown = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).select(
         F.col(key).alias("_key"), (F.col("quality") == 1).alias("_good")).distinct()
     values = rule_values()
-    group = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    labelled = (features.where(~F.col("base_failed"))
-                .select(F.col(key).alias("_key"), group.alias("_stratum"), *[v.alias(k) for k, v in values.items()])
+    labelled = (features.where(~base_failed())
+                .select(F.col(key).alias("_key"), stratum_of(stratum).alias("_stratum"), *[v.alias(k) for k, v in values.items()])
                 .join(shown, "_key"))
     chosen = choose_cutoffs(labelled, "_stratum", "_good", risk)
-    wide = materialize(chosen.groupBy("_stratum").agg(*[
+    return materialize(chosen.groupBy("_stratum").agg(*[
         F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in values]))
-    rows = join_small(features.withColumn("_stratum", group), wide, ["_stratum"], "left")
+
+
+def stratum_of(column: str) -> Column:
+    """A null stratum is a stratum of its own, spelled ''."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def judge(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """Add ``base_failed`` and ``kept`` to the rows of ``text_features``.
+
+    Rows stay one by one, repeated ones too. Without a cutoff nothing but the base rules rejects.
+    """
+    values = rule_values()
+    rows = join_small(features.withColumn("_stratum", stratum_of(stratum)), cutoffs, ["_stratum"], "left")
     rejected = F.lit(False)
     for rule, value in values.items():
         rejected = rejected | F.coalesce(value >= F.col(f"_cut_{rule}"), F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"_cut_{r}" for r in values])
+    return (rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+            .drop("_stratum", *[f"_cut_{r}" for r in values]))

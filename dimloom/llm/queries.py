@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimloom.llm import mixing, neighbours, packing, quality, secrets, simhash, tokens, urls
+from dimloom.llm import mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens, urls
 from dimloom.llm.common import table
 from dimloom.session import materialize
 
@@ -29,6 +29,11 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_template_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 # The rules of the URL filter: verdict, and host with path.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -49,6 +54,11 @@ def op4_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, F.col("vec_id") % 50 == 0, 5)
 
 
+@query
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
@@ -80,6 +90,7 @@ def op9_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    judged = quality.judge(quality.measured(docs), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    # The features are read twice, the texts once.
+    features = materialize(quality.text_features(table(spark, sf_dir, "documents", "doc_id", "lang", "text")))
+    judged = quality.judge(features, quality.learn(features, table(spark, sf_dir, "labels", "doc_id", "quality")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

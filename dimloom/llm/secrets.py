@@ -29,6 +29,9 @@ _HEX = re.compile(r"[0-9a-f]+")
 # The two patterns below assign need 20 characters at least, all of them candidate characters.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
+_PART = re.compile(r"[A-Za-z0-9]{20,}")
+# A URL or an address that runs up to the candidate.
+_URL_START = re.compile(r"(?:://|www\.|@)[^\s\"'<>]*\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORDS = re.compile(r"[A-Za-z]?[a-z]+([-_/=][A-Za-z]?[a-z]*)*|[A-Z]+([-_/=][A-Z]*)*")
 _RULER = re.compile(r"(.)\1*|[-_=+/]+|(0123456789|1234567890|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ)+")
@@ -49,7 +52,7 @@ def window_spans(text: str, limit: float, width: int) -> list[tuple[int, int]]:
     """Spans covered by windows of ``width`` characters with an entropy of at least ``limit`` bits."""
     if len(text) < width:
         return []
-    log = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    log = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     most = (math.log2(width) - limit) * width + 1e-9
     counts: dict[str, int] = {}
     weighted, spans = 0.0, []
@@ -72,6 +75,16 @@ def window_spans(text: str, limit: float, width: int) -> list[tuple[int, int]]:
     return spans
 
 
+def merged_spans(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def character_class(text: str, rules: EntropyRules) -> float | None:
     """The entropy limit of the string's class; None for strings that are words or a known harmless form."""
     if _WORDS.fullmatch(text) or _UUID.search(text) or _RULER.fullmatch(text):
@@ -98,14 +111,16 @@ def find_spans(text: str, rules: EntropyRules) -> list[tuple[str, int, int]]:
         found += [("hex", at + m.start(), at + m.end()) for m in _HEX.finditer(word) if len(m[0]) >= 24]
     known = sorted((s, e) for _, s, e in found)
     for run in runs:
-        limit = character_class(run[0], rules)
-        if limit is None or any(a in run[0] for a in rules.allow):
-            continue
-        before = text[max(0, run.start() - 8):run.start()]
-        if before.endswith(("://", "www.", "@")):
+        if any(a in run[0] for a in rules.allow) or _URL_START.search(text, max(0, run.start() - 2000), run.start()):
             continue
-        for s, e in window_spans(run[0], limit, rules.width):
-            s, e = s + run.start(), e + run.start()
+        suspicious = []
+        # The whole run by its own class, and its parts between separators by theirs.
+        for part in dict.fromkeys([run[0], *_PART.findall(run[0])]):
+            limit = character_class(part, rules)
+            if limit is not None:
+                at = run.start() + run[0].index(part)
+                suspicious += [(at + s, at + e) for s, e in window_spans(part, limit, rules.width)]
+        for s, e in merged_spans(suspicious):
             if not any(a < e and s < b for a, b in known):
                 found.append(("entropy", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))

@@ -283,7 +283,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(hashed: DataFrame, id_column: str = "doc_id", budget: int = BUDGET, split: int = SPLIT) -> DataFrame:
-    """Add ``component_id`` to rows with a fingerprint: the smallest id among all rows reachable over links.
+    """Add ``component_id``, the smallest id among all rows reachable over links, and ``class_fp``, a name of the class.
 
     ``hashed`` holds ``fp`` and should be written out. Equal fingerprints are one node, whatever their number.
     Rows with a null id link like others and count as larger than any id; a component of null ids only has a null.
@@ -292,6 +292,19 @@ def near_duplicates(hashed: DataFrame, id_column: str = "doc_id", budget: int =
     parts = materialize(components(trie_links(nodes.select("fp"), budget, split)))
     linked = parts.join(nodes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("_first").alias("component_id"))
-    by_node = parts.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    final = materialize(nodes.join(by_node, "fp", "left").select("fp", F.coalesce("component_id", "_first").alias("component_id")))
+    by_node = parts.join(least, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    final = materialize(nodes.join(by_node, "fp", "left").select(
+        "fp", F.coalesce("component_id", "_first").alias("component_id"), F.coalesce("root", "fp").alias("class_fp")))
     return hashed.join(final, "fp")
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
+    """``df`` with one row of each component: the one with the smallest id, null last; of repeated rows any one."""
+    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    own_id, own_text = (f"_c{df.columns.index(c)}" for c in (id_column, text))
+    rows = plain.withColumn("_row", F.monotonically_increasing_id()).withColumn("_text", F.col(own_text))
+    rows = materialize(fingerprints(rows, "_text", tuple(c for c in rows.columns if c != "_text")))
+    found = near_duplicates(rows.select(F.col(own_id).alias("_id"), "_row", "fp"), "_id", budget)
+    first = found.groupBy("class_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).getField("_row").alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*[
+        F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])
