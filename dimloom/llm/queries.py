@@ -94,3 +94,28 @@ def op10_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = materialize(quality.text_features(table(spark, sf_dir, "documents", "doc_id", "lang", "text")))
     judged = quality.judge(features, quality.learn(features, table(spark, sf_dir, "labels", "doc_id", "quality")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op6_pareto_mix"] = r"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    s AS (SELECT *, CAST([3, 1, 2][1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w
+          FROM (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source) x),
+    -- In the order in which sources reach their limit: what each would get if just those before it were at theirs.
+    k AS (SELECT *, 2.0 * source_size AS most,
+                 (SELECT 1.5 * SUM(source_size) FROM s) - coalesce(SUM(2.0 * source_size) OVER before, 0) AS rest,
+                 (SELECT SUM(w) FROM s) - coalesce(SUM(w) OVER before, 0) AS weights
+          FROM s WINDOW before AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (SELECT CAST(rest / weights AS DOUBLE) AS level FROM k WHERE w * rest / weights <= most
+              ORDER BY 2.0 * source_size / w, source NULLS LAST LIMIT 1),
+    t AS (SELECT source, source_size, CAST(least(2.0 * source_size, w * level) AS DOUBLE) AS target FROM s, level),
+    c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS wanted,
+                 (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    p AS (SELECT *, CAST(floor(wanted + 1e-12) AS BIGINT) AS certain, least(greatest(wanted - floor(wanted + 1e-12), 1e-9), 1 - 1e-9) AS chance FROM c),
+    r AS (SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS odds, greatest(target - certain * source_size, 0) AS budget FROM p),
+    q AS (SELECT *, coalesce(SUM(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= budget AS inside FROM r),
+    g AS (SELECT *, budget - coalesce(SUM(CASE WHEN inside THEN size END) OVER (PARTITION BY source), 0) AS gap FROM q),
+    f AS (SELECT *, NOT inside AND abs(size - gap) < gap AS fits FROM g),
+    h AS (SELECT *, fits AND ROW_NUMBER() OVER (PARTITION BY source, fits ORDER BY abs(size - gap), odds, doc_id) = 1 AS last FROM f)
+    SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN inside OR last THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM h"""
