@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from dimloom.llm.common import texts
 
-# Distinct pieces a process remembers, per memory. Beyond that it starts anew; the results are the same.
-MEMORY = 400_000
+# Distinct pieces a process remembers. Beyond that it starts anew; the results are the same.
+MEMORY = 700_000
 # Longer pieces are worked out each time.
 LONGEST_KEPT = 64
 
@@ -29,6 +29,8 @@ _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]*")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_TAIL = b".,;:!?%#$*&|"
+_ODD = re.compile("[\x80-\xa0\xad]")
 # What the pattern above was written for; files with another one take the library's way throughout.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -64,33 +66,39 @@ class _Memory(dict):
         if not all("<|" in s for s in self.special):
             raise ValueError("the added tokens of this file are not of the form <|name|>")
         self.own_cut = _PATTERN in json.loads(self.tok.to_str())["pre_tokenizer"].__repr__().replace("\\\\", "\\")
-        self.parts: dict[str, object] = {}
+        # How the library writes bytes: most as the character of that number, these otherwise. They end letters from U+0100 on.
+        self.odd = {b: w for b in [*range(0x80, 0xA1), 0xAD] for w in [self.tok.pre_tokenizer.pre_tokenize_str(chr(0x80 + b))[0][0][-1]]}
 
     def room(self) -> None:
         """To be called between texts, not while pieces of one are looked up."""
         if len(self) > MEMORY:
             self.clear()
-        if len(self.parts) > MEMORY:
-            self.parts.clear()
 
-    def __missing__(self, piece: bytes):
-        text = piece.decode("utf-8", "replace")
-        if "<|" in text and any(s in text for s in self.special):
-            return self.listed(self.tok.encode(text, add_special_tokens=False).ids)
-        low = text.lower()
-        parts = self.parts
-        value = parts.get(low)
+    def part(self, key: bytes):
+        """The value of one plain, lower-case pre-token. As a piece it has the same value, so both share the memory."""
+        value = self.get(key)
         if value is None:
+            written = key.decode("latin-1")
+            value = self.merged(written.translate(self.odd) if _ODD.search(written) else written)
+            if len(key) <= LONGEST_KEPT:
+                self[key] = value
+        return value
+
+    def __missing__(self, piece: bytes):
+        low = piece.lower()
+        stem = low.rstrip(_TAIL)
+        if self.own_cut and stem.isalpha():  # ASCII letters and punctuation behind them: two pre-tokens at most
+            value = self.part(stem)
+            if len(stem) < len(low):
+                value += self.part(low[len(stem):])
+        else:
+            text = piece.decode("utf-8", "replace")
+            if "<|" in text and any(s in text for s in self.special):
+                return self.listed(self.tok.encode(text, add_special_tokens=False).ids)
             value = self.empty
             if self.own_cut and _PLAIN.fullmatch(text):
-                for part in _PARTS.findall(low):
-                    known = parts.get(part)
-                    if known is None:
-                        known = self.merged(part if part.isascii() else "".join(
-                            p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(part)))
-                        if len(part) <= LONGEST_KEPT:
-                            parts[part] = known
-                    value += known
+                for part in _PARTS.findall(text.lower()):
+                    value += self.part(part.encode())
             else:
                 for part, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text)):
                     value += self.merged(part)
