@@ -78,6 +78,20 @@ def row_hash(cols: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def exact_key(cols: Sequence[str]) -> Column:
+    """The columns' values in one text that no other values give: each with its length, null apart from ''."""
+    parts = []
+    for c in cols:
+        text = F.col(f"`{c}`").cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def exact_hash(cols: Sequence[str]) -> Column:
+    """SHA-256 over the values as they are: case, white space and the place of a null count."""
+    return F.sha2(exact_key(cols), 256)
+
+
 def hex_text(col: Column) -> Column:
     """Bytes as lower-case hexadecimal text."""
     return F.lower(F.hex(col))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimloom.functions.scalar import row_hash
+from dimloom.functions.scalar import exact_hash
 
 COUNT_NAMES = ("a_count", "b_count", "a_minus_b", "b_minus_a", "equivalent")
 
@@ -134,10 +134,13 @@ def examples(a: DataFrame, b: DataFrame, n: int = 5) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], hash_col: str | None = None) -> DataFrame:
-    """new / changed / unchanged / removed per key. A missing old hash counts as changed."""
+    """new / changed / unchanged / removed per key. A missing old hash counts as changed.
+
+    Values are compared as they are, letter case and white space included, unless ``hash_col`` holds hashes of another kind.
+    """
     def side(df: DataFrame, name: str) -> DataFrame:
         rest = sorted(c for c in df.columns if c not in keys)
-        digest = F.col(hash_col) if hash_col else row_hash(rest)
+        digest = F.col(hash_col) if hash_col else exact_hash(rest)
         return df.select(*keys, digest.alias(f"_{name}"), F.lit(True).alias(f"_in_{name}"))
 
     joined = side(old, "old").join(side(new, "new"), list(keys), "full_outer")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dimloom.functions.scalar import exact_key
 from dimloom.operators.loads import CURRENT, one_per_key, scd2_merge, sides
 from dimloom.operators.ordered import match_keys
 from dimloom.operators.relational import explode_axis
@@ -118,34 +119,26 @@ def apply_scd(target: DataFrame, source: DataFrame, keys: Sequence[str], policy:
     return scd2_merge(corrected, source, keys, versioned, effective, duplicates="trusted")
 
 
-def junk_dim(df: DataFrame, flags: Sequence[str], mode: str = "distinct", max_rows: int = 100_000,
-             key: str = "flag_key") -> DataFrame:
+def junk_dim(df: DataFrame, flags: Sequence[str], mode: str = "distinct", key: str = "flag_key") -> DataFrame:
     """Flag combinations under one key: those that occur, or every possible one.
 
-    The key is a hash of the flags, so fact rows compute it without a join. ``cross``
-    fails above ``max_rows`` combinations instead of building them.
+    The key is a hash of the flags, so fact rows compute it without a join. With ``cross`` the result is as long as
+    the product of the flags' numbers of values.
     """
     if mode == "distinct":
         combos = df.select(*flags).distinct()
     elif mode == "cross":
-        sizes = df.agg(*[F.countDistinct(F.struct(c)).alias(c) for c in flags])
-        product = 1
-        for n in sizes.first():
-            product *= max(n, 1)
-        if product > max_rows:
-            raise ValueError(f"{product} flag combinations exceed {max_rows}")
         combos = df.select(flags[0]).distinct()
         for c in flags[1:]:
-            combos = explode_axis(combos, df, c, max_rows)
+            combos = explode_axis(combos, df, c)
     else:
         raise ValueError(f"unknown mode {mode}")
     return combos.select(junk_key(flags).alias(key), *flags)
 
 
 def junk_key(flags: Sequence[str]) -> Column:
-    """The junk dimension key of a row."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in flags]
-    return F.md5(F.concat_ws("|", *parts))
+    """The junk dimension key of a row; each value goes in with its length, so no two rows share a text."""
+    return F.md5(exact_key(flags))
 
 
 def role_play(fact: DataFrame, dim: DataFrame, key: str, roles: Mapping[str, str],

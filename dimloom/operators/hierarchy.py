@@ -10,27 +10,29 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dimloom.operators.relational import apply_aggregate
-from dimloom.session import materialize
+from dimloom.session import materialize, scratch_path
 
-MAX_DEPTH = 20  # fixed value: how deep a dependency walk goes
 
-
-def hierarchy(df: DataFrame, key: str, parent: str, name: str, *, separator: str = " > ", path_length: int = 500,
+def hierarchy(df: DataFrame, key: str, parent: str, name: str, *, separator: str = " > ", path_length: int | None = None,
               max_depth: int | None = None) -> DataFrame:
     """Walk down from the rows without a parent: level, parent's name, path of names.
 
     The walk goes on until a level is empty; ``max_depth`` ends it on purpose. Rows on a
     cycle of their own are never reached, as with a recursive query. More levels than rows
     mean that repeated keys form a cycle the walk can enter: that is an error. Direct
-    reports are counted over all rows.
+    reports are counted over all rows. Paths are whole unless ``path_length`` cuts them.
     """
+    def cut(path):
+        return path if path_length is None else F.substring(path, 1, path_length)
+
     base = materialize(df.select(
         F.col(key).alias("_id"), F.col(parent).alias("_up"), F.col(name).alias("_name")))
     level = materialize(base.where("_up IS NULL").select(
         "_id", "_up", "_name", F.lit(None).cast("string").alias("_up_name"), F.lit(1).alias("_level"),
-        F.substring("_name", 1, path_length).alias("_path")))
+        cut(F.col("_name")).alias("_path")))
     found = level
     most = base.count()
     for depth in count(2):
@@ -41,7 +43,7 @@ def hierarchy(df: DataFrame, key: str, parent: str, name: str, *, separator: str
         above = level.select(F.col("_id").alias("_pid"), F.col("_name").alias("_pname"), F.col("_path").alias("_ppath"))
         level = materialize(base.join(above, F.col("_up") == F.col("_pid")).select(
             "_id", "_up", "_name", F.col("_pname").alias("_up_name"), F.lit(depth).alias("_level"),
-            F.substring(F.concat("_ppath", F.lit(separator), "_name"), 1, path_length).alias("_path")))
+            cut(F.concat("_ppath", F.lit(separator), "_name")).alias("_path")))
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -53,23 +55,34 @@ def hierarchy(df: DataFrame, key: str, parent: str, name: str, *, separator: str
         F.col("_path").alias("manager_path"), "direct_reports_count")
 
 
-def transitive_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every (src, dst) connected by a path, with its shortest length; src = dst marks a cycle.
 
-    Each round joins only the pairs found in the round before.
+    Each round joins only the pairs found in the round before and appends what is new to a table of its own;
+    the walk ends when a round finds nothing, or at ``max_depth`` on purpose.
     """
+    spark = edges.sparkSession
+    root = scratch_path(spark, "closure")
     step = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    found = step.withColumn("depth", F.lit(1))
-    frontier = step
+    kinds = T.StructType([*step.schema.fields, T.StructField("depth", T.IntegerType())])
     out = step.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
-    for depth in range(2, max_depth + 1):
-        grown = frontier.select("src", F.col("dst").alias("_mid")).join(out, F.col("_mid") == F.col("_a")).select(
+
+    def part(depth: int) -> DataFrame:
+        return spark.read.schema(step.schema).parquet(f"{root}/depth={depth}")
+
+    def found() -> DataFrame:
+        return spark.read.schema(kinds).parquet(root)
+
+    step.write.parquet(f"{root}/depth=1")
+    for depth in count(2):
+        if max_depth is not None and depth > max_depth:
+            break
+        grown = part(depth - 1).select("src", F.col("dst").alias("_mid")).join(out, F.col("_mid") == F.col("_a")).select(
             "src", F.col("_b").alias("dst")).distinct()
-        frontier = materialize(grown.join(found, ["src", "dst"], "left_anti"))
-        if frontier.isEmpty():
+        grown.join(found().select("src", "dst"), ["src", "dst"], "left_anti").write.parquet(f"{root}/depth={depth}")
+        if part(depth).isEmpty():
             break
-        found = materialize(found.unionByName(frontier.withColumn("depth", F.lit(depth))))
-    return found
+    return found()
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -96,7 +109,7 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return stuck if out is None else out.unionByName(stuck)
 
 
-def edge_findings(edges: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH, deep: int = 5) -> DataFrame:
+def edge_findings(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None, deep: int = 5) -> DataFrame:
     """Cycles, references to unknown nodes and chains deeper than ``deep``, one row per finding."""
     known = nodes.select(F.col("node").alias("_n")).distinct()
     dangling = edges.join(known, F.col("dst") == F.col("_n"), "left_anti").select(
@@ -118,7 +131,7 @@ def invert_references(refs: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or("is_updated"), F.lit(False)).alias("is_written"))
 
 
-def indirect_writers(calls: DataFrame, writes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def indirect_writers(calls: DataFrame, writes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Routines that write a table only through the routines they call."""
     closure = transitive_closure(calls, max_depth)
     direct = writes.select("src", "dst").distinct()

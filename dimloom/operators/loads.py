@@ -139,7 +139,9 @@ def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], tracke
     if on_missing not in ("keep", "expire"):
         raise ValueError(f"unknown on_missing {on_missing}")
     source = one_per_key(source, keys, duplicates, latest_by)
-    current, history = target.where(F.col(CURRENT)), target.where(~F.col(CURRENT))
+    # A row without a flag is not current; it stays as it is.
+    flag = F.coalesce(F.col(CURRENT), F.lit(False))
+    current, history = target.where(flag), target.where(~flag)
     joined = sides(current, source, keys)
     in_t, in_s = F.col("t").isNotNull(), F.col("s").isNotNull()
     when = F.col(f"s.{effective}") if isinstance(effective, str) else effective
@@ -171,17 +173,19 @@ def scd2_merge(target: DataFrame, source: DataFrame, keys: Sequence[str], tracke
         if isinstance(effective, str):
             raise ValueError("expiring missing keys needs an effective time that does not come from the source")
         versions = versions.when(~in_s, F.array(closed(effective)))
-    merged = history.unionByName(joined.select(F.inline(versions.otherwise(F.array(kept)))))
+    merged = joined.select(F.inline(versions.otherwise(F.array(kept))))
     if surrogate is None:
-        return merged
+        return history.unionByName(merged)
     if numbering == "hash":
-        fresh = F.xxhash64(*[F.col(k) for k in keys], F.col(FROM))
-        return merged.withColumn(surrogate, F.coalesce(F.col(surrogate), fresh.cast(kinds[surrogate])))
+        # 64 bits: two of n rows get one key with a chance of n * n / 2**65.
+        parts = [x for k in [*keys, FROM] for x in (F.col(k), F.col(k).isNull())]
+        return history.unionByName(merged.withColumn(surrogate, F.coalesce(F.col(surrogate), F.xxhash64(*parts).cast(kinds[surrogate]))))
+    # Only current rows are written out for the numbering; closed history is not touched.
     merged = materialize(merged)
     numbered = assign_surrogate_keys(
         merged.where(F.col(surrogate).isNull()), surrogate, keys,
         start=target.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("_start")))
-    return merged.where(F.col(surrogate).isNotNull()).unionByName(
+    return history.unionByName(merged.where(F.col(surrogate).isNotNull())).unionByName(
         numbered.withColumn(surrogate, F.col(surrogate).cast(kinds[surrogate])))
 
 
@@ -402,18 +406,27 @@ STEP_REPORT = "step int, name string, status string, rows bigint, error string"
 
 
 def run_steps(spark: SparkSession, steps: Sequence[tuple[str, Callable[[], DataFrame | int | None]]],
-              write: Callable[[str, DataFrame], int] | None = None) -> DataFrame:
-    """Run load steps in order; each step's error names the step and stops the run.
+              write: Callable[[str, DataFrame], int] | None = None, on_error: str = "raise") -> DataFrame:
+    """Run load steps in order. A step's error names the step and stops the run.
 
     A step returns a DataFrame for ``write`` to persist (which returns its row count) or does
-    its own work.
+    its own work. With ``on_error="report"`` the run stops all the same, but ends in a report: the failed step has its error, those
+    after it are ``skipped``.
     """
+    if on_error not in ("raise", "report"):
+        raise ValueError(f"unknown on_error {on_error}")
     report = []
     for number, (name, step) in enumerate(steps):
+        if report and report[-1][2] != "ok":
+            report.append((number, name, "skipped", None, None))
+            continue
         try:
             result = step()
             rows = write(name, result) if write is not None and isinstance(result, DataFrame) else result
         except Exception as error:
-            raise RuntimeError(f"step {number} ({name}) failed: {error}") from error
+            if on_error == "raise":
+                raise RuntimeError(f"step {number} ({name}) failed: {error}") from error
+            report.append((number, name, "error", None, str(error).splitlines()[0]))
+            continue
         report.append((number, name, "ok", rows if isinstance(rows, int) else None, None))
     return spark.createDataFrame(report, STEP_REPORT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,11 @@ from pyspark.sql import types as T
 from dimloom.operators.ordered import Out, ordered_window
 from dimloom.operators.relational import with_scalar
 
-# The names the profiling rules look for.
-PII_NAMES = ["email", "ssn", "social_security", "dob", "birth_date", "phone", "mobile", "address", "zip", "postal_code",
-             "credit_card", "card_number", "passport", "national_id", "ip_address", "first_name", "last_name", "full_name"]
+# Name parts of personal data.
+PII_NAMES = ["email", "ssn", "dob", "phone", "mobile", "address", "zip", "postal_code", "credit_card", "card_number", "passport",
+             "national_id", "ip_address", "birth_date", "first_name", "last_name", "full_name"]
+# Our additions.
+MORE_PII_NAMES = ["social_security"]
 PII_VALUES = {  # the first match names the column
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
     "ssn": r"^\d{3}-\d{2}-\d{4}$",
@@ -23,7 +26,12 @@ PII_VALUES = {  # the first match names the column
     "credit_card": r"^(?:\d[ -]?){13,16}$",
     "phone": r"^(?=.*[() .-])\+?[\d(][\d() .-]{6,17}\d$",
 }
-WATERMARK_NAMES = r"(modified|updated|load|etl|batch)(_at|_?date)$|(_dt|_ts|_dttm|_at|date)$|^ts$"
+# Names of load times, whole names first, then endings.
+WATERMARK_NAMES = ["modified_at", "updated_at", "load_date", "etl_date", "batch_date"]
+WATERMARK_ENDINGS = ["_dt", "_ts", "_dttm"]
+# Our additions.
+MORE_WATERMARK_NAMES = ["modified_date", "modifieddate", "updated_date", "updateddate", "load_at", "etl_at", "batch_at"]
+MORE_WATERMARK_ENDINGS = ["_at", "date"]
 START_NAMES = r"^(valid|effective|start)_?(from|date|start)$"
 END_NAMES = r"^(valid|effective|end|expiry)_?(to|end|date)$"
 FLAG_NAMES = r"^(is_current|current_flag)$"
@@ -127,6 +135,10 @@ def with_rising(stats: DataFrame, df: DataFrame, column: str, load_order: str) -
     return with_scalar(stats, corr)
 
 
+def _is_load_time(name: str) -> bool:
+    return name.endswith(tuple(WATERMARK_NAMES + MORE_WATERMARK_NAMES + WATERMARK_ENDINGS + MORE_WATERMARK_ENDINGS)) or name == "ts"
+
+
 def find_watermark(df: DataFrame) -> DataFrame:
     """Datetime columns that could drive an incremental load, best first."""
     fields = [f for f in df.schema.fields if isinstance(f.dataType, TEMPORAL)]
@@ -138,7 +150,7 @@ def find_watermark(df: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(
         F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"),
         (F.col(f"n{i}") == F.col("_rows")).alias("complete"), F.col(f"d{i}").alias("distinct_values"),
-        F.lit(bool(re.search(WATERMARK_NAMES, f.name.lower()))).alias("name_match")) for i, f in enumerate(fields)])
+        F.lit(_is_load_time(f.name.lower())).alias("name_match")) for i, f in enumerate(fields)])
     return probe.select(F.inline(rows)).withColumn(
         "score", F.col("complete").cast("int") * 2 + F.col("name_match").cast("int") + (F.col("distinct_values") > 1).cast("int"))
 
@@ -147,29 +159,33 @@ def find_foreign_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
                       candidates: Mapping[str, Sequence[str]] | None = None, min_coverage: float = 1.0) -> DataFrame:
     """Columns whose values lie in another table's key, with the share that does.
 
-    Only columns of the key's type are tried. Each test joins distinct values, so copies
-    of a value never reach the join.
+    Only columns of a key's type are tried. One pass: the distinct (column, value) pairs of all tables meet the distinct
+    (key, value) pairs of all parents in one join, so copies of a value never reach it and no table is read per pair of columns.
     """
-    out = None
-    for child, df in tables.items():
-        for parent, key in keys.items():
-            kind = type(tables[parent].schema[key].dataType)
-            for column in (candidates or {}).get(child, df.columns):
-                if child == parent and column == key or type(df.schema[column].dataType) is not kind:
-                    continue
-                values = df.select(F.col(column).alias("_v")).where("_v IS NOT NULL").distinct()
-                known = tables[parent].select(F.col(key).alias("_v"), F.lit(1).alias("_in")).distinct()
-                stem = re.sub(r"^[a-z]{1,2}_", "", column)
-                row = values.join(known, "_v", "left").agg(
-                    F.count(F.lit(1)).alias("values"), F.count("_in").alias("found")).select(
-                    F.lit(child).alias("child"), F.lit(column).alias("column_name"), F.lit(parent).alias("parent"),
-                    F.lit(key).alias("key"), "values", "found",
-                    F.lit(stem == re.sub(r"^[a-z]{1,2}_", "", key)).alias("name_match"))
-                out = row if out is None else out.unionByName(row)
-    if out is None:
+    def kind_of(table: str, column: str) -> str:
+        return tables[table].schema[column].dataType.simpleString()
+
+    wanted = {kind_of(p, k) for p, k in keys.items()}
+    own = {(p, k) for p, k in keys.items()}
+
+    def pairs(table: str, columns: Sequence[str]) -> DataFrame:
+        items = [F.struct(F.lit(table).alias("_t"), F.lit(c).alias("_c"), F.lit(kind_of(table, c)).alias("_kind"),
+                          F.col(f"`{c}`").cast("string").alias("_v")) for c in columns]
+        return tables[table].select(F.inline(F.array(*items))).where("_v IS NOT NULL").distinct()
+
+    chosen = {t: [c for c in (candidates or {}).get(t, df.columns) if kind_of(t, c) in wanted] for t, df in tables.items()}
+    sides = [pairs(t, columns) for t, columns in chosen.items() if columns]
+    if not sides:
         raise ValueError("no column pairs to test")
-    return out.where((F.col("values") > 0) & (F.col("found") >= F.col("values") * min_coverage)).withColumn(
-        "coverage", F.col("found") / F.col("values"))
+    children = reduce(DataFrame.unionByName, sides).toDF("child", "column_name", "_kind", "_v")
+    known = reduce(DataFrame.unionByName, [pairs(p, [k]) for p, k in keys.items()]).toDF("parent", "key", "_kind", "_v")
+    sizes = children.groupBy("child", "column_name").agg(F.count(F.lit(1)).alias("values"))
+    hits = children.join(known, ["_kind", "_v"]).groupBy("child", "column_name", "parent", "key").agg(F.count(F.lit(1)).alias("found"))
+    itself = reduce(lambda x, y: x | y, [(F.col("child") == p) & (F.col("column_name") == k) & (F.col("parent") == p) for p, k in own])
+    stem = lambda c: F.regexp_replace(c, "^[a-z]{1,2}_", "")
+    out = hits.where(~itself).join(sizes, ["child", "column_name"]).select(
+        "child", "column_name", "parent", "key", "values", "found", (stem("column_name") == stem("key")).alias("name_match"))
+    return out.where(F.col("found") >= F.col("values") * min_coverage).withColumn("coverage", F.col("found") / F.col("values"))
 
 
 def foreign_key_types(fks: DataFrame) -> DataFrame:
@@ -182,12 +198,11 @@ def foreign_key_types(fks: DataFrame) -> DataFrame:
 def find_degenerate(df: DataFrame, columns: Sequence[str], fk_columns: Sequence[str], min_share: float = 0.05) -> DataFrame:
     """Ids with many values, no target table, and more than one row per value."""
     tried = [c for c in columns if c not in fk_columns]
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.countDistinct(c).alias(c) for c in tried])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("distinct_values")) for c in tried])
-    return wide.select("_rows", F.inline(rows)).select(
-        "column_name", "distinct_values", F.col("_rows").alias("rows"),
-        ((F.col("distinct_values") >= F.col("_rows") * min_share) & (F.col("distinct_values") < F.col("_rows")))
-        .alias("degenerate"))
+    # All columns' distinct values in one shuffle of (column, value) pairs.
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    return with_scalar(distinct_counts(df.select(*tried)), rows).select(
+        "column_name", "distinct_values", "rows",
+        ((F.col("distinct_values") >= F.col("rows") * min_share) & (F.col("distinct_values") < F.col("rows"))).alias("degenerate"))
 
 
 def find_pii(df: DataFrame, min_share: float = 0.5) -> DataFrame:
@@ -197,7 +212,7 @@ def find_pii(df: DataFrame, min_share: float = 0.5) -> DataFrame:
     for i, c in enumerate(texts):
         aggs.append(F.count(c).alias(f"n{i}"))
         aggs += [F.count_if(F.col(c).rlike(p)).alias(f"h{i}_{k}") for k, p in PII_VALUES.items()]
-    named = {f.name: next((p for p in PII_NAMES if p in _snake(f.name)), None) for f in df.schema.fields}
+    named = {f.name: next((p for p in PII_NAMES + MORE_PII_NAMES if p in _snake(f.name)), None) for f in df.schema.fields}
     wide = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
     rows = []
     for f in df.schema.fields:

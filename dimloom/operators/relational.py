@@ -78,30 +78,33 @@ def apply_top_k(outer: DataFrame, inner: DataFrame, on: Mapping[str, str], order
 
 
 def apply_aggregate(outer: DataFrame, inner: DataFrame, on: Mapping[str, str], aggs: Mapping[str, Column],
-                    defaults: Mapping[str, object] | None = None) -> DataFrame:
-    """A correlated aggregate per outer row: aggregate once per key, then a left join.
+                    defaults: Mapping[str, object] | None = None, keep_unmatched: bool = True) -> DataFrame:
+    """A correlated aggregate per outer row: aggregate once per key, then a join.
 
-    ``defaults`` fills the outer rows without a match (COUNT gives 0, not NULL).
+    ``defaults`` fills the outer rows without a match (COUNT gives 0, not NULL). Without ``keep_unmatched`` those rows go (CROSS
+    APPLY of a grouped aggregate).
     """
     grouped = inner.groupBy(*[F.col(i).alias(f"_on_{o}") for o, i in on.items()]).agg(
         *[expr.alias(name) for name, expr in aggs.items()])
     cond = F.lit(True)
     for o in on:
         cond = cond & (outer[o] == grouped[f"_on_{o}"])
-    out = outer.join(grouped, cond, "left").drop(*[f"_on_{o}" for o in on])
+    out = outer.join(grouped, cond, "left" if keep_unmatched else "inner").drop(*[f"_on_{o}" for o in on])
     for name, value in (defaults or {}).items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return out
 
 
-def partition_aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+def partition_aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
+                        keys_not_null: bool = False) -> DataFrame:
     """agg(…) OVER (PARTITION BY keys) as aggregate plus join.
 
     The aggregate combines before its shuffle and the adaptive planner can split a hot
-    key of the join, which a window cannot.
+    key of the join, which a window cannot. ``keys_not_null`` says that no key is NULL; the join is then one on plain
+    equality, which leaves the rows where a further join on the same keys needs them.
     """
     grouped = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
-    return match_keys(df, grouped, keys, "inner")
+    return df.join(grouped, list(keys)).select(*df.columns, *aggs) if keys_not_null else match_keys(df, grouped, keys, "inner")
 
 
 def allocate(df: DataFrame, keys: Sequence[str], amounts: Sequence[str], places: int = 4) -> DataFrame:

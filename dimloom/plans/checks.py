@@ -10,6 +10,7 @@ from dimloom.functions import scalar as X
 from dimloom.operators import compare as C
 from dimloom.operators import hierarchy as H
 from dimloom.operators import quality as Q
+from dimloom.operators.loads import run_steps
 from dimloom.plans.catalog import query
 from dimloom.plans.dims import contacts
 from dimloom.plans.staging import RETURN_REASONS, Staging, ntz
@@ -90,12 +91,14 @@ def parity_report(t: Staging) -> DataFrame:
 
 @query("snapshot_difference", "C5", """
     SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'new' WHEN c_mktsegment = 'MACHINERY' THEN 'removed'
-                           WHEN c_acctbal < 0 THEN 'changed' ELSE 'unchanged' END AS status FROM customer""")
+                           WHEN c_acctbal < 0 OR c_nationkey = 7 THEN 'changed' ELSE 'unchanged' END AS status FROM customer""")
 def snapshot_difference(t: Staging) -> DataFrame:
+    """Some rows get another nation, some the same segment in small letters."""
     customer = t.table("customer")
     old = customer.where("c_mktsegment <> 'BUILDING'")
     new = customer.where("c_mktsegment <> 'MACHINERY'").withColumn(
-        "c_nationkey", F.when(F.col("c_acctbal") < 0, 99).otherwise(F.col("c_nationkey")))
+        "c_nationkey", F.when(F.col("c_acctbal") < 0, 99).otherwise(F.col("c_nationkey"))).withColumn(
+        "c_mktsegment", F.when(F.col("c_nationkey") == 7, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")))
     return C.snapshot_diff(old, new, ["c_custkey"])
 
 
@@ -143,6 +146,24 @@ def profile_tests(t: Staging) -> DataFrame:
     return Q.check_contract({"part": t.table("part")}, {"part": Q.contract_from_profile(["p_partkey"], {})})
 
 
+@query("failed_load_report", "M20", """
+    SELECT CAST(0 AS BIGINT) AS step, 'orders' AS name, 'ok' AS status, COUNT(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM orders
+    UNION ALL SELECT 1, 'lineitem', CASE WHEN bad THEN 'error' ELSE 'ok' END, CASE WHEN NOT bad THEN n END, CASE WHEN bad THEN 'l_orderkey repeats' END
+    FROM (SELECT COUNT(*) AS n, COUNT(*) > COUNT(DISTINCT l_orderkey) AS bad FROM lineitem) x
+    UNION ALL SELECT 2, 'part', CASE WHEN bad THEN 'skipped' ELSE 'ok' END, CASE WHEN NOT bad THEN (SELECT COUNT(*) FROM part) END, NULL
+    FROM (SELECT COUNT(*) > COUNT(DISTINCT l_orderkey) AS bad FROM lineitem) x""")
+def failed_load_report(t: Staging) -> DataFrame:
+    """A run that stops at a step whose key repeats: the report has the error, the step after it is skipped."""
+    def keyed() -> int:
+        counts = t.table("lineitem", ["l_orderkey"]).groupBy("l_orderkey").count().agg(F.sum("count"), F.max("count")).first()
+        if counts[1] > 1:
+            raise ValueError("l_orderkey repeats")
+        return counts[0]
+
+    return run_steps(t.spark, [("orders", lambda: t.table("orders").count()), ("lineitem", keyed), ("part", lambda: t.table("part").count())],
+                     on_error="report")
+
+
 @query("freshness", "C10", """
     SELECT MAX(o_orderdate) AS max_loaded_at, date_sub('hour', MAX(o_orderdate), TIMESTAMP '2001-08-03 12:00:00') AS age_hours,
            CASE WHEN date_sub('hour', MAX(o_orderdate), TIMESTAMP '2001-08-03 12:00:00') > 48 THEN 'error' ELSE 'warn' END AS status
@@ -197,9 +218,10 @@ _LOOPED = f"""{_EDGES} UNION SELECT s_suppkey, s_suppkey FROM supplier WHERE s_n
 
 @query("transitive_closure", "H2", f"""
     WITH RECURSIVE e AS ({_EDGES}), c AS (SELECT src, dst, CAST(1 AS BIGINT) AS depth FROM e
-        UNION SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < 20)
+        UNION SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src)
     SELECT src, dst, MIN(depth) AS depth FROM c GROUP BY 1, 2""")
 def transitive_closure(t: Staging) -> DataFrame:
+    """In the SQL no bound either: the edges point downwards."""
     return H.transitive_closure(edges(t))
 
 
@@ -215,7 +237,7 @@ def topological_levels(t: Staging) -> DataFrame:
 
 @query("edge_findings", "H4", f"""
     WITH RECURSIVE e AS ({_LOOPED}), c AS (SELECT src, dst, CAST(1 AS BIGINT) AS depth FROM e
-        UNION SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.depth < 20),
+        UNION SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.src <> c.dst AND e.src <> e.dst),
     m AS (SELECT src, dst, MIN(depth) AS depth FROM c GROUP BY 1, 2)
     SELECT 'dangling' AS finding, src AS node, dst AS other, CAST(1 AS BIGINT) AS depth FROM e WHERE dst NOT IN (SELECT s_suppkey FROM supplier)
     UNION ALL SELECT 'cycle', src, dst, depth FROM m WHERE src = dst
@@ -278,7 +300,7 @@ def replicate_capped(t: Staging) -> DataFrame:
     UNION ALL SELECT 'orders', 'ok', COUNT(*), NULL FROM orders""")
 def replicate_whole(t: Staging) -> DataFrame:
     root = scratch_path(t.spark, "replica")
-    return IO.replicate(t.spark, {n: (lambda n=n: t.table(n)) for n in ("lineitem", "orders")}, lambda n: f"{root}/{n}", capped=False)
+    return IO.replicate(t.spark, {n: (lambda n=n: t.table(n)) for n in ("lineitem", "orders")}, lambda n: f"{root}/{n}")
 
 
 @query("append_and_create", "S6 S8", """

@@ -574,7 +574,7 @@ def order_flags(t: Staging) -> DataFrame:
         (F.col("o_totalprice") > 200000).alias("is_large"), F.col("o_orderstatus").isin("O", "P").alias("is_open"))
 
 
-_FLAG_KEY = "md5(concat_ws('|', " + ", ".join(f"CAST({f} AS VARCHAR)" for f in FLAGS) + "))"
+_FLAG_KEY = "md5(" + " || ".join(f"coalesce(length({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in FLAGS) + ")"
 
 
 @query("junk_dimension", "D4 N24 A5", f"SELECT DISTINCT {_FLAG_KEY} AS flag_key, {', '.join(FLAGS)} FROM ({FLAG_SQL}) f")

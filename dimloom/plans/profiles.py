@@ -11,7 +11,7 @@ from dimloom.operators import profiling as P
 from dimloom.plans.catalog import query
 from dimloom.plans.dims import contacts, customer_before
 from dimloom.plans.facts import customer_history
-from dimloom.plans.staging import Staging, ntz
+from dimloom.plans.staging import TABLES, Staging, ntz
 
 CUSTOMER_COLUMNS = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")]
 
@@ -64,19 +64,27 @@ def find_watermark(t: Staging) -> DataFrame:
     return P.find_watermark(t.table("orders")).drop("distinct_values")
 
 
-@query("find_foreign_keys", "F6", """
-    SELECT 'orders' AS child, 'o_custkey' AS column_name, 'customer' AS parent, 'c_custkey' AS key, COUNT(DISTINCT o_custkey) AS "values",
-           COUNT(DISTINCT o_custkey) AS found, TRUE AS name_match, 1.0::DOUBLE AS coverage FROM orders
-    UNION ALL SELECT 'orders', 'o_custkey', 'orders', 'o_orderkey', COUNT(DISTINCT o_custkey), COUNT(DISTINCT o_custkey), FALSE, 1.0 FROM orders
-    UNION ALL SELECT 'lineitem', 'l_orderkey', 'orders', 'o_orderkey', COUNT(DISTINCT l_orderkey), COUNT(DISTINCT l_orderkey), TRUE, 1.0 FROM lineitem
-    UNION ALL SELECT 'lineitem', 'l_suppkey', 'orders', 'o_orderkey', COUNT(DISTINCT l_suppkey), COUNT(DISTINCT l_suppkey), FALSE, 1.0 FROM lineitem
-    UNION ALL SELECT 'lineitem', 'l_suppkey', 'customer', 'c_custkey', COUNT(DISTINCT l_suppkey), COUNT(DISTINCT l_suppkey), FALSE, 1.0 FROM lineitem""")
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
+TRIED = [*KEYS, "lineitem"]
+
+
+def _foreign_keys_sql() -> str:
+    """Every integer column of every table against every key of its type."""
+    def columns(table: str) -> dict[str, str]:
+        return dict(c.split() for c in TABLES[table].split(", "))
+
+    tests = [f"""SELECT '{child}' AS child, '{c}' AS column_name, '{parent}' AS parent, '{key}' AS key, COUNT(DISTINCT {c}) AS "values",
+                        COUNT(DISTINCT CASE WHEN {c} IN (SELECT {key} FROM {parent}) THEN {c} END) AS found,
+                        {str(c.split("_", 1)[1] == key.split("_", 1)[1])} AS name_match FROM {child}"""
+             for child in TRIED for c, kind in columns(child).items() for parent, key in KEYS.items()
+             if kind == columns(parent)[key] and (child, c) != (parent, key)]
+    return f"""SELECT *, CAST(found AS DOUBLE) / "values" AS coverage FROM ({" UNION ALL ".join(tests)}) x WHERE found > 0 AND found = "values\""""
+
+
+@query("find_foreign_keys", "F6", _foreign_keys_sql())
 def find_foreign_keys(t: Staging) -> DataFrame:
-    """Inclusion alone also finds small keys inside larger ones; the name tells them apart."""
-    return P.find_foreign_keys(
-        {"orders": t.table("orders"), "lineitem": t.table("lineitem"), "customer": t.table("customer")},
-        {"customer": "c_custkey", "orders": "o_orderkey"},
-        {"orders": ["o_custkey"], "lineitem": ["l_orderkey", "l_suppkey"], "customer": []})
+    """Whole tables, all columns. Inclusion alone also finds small keys inside larger ones; the name tells them apart."""
+    return P.find_foreign_keys({name: t.table(name) for name in TRIED}, KEYS)
 
 
 @query("foreign_key_types", "F7", """

@@ -290,7 +290,7 @@ def top_config(t: Staging, keep: bool) -> DataFrame:
     return R.apply_top_k(keyed, t.pat_config, {"_k": "config_key"}, ["config_value"], 1, {"config_value": "config_value"}, keep)
 
 
-@query("pat_27_cross_apply", "J13 J12", """
+@query("pat_27_cross_apply", "J13", """
     SELECT CAST(p.product_id AS VARCHAR) AS alternate_key, c.config_value AS product_name
     FROM pat_product p JOIN pat_config c ON c.config_key = CAST(p.product_id AS VARCHAR)""")
 def pat_27(t):

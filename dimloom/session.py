@@ -16,6 +16,8 @@ SCALE_CONF = {
     # Split a hot join key even where that costs a shuffle later on.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows already dealt out by one key serve a join on that key and more.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Before a query runs, sizes are guesses from compressed files: broadcast only what is
     # small beyond doubt, and leave the rest to the sizes measured at run time.
     "spark.sql.autoBroadcastJoinThreshold": "2m",

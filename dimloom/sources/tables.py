@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -11,8 +12,6 @@ from pyspark.sql import types as T
 
 from dimloom.sources.files import Files
 
-MAX_COPY_LIMIT = 10_000  # fixed value: the upper bound of a capped table copy
-
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                schema: T.StructType | str | None = None) -> DataFrame:
@@ -74,41 +73,37 @@ COPY_REPORT = "fqn string, status string, rows bigint, error string"
 
 def plan_copies(tables: Mapping[str, Callable[[], DataFrame]], *, select: Iterable[str] | None = None,
                 exclude: Iterable[str] | None = None, filters: Iterable[str] | None = None) -> list[CopyPlan]:
-    """Choose the tables to copy. Names are case-insensitive; a filter reads ``name=predicate``."""
-    known = {name.lower(): name for name in tables}
-    chosen = [n.lower() for n in select] if select else list(known)
-    dropped = {n.lower() for n in exclude or ()}
-    unknown = [n for n in chosen if n not in known] + sorted(dropped - set(known))
-    if unknown:
-        raise ValueError(f"TABLE_NOT_CONFIRMED: {', '.join(unknown)}")
-    chosen = [n for n in chosen if n not in dropped]
-    predicates: dict[str, str] = {}
-    for text in filters or ():
-        name, eq, predicate = text.partition("=")
-        name, predicate = name.strip().lower(), predicate.strip()
-        if not eq or not name or not predicate:
-            raise ValueError("FILTER_INVALID: a filter reads <name>=<predicate>")
-        predicates[name] = predicate
-    stray = sorted(set(predicates) - set(chosen))
-    if stray:
-        raise ValueError(f"FILTER_TABLE_NOT_SELECTED: {', '.join(stray)}")
-    return [CopyPlan(n, tables[known[n]], predicates.get(n)) for n in chosen]
+    """Choose the tables to copy, in the order they are given. Letter case of names does not matter.
+
+    A filter reads ``name=predicate``. Everything that is wrong with a request is reported at once.
+    """
+    picked, left_out = ({n.lower() for n in names or ()} for names in (select, exclude))
+    cuts = [re.fullmatch(r"\s*([^=\s][^=]*?)\s*=\s*(\S.*?)\s*", text, re.S) for text in filters or ()]
+    problems = [f"not a name=predicate filter: {text}" for text, cut in zip(filters or (), cuts) if cut is None]
+    predicates = {cut[1].lower(): cut[2] for cut in cuts if cut}
+    plans = []
+    for name, source in tables.items():
+        key = name.lower()
+        if key not in left_out and (key in picked or select is None):
+            plans.append(CopyPlan(key, source, predicates.pop(key, None)))
+    existing = {name.lower() for name in tables}
+    problems += [f"no such table: {name}" for name in sorted((picked | left_out) - existing)]
+    problems += [f"filter on a table that is not copied: {name}" for name in sorted(predicates)]
+    if problems:
+        raise ValueError("; ".join(problems))
+    return plans
 
 
 def replicate(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]],
-              target_path: Callable[[str], str], *, limit: int | None = None, capped: bool = True,
+              target_path: Callable[[str], str], *, limit: int | None = None,
               select: Iterable[str] | None = None, exclude: Iterable[str] | None = None,
               filters: Iterable[str] | None = None, dry_run: bool = False) -> DataFrame:
     """Copy tables, one Spark job each. A table that fails is reported and the rest go on.
 
-    ``capped`` keeps the bounded copy of the tool (``limit`` 1 to 10,000 rows is then
-    required); ``capped=False`` copies whole tables.
+    Whole tables are copied; ``limit`` keeps the first rows of a total order of each instead.
     """
-    if capped:
-        if limit is None or limit < 1:
-            raise ValueError(f"LIMIT_REQUIRED: limit must be between 1 and {MAX_COPY_LIMIT}")
-        if limit > MAX_COPY_LIMIT:
-            raise ValueError(f"LIMIT_TOO_HIGH: limit must be <= {MAX_COPY_LIMIT}")
+    if limit is not None and limit < 1:
+        raise ValueError("a limit must be 1 or more")
     plans = plan_copies(tables, select=select, exclude=exclude, filters=filters)
     if dry_run:
         return spark.createDataFrame([(p.name, "planned", None, None) for p in plans], COPY_REPORT)
@@ -116,7 +111,7 @@ def replicate(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]]
     for plan in plans:
         try:
             df = plan.source()
-            if capped:
+            if limit is not None:
                 df = capped_scan(df, limit, plan.predicate)
             elif plan.predicate:
                 df = df.where(plan.predicate)
@@ -184,8 +179,12 @@ def inline_values(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
 
 
 def content_signature(df: DataFrame) -> tuple[int, str]:
-    """Row count and an order-free content hash, in one aggregation."""
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    """Row count and an order-free content hash, in one aggregation.
+
+    A null is hashed as such, so a value that moves to another column changes the hash.
+    """
+    marked = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    hashed = F.xxhash64(*marked).cast("decimal(38,0)")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(hashed), F.lit(0)).alias("h")).first()
     return row["n"], str(row["h"])
 

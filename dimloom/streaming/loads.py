@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimloom.operators.loads import Tracked, apply_changes, dedup, incremental_append, scd2_history, split_late
+from dimloom.operators.loads import Tracked, dedup, incremental_append, scd2_history, split_late
 from dimloom.operators.quality import freshness
 from dimloom.operators.relational import latest_per_key, with_scalar
+from dimloom.session import materialize
 from dimloom.sources.files import Files
 
 
@@ -72,7 +73,8 @@ class BatchTable:
 class UpsertLog:
     """SCD1 on a stream: each batch appends its own rows, readers take the newest per key.
 
-    A batch costs its own size, whatever the size of the target. ``compact`` folds the
+    The newest row is the first in ``order_by`` over all batches, so a row that arrives late does not replace a newer one; only
+    between equals does the later batch count. A batch costs its own size, whatever the size of the target. ``compact`` folds the
     log into one folder from time to time.
     """
 
@@ -84,7 +86,7 @@ class UpsertLog:
         self.table.write(dedup(batch.select(*self.table.schema.names), self.keys, self.order_by), batch_id)
 
     def current(self, before: int | None = None) -> DataFrame:
-        return latest_per_key(self.table.read(before), self.keys, ["-batch"]).select(*self.table.schema.names)
+        return latest_per_key(self.table.read(before), self.keys, [*self.order_by, "-batch"]).select(*self.table.schema.names)
 
     def compact(self, path: str) -> UpsertLog:
         """Write the current rows as the first batch of a new log."""
@@ -135,9 +137,29 @@ class Scd2Stream:
             files.remove(f"{self.table.folder(batch)}/is_current=true")
 
 
-def drop_duplicates(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
-    """One row per key among rows at most ``delay`` apart, within and across batches."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+def deduplicate(target: BatchTable, keys: Sequence[str], order_by: Sequence[str], event_time: str,
+                delay: str) -> Callable[[DataFrame, int], None]:
+    """Append one row per key, within and across batches, however late rows come.
+
+    Copies of a row may differ in event time by at most ``delay``. A batch is compared with the stored rows of its own span of time, widened by ``delay``; the files' statistics on the event time
+    keep the rest unread. No row is dropped for being old.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        single = materialize(dedup(batch.select(*target.schema.names), keys, order_by))
+        span = single.agg(F.min(event_time) - F.expr(f"interval {delay}"), F.max(event_time) + F.expr(f"interval {delay}")).first()
+        stored = target.read(before=batch_id)
+        if span[0] is not None:
+            stored = stored.where(F.col(event_time).between(F.lit(span[0]), F.lit(span[1])))
+        kept = stored.select(*keys, F.col(event_time).alias("_seen")).withColumn("_gap", F.expr(f"interval {delay}"))
+        same = [single[k].eqNullSafe(kept[k]) for k in keys]
+        near = (single[event_time] <= F.col("_seen") + F.col("_gap")) & (F.col("_seen") <= single[event_time] + F.col("_gap"))
+        cond = near
+        for s in same:
+            cond = cond & s
+        target.write(single.join(kept, cond, "left_anti"), batch_id)
+
+    return on_batch
 
 
 def append_new(target: BatchTable, keys: Sequence[str], order_by: Sequence[str],
@@ -172,22 +194,45 @@ def route_late(target: BatchTable, late: BatchTable, event_time: str, allowed: s
     return on_batch
 
 
-def apply_feed(table: BatchTable, start: DataFrame, keys: Sequence[str], sequence: str, op: str) -> Callable[[DataFrame, int], None]:
-    """Keep a table up to date from a change feed; each batch writes the new state."""
+class ChangeFeed:
+    """A table kept up to date from a change feed with inserts, updates and deletes.
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        done = table.batches(before=batch_id)
-        state = start if not done else table.read(before=batch_id).where(F.col("batch") == done[-1]).drop("batch")
-        table.write(apply_changes(state, batch, keys, sequence, op), batch_id)
+    A batch appends its newest change per key, deletes included, and costs its own size. Readers take the change with the highest
+    sequence per key over all batches and leave deleted keys out, so changes may arrive in any order: an older
+    update does not bring a deleted key back. Rows of ``start`` are older than every change.
+    """
 
-    return on_batch
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], sequence: str, op: str,
+                 sequence_type: T.DataType, start: DataFrame | None = None):
+        full = T.StructType([*[f for f in schema.fields if f.name not in (sequence, op)], T.StructField(sequence, sequence_type),
+                             T.StructField(op, T.StringType())])
+        self.table = BatchTable(spark, path, full)
+        self.columns, self.keys, self.sequence, self.op = schema.names, list(keys), sequence, op
+        if start is not None and not self.table.batches():
+            first = start.withColumns({sequence: F.lit(None).cast(sequence_type), op: F.lit("I")})
+            self.table.write(first.select(*full.names), -1)
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        self.table.write(dedup(batch.select(*self.table.schema.names), self.keys, [f"-{self.sequence}"]), batch_id)
+
+    def current(self, before: int | None = None) -> DataFrame:
+        newest = latest_per_key(self.table.read(before), self.keys, [f"-{self.sequence}", "-batch"])
+        return newest.where(F.coalesce(F.col(self.op), F.lit("U")) != "D").select(*self.columns)
 
 
 def monitor_freshness(table: BatchTable, column: str, now: Column, warn_hours: int = 24,
                       error_hours: int = 48) -> Callable[[DataFrame, int], None]:
-    """One verdict per batch."""
+    """One verdict per batch on the whole stream so far: a batch of old rows does not make a fresh table stale.
+
+    ``table`` must hold ``max_loaded_at``, in which the newest time is carried on.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        table.write(freshness(batch, column, now, warn_hours, error_hours).select(*table.schema.names), batch_id)
+        done = table.batches(before=batch_id)
+        newest = batch.agg(F.max(column).alias(column))
+        if done:
+            last = table.read(before=batch_id).where(F.col("batch") == done[-1])
+            newest = newest.unionByName(last.select(F.col("max_loaded_at").alias(column)))
+        table.write(freshness(newest, column, now, warn_hours, error_hours).select(*table.schema.names), batch_id)
 
     return on_batch

@@ -58,8 +58,9 @@ def test_parity_ignores_copies_and_small_fractions(spark):
 
 
 def test_snapshot_difference(spark):
-    old, new = df(spark, [(1, "a"), (2, "b"), (3, "c")]), df(spark, [(1, "A "), (2, "x"), (4, "d")])
-    assert rows(C.snapshot_diff(old, new, ["id"])) == [(1, "unchanged"), (2, "changed"), (3, "removed"), (4, "new")]
+    old, new = df(spark, [(1, "a"), (2, "b"), (3, "c"), (5, "Smith"), (6, "x y")]), df(spark, [(1, "a"), (2, "x"), (4, "d"), (5, "SMITH"), (6, "x  y")])
+    assert rows(C.snapshot_diff(old, new, ["id"])) == [
+        (1, "unchanged"), (2, "changed"), (3, "removed"), (4, "new"), (5, "changed"), (6, "changed")]
     hashed = spark.createDataFrame([(1, None)], "id int, h string"), spark.createDataFrame([(1, "q")], "id int, h string")
     assert rows(C.snapshot_diff(*hashed, ["id"], "h")) == [(1, "changed")]
 

@@ -44,6 +44,19 @@ def test_closure_with_a_cycle(spark):
     assert H.transitive_closure(edges(spark, (1, 2), (2, 3), (3, 4)), max_depth=2).where("src = 1").count() == 2
 
 
+def test_long_chain_is_closed_to_its_end(spark):
+    chain = edges(spark, *[(i + 1, i) for i in range(1, 31)])
+    assert H.transitive_closure(chain).count() == 31 * 30 // 2
+    writes = edges(spark, (1, 100))
+    assert H.indirect_writers(chain, writes).count() == 30
+    assert H.edge_findings(chain, nodes(spark, 31), deep=29).where("finding = 'deep_nesting'").first()["depth"] == 30
+
+
+def test_long_paths_are_whole(spark):
+    staff = spark.createDataFrame([(i, i - 1 if i > 1 else None, "n" * 100) for i in range(1, 8)], "id int, up int, name string")
+    assert H.hierarchy(staff, "id", "up", "name").where("id = 7").first()["manager_path"] == " > ".join(["n" * 100] * 7)
+
+
 def test_topological_levels_and_cycles(spark):
     e = edges(spark, (2, 1), (3, 1), (4, 2), (4, 3), (5, 6), (6, 5), (7, 5), (3, 99))
     assert rows(H.topological_levels(e, nodes(spark, 7))) == [(1, 0), (2, 1), (3, 1), (4, 2), (5, None), (6, None), (7, None)]

@@ -37,6 +37,15 @@ def test_scd2_all_four_cases(spark):
     ], "sk bigint, id int, name string, valid_to timestamp_ntz, is_current boolean"))
 
 
+def test_scd2_keeps_rows_without_a_flag(spark):
+    target = dim(spark, (1, "a", "x"), (2, "b", "y"))
+    target = target.withColumn("is_current", F.when(F.col("id") != 1, F.col("is_current")))
+    source = spark.createDataFrame([(2, "B", "y")], SRC)
+    for numbering in ("sequence", "hash"):
+        out = L.scd2_merge(target, source, ["id"], TRACKED, at(T1), surrogate="sk", numbering=numbering)
+        assert rows(out, "id", "name", "is_current") == [(1, "a", None), (2, "B", True), (2, "b", False)]
+
+
 def test_scd2_same_batch_twice_changes_nothing(spark):
     target = dim(spark, (1, "a", "x"), (2, "b", "y"))
     source = spark.createDataFrame([(1, "A", "x"), (3, "c", "z")], SRC)
@@ -184,6 +193,9 @@ def test_steps_report_and_name_the_failing_one(spark):
     assert rows(report, "step", "name", "status", "rows") == [(0, "one", "ok", 3), (1, "two", "ok", None)]
     with pytest.raises(RuntimeError, match=r"step 1 \(bad\)"):
         L.run_steps(spark, [("one", lambda: 1), ("bad", lambda: 1 / 0)])
+    failed = L.run_steps(spark, [("one", lambda: 1), ("bad", lambda: 1 / 0), ("two", lambda: 2)], on_error="report")
+    assert rows(failed, "name", "status", "rows", "error") == [
+        ("bad", "error", None, "division by zero"), ("one", "ok", 1, None), ("two", "skipped", None, None)]
 
 
 # ---- the five change scenarios ------------------------------------------------------

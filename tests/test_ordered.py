@@ -64,6 +64,8 @@ def test_running_sum_frames(skewed, frame):
     w = W.partitionBy("g").orderBy(*order)
     w = w.rangeBetween(W.unboundedPreceding, 0) if frame == "range" else w.rowsBetween(W.unboundedPreceding, 0)
     got = running_sum(skewed, ["g"], order, "x", "s", frame=frame, hot_rows=10, segments=5)
+    plain = running_sum(skewed, ["g"], order, "x", "s", frame=frame)
+    assert got.schema["s"].dataType == plain.schema["s"].dataType
     assert rows(got, "id", "s") == rows(skewed.select("id", F.sum("x").over(w).alias("s")))
 
 
