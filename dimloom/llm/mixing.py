@@ -99,8 +99,8 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
 def repeat_by_copies(df: DataFrame, mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``df`` with every document as often as ``mixed`` takes it; documents with no copy go.
 
-    Ids should be unique; rows that share an id would each be joined with all copies of that id.
+    Ids should be unique (after near-duplicate removal they are): rows that share an id are each joined with all copies of that id.
     """
-    times = mixed.where(F.col("copies") > 0).select(F.col(id_column).alias("_mix_id"), "copies")
+    times = mixed.where(F.col("copies") > 0).select(F.col(id_column).alias("_mix_id"), F.col("copies").cast("int").alias("_mix_copies"))
     return (df.join(times, df[id_column].eqNullSafe(F.col("_mix_id")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*df.columns))
+            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*df.columns))
