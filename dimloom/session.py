@@ -69,9 +69,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+# Scratch paths given out by this process.
+_given: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process: for when the results built on them have been written."""
+    from dimloom.sources.files import Files
+
+    while _given:
+        path = _given.pop()
+        Files(spark, path).remove(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def differences(df, con, sql: str) -> list[str]:
 
 def main(sf_dir: str, wanted: list[str]) -> int:
     import __spark_entry__ as entry
-    from dimloom.session import local_session
+    from dimloom.session import local_session, release
 
     spark = local_session("oracle-check", 8)
     con = connect(sf_dir)
@@ -65,6 +65,7 @@ def main(sf_dir: str, wanted: list[str]) -> int:
             rows = df.count() if name not in sqls else ""
         except Exception as error:  # noqa: BLE001
             problems, rows = [f"{type(error).__name__}: {str(error)[:600]}"], ""
+        release(spark)
         failed += bool(problems)
         print(f"{'FAIL' if problems else 'ok  ' if name in sqls else 'rows'} {name} {time.time() - start:.1f}s {rows}", flush=True)
         for p in problems:
