@@ -26,9 +26,9 @@ class TreeRules:
 
     sample: int = 20_000
     branching: int = 16
-    leaf: int = 64
+    leaf: int = 256
     trials: int = 200
-    recall: float = 0.97
+    recall: float = 0.95
     piece: int = 2_048
     query_piece: int = 1_024
 
@@ -68,7 +68,7 @@ class Tree:
     def _part(self, points, rules: TreeRules) -> list:
         import numpy as np
 
-        k = min(rules.branching, len(points))
+        k = min(rules.branching, -(-len(points) // rules.leaf))
         centres = points[self.random.choice(len(points), k, replace=False)]
         for _ in range(8):
             own = (points @ centres.T - (centres ** 2).sum(axis=1) / 2).argmax(axis=1)
@@ -126,17 +126,22 @@ def cosines(rows, query):
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def best(ids, vectors, own: int, query, k: int):
-    """The k nearest rows but the query's own, nearest first, ties to the smaller id."""
+def best(ids, vectors, own_ids, queries, k: int):
+    """For each query the k nearest rows but its own, as (query's place, ids, scores): nearest first, ties to the smaller id.
+
+    One matrix product sorts out who can be among the k; the exact cosines decide between those.
+    """
     import numpy as np
 
-    score = cosines(vectors, query)
-    keep = np.flatnonzero(ids != own)
-    if len(keep) > k:
-        kth = np.partition(score[keep], len(keep) - k)[len(keep) - k]
-        keep = keep[score[keep] >= kth]
-    keep = keep[np.lexsort((ids[keep], -score[keep]))][:k]
-    return ids[keep], score[keep]
+    rough = unit(vectors) @ unit(queries).T
+    for i, own in enumerate(own_ids):
+        keep = np.flatnonzero(ids != own)
+        if len(keep) > k:
+            near = rough[keep, i]
+            keep = keep[near >= np.partition(near, len(keep) - k)[len(keep) - k] - 1e-9]
+        score = cosines(vectors[keep], queries[i])
+        order = np.lexsort((ids[keep], -score))[:k]
+        yield i, ids[keep][order], score[order]
 
 
 def fit(rows: DataFrame, rules: TreeRules) -> Tree:
@@ -172,8 +177,7 @@ def enough_visits(rows: DataFrame, tree: Tree, k: int, rules: TreeRules) -> int:
             ids, vectors = batch.column(0).to_numpy(), matrix(batch.column(1))
             leaf = tree.assign(unit(vectors))
             by_id = dict(zip(ids.tolist(), leaf.tolist()))
-            for i, query in enumerate(trials):
-                a, s = best(ids, vectors, trial_ids[i], query, k)
+            for i, a, s in best(ids, vectors, trial_ids, trials, k):
                 found = top.get(i, []) + [(-y, x, by_id[x]) for x, y in zip(a.tolist(), s.tolist())]
                 top[i] = sorted(found)[:k]
         out = [(i, x, -y, leaf) for i, rows_ in top.items() for y, x, leaf in rows_]
@@ -241,12 +245,11 @@ def search(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", ve
         import numpy as np
         import pandas as pd
 
-        ids, vectors = rows_["id"].to_numpy(), np.stack(rows_["vector"].to_numpy()) if len(rows_) else None
         out = []
-        for own, query in zip(asks["id"], asks["vector"]):
-            if vectors is not None:
-                a, s = best(ids, vectors, own, np.asarray(query), k)
-                out += [(own, x, y) for x, y in zip(a, s)]
+        if len(rows_) and len(asks):
+            own = asks["id"].to_numpy()
+            for i, a, s in best(rows_["id"].to_numpy(), np.stack(rows_["vector"].to_numpy()), own, np.stack(asks["vector"].to_numpy()), k):
+                out += [(own[i], x, y) for x, y in zip(a, s)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     met = left.select(*names, "id", "vector").groupBy(*names).cogroup(
