@@ -102,5 +102,6 @@ def repeat_by_copies(df: DataFrame, mixed: DataFrame, id_column: str = "doc_id")
     Ids should be unique (after near-duplicate removal they are): rows that share an id are each joined with all copies of that id.
     """
     times = mixed.where(F.col("copies") > 0).select(F.col(id_column).alias("_mix_id"), F.col("copies").cast("int").alias("_mix_copies"))
-    return (df.join(times, df[id_column].eqNullSafe(F.col("_mix_id")))
+    # The list of copies is as long as the documents: a merge join at every size, never a broadcast of a list that happens to be short.
+    return (df.join(times.hint("merge"), df[id_column].eqNullSafe(F.col("_mix_id")))
             .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*df.columns))
