@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
-from collections.abc import Callable, Iterator, Sequence
+import time
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -37,8 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage: Spark removes shuffle files once their plans are gone.
+
+    For between the phases of a job that moves whole texts, when the phase before has been written out. It only
+    saves disk; nothing depends on it.
+    """
+    for _ in range(2):  # the first round lets go of what Python held, the second finds it gone
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:

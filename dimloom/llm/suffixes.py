@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimloom.llm.common import texts
+from dimloom.llm.common import free_shuffles, texts
 from dimloom.session import materialize
 
 LENGTH = 50
@@ -30,7 +30,7 @@ WINDOW_RECORD, SAMPLE_RECORD = 8, 6
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
         0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 # Bytes that are worked on at once.
-SLAB = 1 << 21
+SLAB = 1 << 20
 
 
 def names(data, length: int):
@@ -135,27 +135,28 @@ class Dealer:
 
 
 def each_bucket(batches: Iterator[pa.RecordBatch], width: int):
-    """The records of one bucket after the other: keys, owners, sizes per text, and the names."""
-    import numpy as np
+    """The records of the bucket that a partition holds: its number, keys, owners, sizes per text, and the names.
 
-    def put_together(held):
-        rest = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, width)
-        name = np.zeros((len(rest), 8), np.uint8)
-        name[:, :width] = rest
-        return (np.frombuffer(b"".join(h[0] for h in held), "V16"), np.frombuffer(b"".join(h[1] for h in held), np.int64),
-                np.frombuffer(b"".join(h[2] for h in held), "<u4").astype(np.int64), name.view("<u8").ravel())
+    Buffers are used as they come and let go of as soon as they are joined: a bucket is the largest thing a task holds.
+    """
+    import numpy as np
 
-    current, held = None, []
+    held, number = [], None
     for batch in batches:
-        for i in range(batch.num_rows):
-            bucket = batch.column(0)[i].as_py()
-            if bucket != current:
-                if held:
-                    yield current, put_together(held)
-                current, held = bucket, []
-            held.append(tuple(batch.column(j)[i].as_py() for j in range(1, 5)))
-    if held:
-        yield current, put_together(held)
+        number = batch.column(0)[0].as_py() if batch.num_rows else number
+        held += [[batch.column(j)[i].as_buffer() for j in range(1, 5)] for i in range(batch.num_rows)]
+    if not held:
+        return
+    del batch
+    keys, owners, sizes, records = (b"".join(h[i] for h in held) for i in range(4))
+    held.clear()
+    if width == 8:
+        name = np.frombuffer(records, "<u8")
+    else:
+        name = np.zeros((len(records) // width, 8), np.uint8)
+        name[:, :width] = np.frombuffer(records, np.uint8).reshape(-1, width)
+        name = name.view("<u8").ravel()
+    yield number, (np.frombuffer(keys, "V16"), np.frombuffer(owners, np.int64), np.frombuffer(sizes, "<u4").astype(np.int64), name)
 
 
 def sorted_runs(name):
@@ -166,54 +167,87 @@ def sorted_runs(name):
     ranked = name[order]
     new = np.ones(len(name), bool)
     np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-    return order, new, np.cumsum(new) - 1
+    del ranked
+    return order, new, np.cumsum(new, dtype=np.int32) - 1
 
 
-def tied_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, names): per text its sampled grams that another text has, too."""
+def answers(bucket: int, keys: list[bytes], data: list[bytes], slots: int) -> pa.RecordBatch:
+    """What a bucket says about its texts, as one row per slot of texts, so that rows do not multiply by buckets."""
     import numpy as np
 
-    for _, (keys, _, sizes, name) in each_bucket(batches, SAMPLE_RECORD):
-        text = np.repeat(np.arange(len(sizes)), sizes)
+    slot = np.array([int.from_bytes(k[:4], "little") % slots for k in keys])
+    rows = []
+    for x in np.unique(slot).tolist():
+        own = np.flatnonzero(slot == x)
+        rows.append((x, bucket, b"".join(keys[i] for i in own), np.array([len(data[i]) for i in own], "<u4").tobytes(),
+                     b"".join(data[i] for i in own)))
+    columns = list(zip(*rows)) or [[]] * 5
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ANSWER)
+
+
+ANSWER = ["slot", "bucket", "keys", "sizes", "data"]
+ANSWER_SCHEMA = "slot int, bucket int, keys binary, sizes binary, data binary"
+
+
+def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, answers): the answers of all buckets to the texts of the slot that a partition holds, put together per text."""
+    import numpy as np
+
+    held: dict[bytes, list] = {}
+    for batch in batches:
+        for _, bucket, keys, sizes, data in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            at = 0
+            for i, n in enumerate(np.frombuffer(sizes, "<u4").tolist()):
+                held.setdefault(keys[16 * i:16 * i + 16], []).append({"bucket": bucket, "data": data[at:at + n]})
+                at += n
+    if held:
+        item = pa.struct([("bucket", pa.int32()), ("data", pa.binary())])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(item))],
+                                         ["key", "answers"])
+
+
+def tied_samples(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Per text its sampled grams that another text has, too."""
+    import numpy as np
+
+    for bucket, (keys, _, sizes, name) in each_bucket(batches, SAMPLE_RECORD):
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         head = keys.view("<u8").reshape(-1, 2)[:, 0]
         order, new, run = sorted_runs(name)
         content = head[text[order]]
         differs = np.zeros(len(name), bool)
         differs[1:] = (content[1:] != content[:-1]) & ~new[1:]
+        del content
         tied = np.zeros(int(run[-1]) + 1, bool)
         tied[run[differs]] = True
         hit = np.zeros(len(name), bool)
         hit[order] = tied[run]
+        del order, run
         counts = np.bincount(text[hit], minlength=len(sizes))
-        some = np.flatnonzero(counts)
+        chosen, ends = name[hit], np.cumsum(counts)
         # Copies of one text in the bucket get one answer.
-        some = some[np.sort(np.unique(keys[some].view("S16"), return_index=True)[1])] if len(some) else some
-        chosen = name[hit]
-        ends = np.cumsum(counts)
-        if len(some):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i].tobytes() for i in some], pa.binary()),
-                 pa.array([chosen[ends[i] - counts[i]:ends[i]].tobytes() for i in some], pa.binary())], ["key", "tied"])
+        found = {keys[i].tobytes(): chosen[ends[i] - counts[i]:ends[i]].tobytes() for i in np.flatnonzero(counts)}
+        yield answers(bucket, list(found), list(found.values()), slots)
 
 
-def earlier_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, bucket, bits): per text, for its windows in the bucket in order, whether an earlier document has the window."""
+def earlier_windows(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Per text, for its windows in the bucket in order, one bit each: whether an earlier document has the window."""
     import numpy as np
 
     for bucket, (keys, owners, sizes, name) in each_bucket(batches, WINDOW_RECORD):
-        text = np.repeat(np.arange(len(sizes)), sizes)
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order, new, run = sorted_runs(name)
-        owner = owners[text[order]]
+        del name
+        place = np.unique(owners, return_inverse=True)[1].astype(np.int32)
+        owner = place[text[order]]
         least = np.minimum.reduceat(owner, np.flatnonzero(new))
-        hit = np.zeros(len(name), bool)
+        hit = np.zeros(len(text), bool)
         hit[order] = least[run] < owner
+        del order, run, owner, least
         ends = np.cumsum(sizes)
-        some = [i for i in np.unique(text[hit])]
-        if some:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i].tobytes() for i in some], pa.binary()), pa.array([bucket] * len(some), pa.int32()),
-                 pa.array([np.packbits(hit[ends[i] - sizes[i]:ends[i]]).tobytes() for i in some], pa.binary())],
-                ["key", "bucket", "bits"])
+        found = {keys[i].tobytes(): np.packbits(hit[ends[i] - sizes[i]:ends[i]]).tobytes() for i in np.unique(text[hit])}
+        yield answers(bucket, list(found), list(found.values()), slots)
 
 
 def as_bytes(text: bytes):
@@ -234,8 +268,10 @@ def open_windows(text: bytes, tied: bytes, length: int, gram: int):
     return starts, names(data, length)[starts]
 
 
-def sort_buckets(dealt: DataFrame, buckets: int, fn, schema: str) -> DataFrame:
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(fn, schema)
+def sort_buckets(dealt: DataFrame, buckets: int, fn) -> DataFrame:
+    """Deal records to buckets, sort each, and bring the answers back together per text: (key, answers)."""
+    one = dealt.repartitionById(buckets, "bucket").mapInArrow(lambda batches: fn(batches, buckets), ANSWER_SCHEMA)
+    return one.repartitionById(buckets, "slot").mapInArrow(by_text, "key binary, answers array<struct<bucket:int,data:binary>>")
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,13 +304,15 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
             yield dealer.rows()
 
     samples = docs.where(F.octet_length("body") >= length).select("key", "body").mapInArrow(deal_samples, Dealer.schema)
-    tied = sort_buckets(samples, buckets, tied_samples, "key binary, tied binary")
-    tied = materialize(tied.groupBy("key").agg(F.collect_list("tied").alias("tied")).join(firsts, "key"))
+    tied = materialize(sort_buckets(samples, buckets, tied_samples).join(firsts, "key"))
+    del samples
+    free_shuffles(spark)
     # Texts that may repeat something, once each: from here on only these are read.
     open_docs = materialize(docs.select("key", "owner", "body").join(
         tied.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("owner") == F.col("first")))
-        .select("key", "owner", F.col("body").cast("binary").alias("body"), F.array_join(F.transform(
-            "tied", lambda t: F.hex(t)), "").alias("tied")).withColumn("tied", F.unhex("tied")))
+        .select("key", "owner", F.col("body").cast("binary").alias("body"), F.unhex(F.array_join(F.transform(
+            "answers", lambda t: F.hex(t["data"])), "")).alias("tied")))
+    free_shuffles(spark)
 
     def deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(buckets, WINDOW_RECORD)
@@ -288,9 +326,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         if dealer.held:
             yield dealer.rows()
 
-    hits = sort_buckets(open_docs.mapInArrow(deal_windows, Dealer.schema), buckets, earlier_windows,
-                        "key binary, bucket int, bits binary")
-    hits = materialize(hits.groupBy("key").agg(F.collect_list(F.struct("bucket", "bits")).alias("hits")))
+    hits = materialize(sort_buckets(open_docs.mapInArrow(deal_windows, Dealer.schema), buckets, earlier_windows))
+    free_shuffles(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -300,7 +337,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
             for key, raw, own, hit in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 starts, name = open_windows(raw, own, length, gram)
                 bucket = bucket_of(name, buckets)
-                bits = {h["bucket"]: h["bits"] for h in hit}
+                bits = {h["bucket"]: h["data"] for h in hit}
                 earlier = np.zeros(len(starts), bool)
                 for b, packed_bits in bits.items():
                     place = np.flatnonzero(bucket == b)
@@ -315,7 +352,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [
                 pa.array([], t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.string())], ["key", "removed", "spans", "kept"])
 
-    partly = materialize(open_docs.join(hits, "key").select("key", "body", "tied", "hits").mapInArrow(
+    partly = materialize(open_docs.join(hits, "key").select("key", "body", "tied", "answers").mapInArrow(
         cut, "key binary, removed bigint, spans bigint, kept string").dropDuplicates(["key"]))
     joined = ids.join(firsts, "key").join(partly, "key", "left")
     copy = F.col("owner") > F.col("first")
