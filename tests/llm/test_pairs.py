@@ -94,6 +94,26 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_reaches_similar_texts(spark):
+    rng = random.Random(8)
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    base = [f"t{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(0, base)]
+    for i in range(1, 60):  # one dense group with members on both sides of the limit
+        rows.append((i, [f"c{i}x{rng.randrange(9999)}" if rng.random() < rng.choice([0.01, 0.02, 0.05]) else w for w in base]))
+    rows += [(100 + i, [f"u{i}x{rng.randrange(300)}" for _ in range(200)]) for i in range(30)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for _, w in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    assert 30 < len(set(group)) < len(rows) - 15
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(rows[g][0] for g in set(group))
+
+
 def brute_repeats(rows, length):
     first = {}
     for i, text in rows:
