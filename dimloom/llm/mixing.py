@@ -55,16 +55,19 @@ def source_targets(rows: DataFrame, weights: Sequence[float], share: float, most
 
 
 def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source: str = "source",
-        id_column: str = "doc_id", text: str = "text", seed: str = "mix", propensity: Column | None = None) -> DataFrame:
+        id_column: str = "doc_id", text: str = "text", seed: str = "mix", propensity: Column | None = None,
+        row: str | None = None, draw: Column | None = None) -> DataFrame:
     """One row per row of ``df``: id, source, ``size`` (words), ``source_size``, ``target``, ``copies`` and ``taken``.
 
     ``propensity`` scales a document's inclusion probability within its source (1 if not given). Null and empty texts have
-    size 0 and take nothing. Documents with equal ids are sampled one by one. Reruns on the same rows agree.
+    size 0 and take nothing. Documents with equal ids are sampled one by one. Reruns on the same rows agree. ``row`` names a written column that
+    is unique and never null, which is handed on; ``draw`` is what the uniform number is drawn from (the id if not given).
     """
+    own_row = F.monotonically_increasing_id() if row is None else F.col(row)
     rows = materialize(df.select(
         F.col(id_column).alias("_id"), F.col(source).alias("_source"), word_count(text).alias("size"),
         (F.lit(1.0) if propensity is None else propensity.cast("double")).alias("_propensity"),
-    ).withColumn("_row", F.monotonically_increasing_id()))
+        (F.col(id_column) if draw is None else draw).alias("_draw"), own_row.alias("_row")))
     targets = materialize(source_targets(rows, weights, share, most, "_source", "size").withColumnRenamed("_source", "_s")
                           .select("*", F.coalesce("_s", F.lit("")).alias("_k"), F.col("_s").isNull().alias("_n")))
     keyed = rows.select("*", F.coalesce("_source", F.lit("")).alias("_k"), F.col("_source").isNull().alias("_n"))
@@ -73,11 +76,11 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("_certain", F.floor(wanted + 1e-12).cast("bigint"))
     chance = F.least(F.greatest((wanted - F.col("_certain")) * F.col("_propensity"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    u = uniform(F.col("_id"), seed)
+    u = uniform(F.col("_draw"), seed)
     joined = joined.withColumns({
         "_odds": (u / (1 - u)) / (chance / (1 - chance)),
         "_left": F.greatest(F.col("target") - F.col("_certain") * F.col("source_size"), F.lit(0.0)),
-    }).drop("_propensity")
+    }).drop("_propensity", "_draw")
     ranked = materialize(running_totals(materialize(joined), ["_odds", "_id", "size", "_row"], ["size"], ["source_rank"]))
 
     inside = F.col("before_size") + F.col("size") <= F.col("_left")
@@ -93,15 +96,13 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
     copies = F.col("_certain") + extra.cast("bigint")
     return chosen.select(
         F.col("_id").alias(id_column), F.col("_source").alias(source), "size", "source_size", "target",
-        F.when(F.col("size") > 0, copies).otherwise(F.col("_certain")).alias("copies"), (copies * F.col("size")).alias("taken"))
+        F.when(F.col("size") > 0, copies).otherwise(F.col("_certain")).alias("copies"), (copies * F.col("size")).alias("taken"),
+        *([] if row is None else [F.col("_row").alias(row)]))
 
 
-def repeat_by_copies(df: DataFrame, mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``df`` with every document as often as ``mixed`` takes it; documents with no copy go.
-
-    Ids should be unique (after near-duplicate removal they are): rows that share an id are each joined with all copies of that id.
-    """
-    times = mixed.where(F.col("copies") > 0).select(F.col(id_column).alias("_mix_id"), F.col("copies").cast("int").alias("_mix_copies"))
+def repeat_by_copies(df: DataFrame, mixed: DataFrame, row: str) -> DataFrame:
+    """``df`` with every row as often as ``mixed`` takes it; rows with no copy go. ``row`` names the row key that both hold."""
+    times = mixed.where(F.col("copies") > 0).select(F.col(row).alias("_mix_key"), F.col("copies").cast("int").alias("_mix_copies"))
     # The list of copies is as long as the documents: a merge join at every size, never a broadcast of a list that happens to be short.
-    return (df.join(times.hint("merge"), df[id_column].eqNullSafe(F.col("_mix_id")))
+    return (df.join(times.hint("merge"), df[row] == F.col("_mix_key"))
             .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*df.columns))

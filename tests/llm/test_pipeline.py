@@ -82,6 +82,20 @@ def test_stages(spark, folder):
     assert by_doc == {d: totals[d] * n for d, n in copies.items()}
 
 
+def test_mixture_tells_null_and_repeated_ids_apart(spark):
+    rows = [(None if i % 3 else 7, f"text{i} " + "word " * (20 + i % 9), "src0") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [r.text for r in out.collect()]
+    assert all(1 <= got.count(t) <= 2 for _, t, _ in rows)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(len(t.split()) for t in got) - 1.5 * total) <= 30
+    # Null ids are drawn one by one, not all before or after the others.
+    twice = [i for i, (_, t, _) in enumerate(rows) if got.count(t) == 2]
+    assert 0.35 < sum(rows[i][0] is None for i in twice) / 200 < 0.65
+
+
 def test_registered(spark):
     names = list(entry.queries())
     assert "pipeline" in names
