@@ -4,7 +4,8 @@ A candidate is a run of key characters. Windows of a fixed width slide over it;
 kept up to date as one character enters and one leaves, and with them the sum of c*log2(c), so a step costs the
 same however long the run is. A window is suspicious if its Shannon entropy reaches the limit of its character class:
 hexadecimal, letters and digits, or base64. Touching suspicious windows form one span. Allow-lists suppress what only
-looks random: plain words, identifiers in known forms, URLs and counting sequences.
+looks random: plain words, identifiers in known forms, counting sequences, and of addresses the hosts and paths: user names, passwords, query values, and
+the path segments of webhooks and the like are tested.
 """
 
 from __future__ import annotations
@@ -30,8 +31,14 @@ _HEX = re.compile(r"[0-9a-f]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 _PART = re.compile(r"[A-Za-z0-9]{20,}")
-# A URL or an address that runs up to the candidate.
-_URL_START = re.compile(r"(?:://|www\.|@)[^\s\"'<>]*\Z")
+# What follows the start of a URL: the ASCII characters of one, without those that end it in lists, markup and JSON.
+_URL = re.compile(r"(?:://|www\.)((?:(?!://)[A-Za-z0-9._~:/?#\[\]@!$&*+=%-])*)")
+# User and password before the host. A password may hold a slash if a colon stands before it that begins no port.
+_USERINFO = re.compile(r"[^/?#]*@|[^/?#@:]*:(?!\d+(?:[/?#]|\Z))[^?#]*@")
+# URLs whose paths carry keys.
+_KEYED_PATH = re.compile(r"hook|/services/|/bot\d|token|secret|api[_-]?key|/keys?/|auth|sign", re.IGNORECASE)
+# The domain of an e-mail address.
+_MAIL = re.compile(r"(?<=[A-Za-z0-9._%+-]@)(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9+/_=-])")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORDS = re.compile(r"[A-Za-z]?[a-z]+([-_/=][A-Za-z]?[a-z]*)*|[A-Z]+([-_/=][A-Z]*)*")
 _RULER = re.compile(r"(.)\1*|[-_=+/]+|(0123456789|1234567890|abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ)+")
@@ -99,6 +106,43 @@ def character_class(text: str, rules: EntropyRules) -> float | None:
     return rules.letters_digits if text.isalnum() else rules.base64
 
 
+def harmless_spans(text: str) -> list[tuple[int, int]]:
+    """Where only addresses stand: hosts, paths that carry no key, and domains of e-mail addresses.
+
+    User names, passwords, query values and fragments are not among them. Slashes are, so that the segments of a keyed path are candidates apart.
+    """
+    out = [m.span() for m in _MAIL.finditer(text)] if "@" in text else []
+    for m in _URL.finditer(text) if "://" in text or "www." in text else ():
+        at, url = m.start(1), m[1]
+        host = user.end() if (user := _USERINFO.match(url)) else 0
+        path = next((i for i in range(host, len(url)) if url[i] in "/?#"), len(url))
+        end = next((i for i in range(path, len(url)) if url[i] in "?#"), len(url))
+        if not _KEYED_PATH.search(url, host, end):
+            out.append((at + host, at + end))
+            continue
+        out.append((at + host, at + path))
+        out += [(at + i, at + i + 1) for i in range(path, end) if url[i] == "/"]
+    return merged_spans(out)
+
+
+def candidates(text: str, runs: Sequence[re.Match], width: int) -> Iterator[tuple[int, str]]:
+    """Start and characters of what is left of the runs outside addresses."""
+    harmless = harmless_spans(text) if runs else []
+    first = 0
+    for run in runs:
+        at, end = run.span()
+        while first < len(harmless) and harmless[first][1] <= at:
+            first += 1
+        i = first
+        while i < len(harmless) and harmless[i][0] < end:
+            if harmless[i][0] - at >= width:
+                yield at, text[at:harmless[i][0]]
+            at = max(at, harmless[i][1])
+            i += 1
+        if end - at >= min(width, len(run[0])):
+            yield at, text[at:end]
+
+
 def find_spans(text: str, rules: EntropyRules) -> list[tuple[str, int, int]]:
     """All spans as (kind, start, end), by start and then by kind as listed."""
     found: list[tuple[str, int, int]] = []
@@ -110,15 +154,15 @@ def find_spans(text: str, rules: EntropyRules) -> list[tuple[str, int, int]]:
         found += [("access", at + m.start(), at + m.end()) for m in _ACCESS.finditer(word) if len(m[0]) >= 20]
         found += [("hex", at + m.start(), at + m.end()) for m in _HEX.finditer(word) if len(m[0]) >= 24]
     known = sorted((s, e) for _, s, e in found)
-    for run in runs:
-        if any(a in run[0] for a in rules.allow) or _URL_START.search(text, max(0, run.start() - 2000), run.start()):
+    for start, word in candidates(text, runs, rules.width):
+        if any(a in word for a in rules.allow):
             continue
         suspicious = []
-        # The whole run by its own class, and its parts between separators by theirs.
-        for part in dict.fromkeys([run[0], *_PART.findall(run[0])]):
+        # The whole candidate by its own class, and its parts between separators by theirs.
+        for part in dict.fromkeys([word, *_PART.findall(word)]):
             limit = character_class(part, rules)
             if limit is not None:
-                at = run.start() + run[0].index(part)
+                at = start + word.index(part)
                 suspicious += [(at + s, at + e) for s, e in window_spans(part, limit, rules.width)]
         for s, e in merged_spans(suspicious):
             if not any(a < e and s < b for a, b in known):

@@ -205,3 +205,22 @@ def test_no_labels_no_method(spark, docs):
     features = quality.text_features(docs.withColumnRenamed("id", "lang"))
     for r in quality.judge(features, quality.learn(features, none)).collect():
         assert r.kept == (not r.base_failed)
+
+
+@pytest.mark.parametrize("before, after", [
+    ("https://hooks.slack.com/services/T0AB12CD3/B0EF45GH6/", ""), ("postgres://app:", "@db.example.org/main"), ("postgres://app:x/", "@db:5432/main"),
+    ("https://example.org/a/b?sid=", "&x=1"), ("https://example.org/a#", ""), ("联系@客服获取", "谢谢"), ("{url:https://example.org/a,key:", "}"),
+    ("@" + "x," * 990, ""), ("@" + "x," * 1010, ""), ("https://example.org/a中文", ""), ("https://api.telegram.org/bot123456:", "/send"),
+])
+def test_keys_in_and_behind_addresses(before, after):
+    key = "q7Zt2mXw9KpLr4VbN8sYc3Hd"
+    text = before + key + after
+    found = secrets.find_spans(text, secrets.EntropyRules())
+    assert key not in secrets.masked(text, [(s, e) for _, s, e in found], "[secret]")
+
+
+@pytest.mark.parametrize("text", [
+    "https://example.org/wiki/q7Zt2mXw9KpLr4VbN8sYc3Hd/page", "see www.example.org/q7Zt2mXw9KpLr4VbN8sYc3Hd", "mail me@q7Zt2mXw9KpLr4VbN8sYc3Hd.example.org now",
+])
+def test_plain_addresses_are_no_secrets(text):
+    assert secrets.find_spans(text, secrets.EntropyRules()) == []
