@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimloom.llm import mixing, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens, urls
+from dimloom.llm import hmm, interactions, mixing, negatives, neighbours, packing, pages, quality, secrets, simhash, suffixes, tokens, urls
 from dimloom.llm.common import table
 from dimloom.session import materialize
 
@@ -96,6 +96,27 @@ def op10_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op11_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    return hmm.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), held_out)
+
+
+@query
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The masks are read twice, the texts once.
+    failed = materialize(interactions.text_failures(table(spark, sf_dir, "documents", "doc_id", "source", "text")))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"), "toxic")
+    return interactions.audit(interactions.mask_counts(failed, labels, ["good", "toxic"]), losses=["good", "toxic"])
+
+
+@query
+def op13_shared_list_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 ORACLES["op6_pareto_mix"] = r"""
     WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
     s AS (SELECT *, CAST([3, 1, 2][1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w
@@ -119,3 +140,31 @@ ORACLES["op6_pareto_mix"] = r"""
     f AS (SELECT *, NOT inside AND abs(size - gap) < gap AS fits FROM g),
     h AS (SELECT *, fits AND ROW_NUMBER() OVER (PARTITION BY source, fits ORDER BY abs(size - gap), odds, doc_id) = 1 AS last FROM f)
     SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN inside OR last THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM h"""
+
+
+ORACLES["op12_filter_interactions"] = r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    d AS (SELECT part, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+                 + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                 + CASE WHEN MIN(doc_id) OVER (PARTITION BY text) < coalesce(doc_id, 9223372036854775807) THEN 16 ELSE 0 END AS mask,
+                 EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND quality = 1) AS good,
+                 EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND toxic = 1) AS toxic FROM t),
+    m AS (SELECT part, mask, COUNT(*) AS n, COUNT(*) FILTER (good) AS good, COUNT(*) FILTER (toxic) AS toxic FROM d GROUP BY part, mask),
+    letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e
+               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    bits AS (SELECT o AS filter_order, s AS step, CAST(2 ** (ascii(substr(o, s, 1)) - 65) AS INTEGER) AS own,
+                    coalesce(list_sum(list_transform(range(1, s), lambda i: CAST(2 ** (ascii(substr(o, CAST(i AS INTEGER), 1)) - 65) AS INTEGER))), 0)::INTEGER AS earlier
+             FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s) x),
+    r AS (SELECT part, filter_order, step, own,
+                 CAST(SUM(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+                 CAST(SUM(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+                 CAST(SUM(CASE WHEN mask & earlier > 0 AND mask & own > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                 CAST(SUM(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                 CAST(SUM(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                 CAST(SUM(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+          FROM m, bits GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(SUM(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
