@@ -1,7 +1,7 @@
 """A hidden Markov language model: Baum-Welch counts added up across partitions, scored by the scaled forward recursion.
 
 Texts are written once as blocks: the distinct words of some megabytes of text, and each text as places in that list. A block is what a task works on, so the
-vocabulary, which grows with the corpus without end, is never in one place: words and their counts meet the blocks by a join on the word.
+vocabulary, which grows with the corpus without end, is never in one place: words meet by the word, and each block gets the counts of its own.
 
 The states emit word buckets, a fixed number of them (hashes of words), and a bucket emits its words by their counts whatever the
 state, one share kept for words never seen. So the parameters have a fixed size, and a text's probability is exact: the
@@ -20,36 +20,37 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dimloom.llm.common import texts
 from dimloom.session import materialize
 
 SEED = 42
-# Buckets whose sums travel in one row.
+# Buckets whose sums go in one row.
 SLICE = 1_024
 
 
 @dataclass(frozen=True)
 class HmmRules:
     """``rounds`` of Baum-Welch over all learning texts; ``block``: bytes of text in a block, a longer text is one by itself; ``passage``: tokens of a
-    passage; ``long``: tokens from which a text is scored in passages; ``prior``: times the number of different
+    passage, ``together``: passages that go through the recursions at once; ``long``: tokens from which a text is scored in passages; ``prior``: times the number of different
     words, tokens of the corpus's mean that each state is given besides its own; ``buckets`` is
     a power of two."""
 
     states: int = 8
-    rounds: int = 6
-    buckets: int = 1 << 16
-    block: int = 2 << 20
+    rounds: int = 4
+    buckets: int = 1 << 15
+    block: int = 8 << 20
     passage: int = 256
-    long: int = 1_024
+    together: int = 2_048
+    long: int = 4_096
     prior: float = 0.2
 
 
 def encode(df: DataFrame, id_column: str, text: str, held_out: Column, rules: HmmRules) -> DataFrame:
     """A row per block: ``ids``, ``held`` and ``lengths`` of its texts, its distinct ``words``, their ``counts`` in learning texts, their ``bucket`` numbers, and
-    ``seq``, the texts' tokens as places in ``words``. The word b"" stands for the end of a text."""
+    ``seq``, the texts' tokens as places in ``words``, packed. The word b"" stands for the end of a text."""
     id_type = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,17 +58,16 @@ def encode(df: DataFrame, id_column: str, text: str, held_out: Column, rules: Hm
         import xxhash
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId() << 32, 0
+        part, made = TaskContext.get().partitionId() << 24, 0
 
         def block(ids, held, lengths, places, seq):
             words = list(places)
-            small = "<u2" if len(words) <= 1 << 16 else "<u4"
             seq = np.array(seq, np.int64)
             learned = seq[~np.repeat(np.array(held, bool), lengths)]
             bucket = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64) % np.uint64(rules.buckets)
             bucket[0] = rules.buckets  # the end
             row = [[part + made], [ids], [held], [lengths], [words], [np.bincount(learned, minlength=len(words))], [bucket.astype("<u4").tobytes()],
-                   [seq.astype(small).tobytes()]]
+                   [packed(seq)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (
                 pa.int64(), pa.list_(id_arrow), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()),
                 pa.binary(), pa.binary()))], ["block", "ids", "held", "lengths", "words", "counts", "bucket", "seq"])
@@ -102,19 +102,40 @@ def encode(df: DataFrame, id_column: str, text: str, held_out: Column, rules: Hm
     return materialize(rows.toDF("id", "held", "text").mapInArrow(run, schema))
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """``word`` and ``c``, its count in the learning texts."""
-    pairs = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts").where("counts > 0")
-    return materialize(pairs.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")))
+def packed(places) -> bytes:
+    """Numbers below 2**32, compressed. Common words come early in a list, so the upper bytes, which lie together, are mostly zero."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(places.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
 
-def tokens_of(block: dict[str, Any], rules: HmmRules):
+
+def unpacked(raw: bytes):
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``c``, the count in all learning texts, of each word that has one, for every block (``home``) and place (``pos``) in its word list.
+
+    Words go by the word, once per block that has them. One row of each word has its ``bucket``, the others a null.
+    """
+    pairs = blocks.select(F.col("block").alias("home"), F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select(
+        "home", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    same = Window.partitionBy("word")
+    bucket = F.when(F.octet_length("word") == 0, buckets).otherwise(F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    counted = pairs.withColumns({"c": F.sum("n").over(same), "nth": F.row_number().over(same.orderBy("home"))}).where("c > 0")
+    return materialize(counted.select("home", "pos", "c", F.when(F.col("nth") == 1, bucket).cast("int").alias("bucket")))
+
+
+def tokens_of(block: dict[str, Any]):
     """(places in the word list, buckets) of all tokens of a block."""
     import numpy as np
 
-    bucket = np.frombuffer(block["bucket"], "<u4").astype(np.int64)
-    seq = np.frombuffer(block["seq"], "<u2" if len(bucket) <= 1 << 16 else "<u4").astype(np.int64)
-    return seq, bucket[seq]
+    seq = unpacked(block["seq"])
+    return seq, np.frombuffer(block["bucket"], "<u4").astype(np.int64)[seq]
 
 
 def passages(starts, lengths, size: int):
@@ -205,10 +226,13 @@ def log_likelihoods(model: Model, buckets, starts, lengths, rules: HmmRules):
 
 
 def expected_counts(model: Model, buckets, starts, lengths, begins):
-    """Baum-Welch sums over passages (longest first): (first, next, moves, emissions, natural log likelihood)."""
+    """Baum-Welch sums over passages (longest first): (first, next, moves, emissions, natural log likelihood).
+
+    The recursions run in the model's own precision, the sums are doubles.
+    """
     import numpy as np
 
-    k = len(model.first)
+    k, kind = len(model.first), model.emit.dtype
     steps = active(lengths).tolist()
     alphas, seen, scales = [], [], []
     likelihood = 0.0
@@ -220,25 +244,26 @@ def expected_counts(model: Model, buckets, starts, lengths, begins):
         scales.append(total)
         likelihood += float(np.log(total).sum())
     moves = np.zeros((k, k))
-    shares = np.empty((int(lengths.sum()), k))
+    shares = np.empty((int(lengths.sum()), k), kind)
     where = np.empty(len(shares), np.int64)
     at = len(shares)
-    beta = np.ones((0, k))
+    beta = np.ones((0, k), kind)
     for t in range(len(steps) - 1, -1, -1):
         n = steps[t]
         if t + 1 < len(steps):
             m = steps[t + 1]
             later = seen[t + 1] * beta / scales[t + 1][:, None]
             moves += alphas[t][:m].T @ later
-            beta = np.concatenate([later @ model.move.T, np.ones((n - m, k))])
+            beta = np.concatenate([later @ model.move.T, np.ones((n - m, k), kind)])
         else:
-            beta = np.ones((n, k))
+            beta = np.ones((n, k), kind)
         shares[at - n:at] = alphas[t] * beta
         where[at - n:at] = buckets[starts[:n] + t]
         at -= n
     opening = shares[:steps[0]]
     emitted = np.stack([np.bincount(where, weights=shares[:, i], minlength=len(model.emit)) for i in range(k)], axis=1)
-    return opening[begins].sum(axis=0), opening[~begins].sum(axis=0), moves * model.move, emitted, likelihood
+    opened = [opening[begins == b].sum(axis=0, dtype=np.float64) for b in (True, False)]
+    return *opened, moves * model.move, emitted, likelihood
 
 
 def gather(blocks: DataFrame, model: Model, rules: HmmRules):
@@ -250,44 +275,43 @@ def gather(blocks: DataFrame, model: Model, rules: HmmRules):
     import numpy as np
 
     k = rules.states
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
-    width = k * SLICE
+    small = Model(*[x.astype(np.float32) for x in (model.first, model.next, model.move, model.emit)])
+    shared = blocks.sparkSession.sparkContext.broadcast(small)
+    columns = ["key", "sums"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for batch in batches:
             for block in batch.to_pylist():
                 held, lengths = np.array(block["held"], bool), np.array(block["lengths"], np.int64)
-                _, buckets = tokens_of(block, rules)
+                _, buckets = tokens_of(block)
                 starts = np.cumsum(lengths) - lengths
                 at, size, begins, _ = passages(starts[~held], lengths[~held], rules.passage)
-                if not len(at):
-                    continue
-                found = expected_counts(shared.value, buckets, at, size, begins)
-                sums = found if sums is None else [a + b for a, b in zip(sums, found)]
-        if sums is None:
-            return
-        flat = np.concatenate([np.concatenate([np.ravel(x) for x in (*sums[:3], [sums[4]])]), np.ravel(sums[3])])
-        yield rows(range(-(-len(flat) // width)), [flat[i:i + width] for i in range(0, len(flat), width)])
-
-    def rows(keys, values):
-        return pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int32()), pa.array([v.tobytes() for v in values], pa.binary())], ["key", "sums"])
+                for i in range(0, len(at), rules.together):
+                    some = slice(i, i + rules.together)
+                    found = expected_counts(shared.value, buckets, at[some], size[some], begins[some])
+                    sums = found if sums is None else [a + b for a, b in zip(sums, found)]
+        if sums is not None:
+            # Row -1 has the small sums, the others slices of the emissions.
+            emitted = sums[3].astype(np.float32)
+            parts = [np.concatenate([np.ravel(x) for x in (*sums[:3], [sums[4]])])] + [emitted[i:i + SLICE] for i in range(0, len(emitted), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts) - 1), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], columns)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, Any] = {}
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                value = np.frombuffer(raw.as_buffer(), np.float64)
+                value = np.frombuffer(raw.as_buffer(), np.float64 if key < 0 else np.float32).astype(np.float64)
                 total[key] = total[key] + value if key in total else value
         if total:
-            yield rows(total, total.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], columns)
 
     parts = blocks.select("held", "lengths", "bucket", "seq").mapInArrow(count, "key int, sums binary").repartition("key")
-    got = parts.mapInArrow(add, "key int, sums binary").toArrow().sort_by("key")
+    got = parts.mapInArrow(add, "key int, sums binary").toArrow().sort_by("key").column(1)
     shared.unpersist()
-    flat = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in got.column(1)])
-    head = np.split(flat[:2 * k + k * k + 1], [k, 2 * k, 2 * k + k * k])
-    return head[0], head[1], head[2].reshape(k, k), flat[2 * k + k * k + 1:].reshape(-1, k), float(head[3][0])
+    head, *rest = [np.frombuffer(x.as_buffer(), np.float64) for x in got]
+    first, later, moves, likelihood = np.split(head, [k, 2 * k, 2 * k + k * k])
+    return first, later, moves.reshape(k, k), np.concatenate(rest).reshape(-1, k), float(likelihood[0])
 
 
 def train(blocks: DataFrame, mass, different: int, rules: HmmRules) -> tuple[Model, list[float]]:
@@ -315,11 +339,9 @@ def score_texts(df: DataFrame, held_out: Column, id_column: str = "doc_id", text
     import numpy as np
 
     blocks = encode(df, id_column, text, held_out, rules)
-    known = word_counts(blocks)
-    end = known.select("word", "c", F.when(F.octet_length("word") == 0, rules.buckets).otherwise(
-        F.pmod(F.xxhash64("word"), F.lit(rules.buckets))).cast("int").alias("bucket"))
+    known = word_counts(blocks, rules.buckets)
     # A row per bucket.
-    per_bucket = end.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    per_bucket = known.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     mass, kinds = np.zeros(rules.buckets + 1), np.zeros(rules.buckets + 1)
     place = per_bucket.column("bucket").to_numpy()
     mass[place], kinds[place] = per_bucket.column("n").to_numpy(), per_bucket.column("v").to_numpy()
@@ -337,7 +359,7 @@ def score_texts(df: DataFrame, held_out: Column, id_column: str = "doc_id", text
         for block in blocks_.to_pylist():
             lengths = np.array(block["lengths"], np.int64)
             starts = np.cumsum(lengths) - lengths
-            seq, buckets = tokens_of(block, rules)
+            seq, buckets = tokens_of(block)
             c = np.zeros(len(block["bucket"]) // 4, np.int64)
             c[counts.column("pos").to_numpy()] = counts.column("c").to_numpy()
             logs = np.log10(c + 1.0)
@@ -353,11 +375,8 @@ def score_texts(df: DataFrame, held_out: Column, id_column: str = "doc_id", text
         types = (blocks_.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("id", "held_out", "n_tokens", "n_known", "base_score", "score"), out, types)})
 
-    # The counts come to the blocks by their words; each goes to the place its block has it at.
-    asked = blocks.select(F.col("block").alias("home"), F.posexplode("words").alias("pos", "word"))
-    answers = asked.join(known, "word").select("home", "pos", "c")
     held = blocks.select("block", "ids", "held", "lengths", "bucket", "seq")
-    scored = held.groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(
+    scored = held.groupBy("block").cogroup(known.select("home", "pos", "c").groupBy("home")).applyInArrow(
         score, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
                          "base_score", "score")

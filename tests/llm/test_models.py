@@ -109,10 +109,10 @@ def test_scores(spark):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in whole)
     assert got == base_by_hand(data)
     assert all(math.isfinite(r.score) and r.score < 0 for r in whole)
-    # However the texts are cut into blocks and passages of scoring, the scores are the same.
+    # However the texts are cut into blocks and passages of scoring, the scores are the same, but for the single precision of the training sums.
     small = hmm.score_texts(df.coalesce(1), held_out(), rules=hmm.HmmRules(buckets=256, block=500, long=50)).collect()
     key = lambda r: (str(r.doc_id), r.n_tokens, r.score)
-    assert np.allclose([r.score for r in sorted(whole, key=key)], [r.score for r in sorted(small, key=key)], rtol=1e-9)
+    assert np.allclose([r.score for r in sorted(whole, key=key)], [r.score for r in sorted(small, key=key)], rtol=1e-5)
     # Two languages: the states tell them apart, and texts held out become likelier than by counts alone.
     held = [r for r in whole if r.held_out and r.doc_id is not None and r.doc_id < 1000]
     assert len(held) > 3 and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
@@ -122,15 +122,17 @@ def test_likelihood_rises_and_words_of_a_bucket_share_it(spark):
     rules = hmm.HmmRules(buckets=64, states=4, rounds=5, block=3000, prior=0.0)
     df = spark.createDataFrame(two_languages(40, 4), TEXTS)
     blocks = hmm.encode(df, "doc_id", "text", F.lit(False), rules)
-    known = hmm.word_counts(blocks)
     # Python and Spark put words into the same buckets.
-    pairs = blocks.select("words", "bucket").collect()
-    want = {bytes(w): int(b) for r in pairs for w, b in zip(r.words, np.frombuffer(r.bucket, "<u4"))}
-    spark_side = {bytes(r.word): r.b for r in known.select("word", F.pmod(F.xxhash64("word"), F.lit(64)).alias("b")).collect()}
-    assert all(spark_side[w] == b for w, b in want.items() if w) and want[b""] == 64
-    mass = np.zeros(65)
-    for r in known.collect():
-        mass[want[bytes(r.word)]] += r.c
+    listed = {r.block: (r.words, np.frombuffer(r.bucket, "<u4")) for r in blocks.collect()}
+    mass, seen = np.zeros(65), set()
+    for r in hmm.word_counts(blocks, 64).collect():
+        word, bucket = bytes(listed[r.home][0][r.pos]), listed[r.home][1][r.pos]
+        assert bucket == (64 if not word else bucket) and (r.bucket is None or r.bucket == bucket)
+        if r.bucket is not None:
+            assert word not in seen
+            seen.add(word)
+            mass[bucket] += r.c
+    assert len(seen) == 121 and mass[64] == 40
     model, likelihoods = hmm.train(blocks, mass, 120, rules)
     assert all(b > a for a, b in zip(likelihoods, likelihoods[1:]))
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and math.isclose(model.first.sum(), 1)
