@@ -10,6 +10,7 @@ from dimloom.plans.catalog import query
 from dimloom.plans.staging import TABLES, Staging, ntz
 from dimloom.session import scratch_path
 from dimloom.streaming import loads as S
+from dimloom.streaming.unique import UniqueTable
 
 
 PIECES = 3
@@ -89,19 +90,30 @@ def stream_scd2(t: Staging) -> DataFrame:
 def stream_deduplicate(t: Staging) -> DataFrame:
     """Every event arrives twice, in two batches, and leaves once; batches reach back to the oldest events."""
     path, progress = place(t, "dedup")
-    table = S.BatchTable(t.spark, path, T.StructType.fromDDL(TABLES["events"]))
-    S.run(shuffled(t, "dedup-in", overlap=True), S.deduplicate(table, ["event_id"], ["ts"], "ts", "1 hour"), progress)
+    table = UniqueTable(t.spark, path, T.StructType.fromDDL(TABLES["events"]), ["event_id"], ["ts"])
+    S.run(shuffled(t, "dedup-in", overlap=True), table.on_batch, progress)
     return table.read().select("event_id", "user_id", "event_type", "value")
 
 
+@query("stream_first_visits", "X3 M13", """
+    SELECT user_id, event_type, event_id, value FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) x WHERE rn = 1""")
+def stream_first_visits(t: Staging) -> DataFrame:
+    """The first event of each kind per user, though the batches come in any order: later batches correct earlier ones."""
+    path, progress = place(t, "first")
+    table = UniqueTable(t.spark, path, T.StructType.fromDDL(TABLES["events"]), ["user_id", "event_type"], ["ts", "event_id"])
+    S.run(shuffled(t, "first-in"), table.on_batch, progress)
+    return table.read().select("user_id", "event_type", "event_id", "value")
+
+
 @query("stream_append_new", "X5 M3", "SELECT user_id, event_id, event_type, value FROM events WHERE event_type <> 'view'")
 def stream_append_new(t: Staging) -> DataFrame:
     """Append what an earlier load (the views) did not have."""
     path, progress = place(t, "append")
-    table = S.BatchTable(t.spark, path, USER)
     loaded = t.table("events").where("event_type = 'view'")
-    S.run(shuffled(t, "append-in"), S.append_new(table, ["event_id"], ["event_id"], loaded), progress)
-    return table.read().drop("batch")
+    table = UniqueTable(t.spark, path, USER, ["event_id"], ["event_id"], corrections=False, loaded=loaded)
+    S.run(shuffled(t, "append-in"), table.on_batch, progress)
+    return table.read()
 
 
 @query("stream_late_rows", "X4", """

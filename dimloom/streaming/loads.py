@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimloom.operators.loads import Tracked, dedup, incremental_append, scd2_history, split_late
+from dimloom.operators.loads import Tracked, dedup, scd2_history, split_late
 from dimloom.operators.quality import freshness
 from dimloom.operators.relational import latest_per_key, with_scalar
-from dimloom.session import materialize
 from dimloom.sources.files import Files
 
 
@@ -137,59 +136,29 @@ class Scd2Stream:
             files.remove(f"{self.table.folder(batch)}/is_current=true")
 
 
-def deduplicate(target: BatchTable, keys: Sequence[str], order_by: Sequence[str], event_time: str,
-                delay: str) -> Callable[[DataFrame, int], None]:
-    """Append one row per key, within and across batches, however late rows come.
-
-    Copies of a row may differ in event time by at most ``delay``. A batch is compared with the stored rows of its own span of time, widened by ``delay``; the files' statistics on the event time
-    keep the rest unread. No row is dropped for being old.
-    """
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        single = materialize(dedup(batch.select(*target.schema.names), keys, order_by))
-        span = single.agg(F.min(event_time) - F.expr(f"interval {delay}"), F.max(event_time) + F.expr(f"interval {delay}")).first()
-        stored = target.read(before=batch_id)
-        if span[0] is not None:
-            stored = stored.where(F.col(event_time).between(F.lit(span[0]), F.lit(span[1])))
-        kept = stored.select(*keys, F.col(event_time).alias("_seen")).withColumn("_gap", F.expr(f"interval {delay}"))
-        same = [single[k].eqNullSafe(kept[k]) for k in keys]
-        near = (single[event_time] <= F.col("_seen") + F.col("_gap")) & (F.col("_seen") <= single[event_time] + F.col("_gap"))
-        cond = near
-        for s in same:
-            cond = cond & s
-        target.write(single.join(kept, cond, "left_anti"), batch_id)
-
-    return on_batch
-
-
-def append_new(target: BatchTable, keys: Sequence[str], order_by: Sequence[str],
-               loaded: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """Append the rows of a batch that are not loaded yet (``loaded``: an earlier table)."""
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        known = target.read(before=batch_id).select(*keys)
-        if loaded is not None:
-            known = known.unionByName(loaded.select(*keys))
-        fresh = incremental_append(known, batch, keys, dedup_order=order_by)
-        target.write(fresh.select(*target.schema.names), batch_id)
-
-    return on_batch
-
-
 def route_late(target: BatchTable, late: BatchTable, event_time: str, allowed: str,
                loaded: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """Rows older than the newest loaded row by more than ``allowed`` go to a table of their own
-    instead of being dropped."""
+    instead of being dropped.
+
+    The newest time so far is stored with every batch, in one row; the stored rows are not read again. ``loaded``, rows loaded
+    before the stream, are read by the first batch only.
+    """
+    newest = BatchTable(target.spark, f"{target.path}-newest", T.StructType([T.StructField("newest", target.schema[event_time].dataType)]))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        before = target.read(before=batch_id).select(event_time)
-        if loaded is not None:
-            before = before.unionByName(loaded.select(event_time))
-        limit = before.agg((F.max(event_time) - F.expr(f"interval {allowed}")).alias("_limit"))
-        marked = with_scalar(batch, limit)
+        done = newest.batches(before=batch_id)
+        if done:
+            before = newest.read(before=batch_id).where(F.col("batch") == done[-1]).select("newest")
+        else:
+            before = target.spark.createDataFrame([], newest.schema)
+            if loaded is not None:
+                before = loaded.select(F.col(event_time).alias("newest"))
+        marked = with_scalar(batch, before.agg((F.max("newest") - F.expr(f"interval {allowed}")).alias("_limit")))
         too_late = F.coalesce(F.col(event_time) < F.col("_limit"), F.lit(False))
         target.write(marked.where(~too_late).select(*target.schema.names), batch_id)
         late.write(marked.where(too_late).select(*late.schema.names), batch_id)
+        newest.write(batch.select(F.col(event_time).alias("newest")).unionByName(before).agg(F.max("newest").alias("newest")), batch_id)
 
     return on_batch
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from dimloom.operators.compare import compare
 from dimloom.operators.loads import scd2_history
 from dimloom.streaming import loads as S
+from dimloom.streaming.unique import UniqueTable
 from tests.conftest import rows
 
 KIND = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
@@ -84,19 +85,62 @@ def test_scd2_stream_does_not_depend_on_batch_borders(spark, tmp_path):
     assert compare(hot, one.read()).first()["equivalent"]
 
 
-def test_append_new_across_batches(spark, inbox, tmp_path):
-    table = S.BatchTable(spark, str(tmp_path / "t"), KIND)
-    S.run(stream(spark, inbox[0]), S.append_new(table, ["id", "v"], ["ts"]), str(tmp_path / "cp"))
-    assert rows(table.read(), "id", "v") == [(1, "A"), (1, "a"), (2, "B"), (2, "b"), (3, "c")]
+def unique(spark, path, **kw):
+    return UniqueTable(spark, str(path), KIND, kw.pop("keys", ["id", "v"]), ["ts"], buckets=4, slots=8, **kw)
 
 
-def test_duplicates_within_and_across_batches(spark, tmp_path):
-    table = S.BatchTable(spark, str(tmp_path / "t"), KIND)
-    step = S.deduplicate(table, ["id", "v"], ["ts"], "ts", "2 days")
-    for i, batch in enumerate([[(1, "a", day(10)), (1, "a", day(10)), (3, "c", day(20))], [(2, "late", day(1)), (1, "a", day(11))]]):
-        for _ in range(2):  # a replay changes nothing
-            step(spark.createDataFrame(batch, KIND), i)
-    assert rows(table.read(), "id", "v", "ts") == [(1, "a", day(10)), (2, "late", day(1)), (3, "c", day(20))]
+def test_append_new_across_batches(spark, inbox, tmp_path):
+    loaded = spark.createDataFrame([(3, "c")], "id bigint, v string")
+    table = unique(spark, tmp_path / "t", corrections=False, loaded=loaded)
+    S.run(stream(spark, inbox[0]), table.on_batch, str(tmp_path / "cp"))
+    assert rows(table.read(), "id", "v") == [(1, "A"), (1, "a"), (2, "B"), (2, "b")]
+    table.on_batch(spark.createDataFrame([(1, "a", day(0)), (7, "new", day(0))], KIND), 9)
+    # What came first stays, and the keys loaded before never come back.
+    assert rows(table.read().where("id in (1, 7)"), "id", "v", "ts") == [(1, "A", day(2)), (1, "a", day(1)), (7, "new", day(0))]
+
+
+HOURS = [(1, "a", dt.datetime(2020, 1, 1, h)) for h in (9, 0, 5)] + [(2, "b", None), (2, "b", None), (None, None, day(3)), (None, None, day(2)), (3, None, day(1)),
+         (3, "x", day(1)), (3, None, day(9))] + [(i, "n", day(i % 5)) for i in range(10, 40)] * 2
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 9])
+def test_duplicates_do_not_depend_on_the_batches(spark, tmp_path, cuts):
+    table = unique(spark, tmp_path / "t")
+    for i in range(cuts):
+        batch = spark.createDataFrame(HOURS[i::cuts], KIND)
+        for _ in range(1 + (i == 1)):  # a replay changes nothing
+            table.on_batch(batch, i)
+    # Null times come first in the order; a null is a key value.
+    want = [(1, "a", dt.datetime(2020, 1, 1, 0)), (2, "b", None), (3, None, day(1)), (3, "x", day(1)), (None, None, day(2))]
+    assert rows(table.read().where("id < 10 or id is null")) == sorted(want, key=lambda r: tuple((v is not None, str(v)) for v in r))
+    assert rows(table.read().where("id >= 10")) == rows(spark.createDataFrame([(i, "n", day(i % 5)) for i in range(10, 40)], KIND))
+
+
+def test_only_files_that_may_hold_a_key_are_read(spark, tmp_path):
+    table = unique(spark, tmp_path / "t", keys=["id"])
+    for i in range(6):
+        table.on_batch(spark.createDataFrame([(i * 100 + j, "v", day(j % 9)) for j in range(50)], KIND), i)
+        assert table.files_read == []  # all new: nothing stored is read
+    table.on_batch(spark.createDataFrame([(207, "v", day(1)), (999_999, "v", day(1))], KIND), 6)
+    assert [b for b, _ in table.files_read] == [2]
+    plan = table._files(6)._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "batch" in filters and "_bucket" in filters
+    assert len(table._files(6).inputFiles()) >= 1 and table.read().count() == 301
+
+
+def test_late_rows_read_no_stored_row(spark, tmp_path):
+    good, late = (S.BatchTable(spark, str(tmp_path / x), KIND) for x in ("good", "late"))
+    step = S.route_late(good, late, "ts", "2 days", spark.createDataFrame([(0, "old", day(4))], KIND))
+    for i, days in enumerate([(1, 5), (2, 9), (3, 8), (None, 6)]):
+        for _ in range(2):
+            step(spark.createDataFrame([(i, "v", day(d) if d else None) for d in days], KIND), i)
+    assert rows(late.read(), "ts") == [(day(1),), (day(2),), (day(3),), (day(6),)]
+    # The newest time is all that later batches look at.
+    files = S.Files(spark, good.path)
+    files.remove(good.path)
+    step(spark.createDataFrame([(9, "v", day(1))], KIND), 4)
+    assert late.read().where("id = 9").count() == 1
 
 
 def test_upsert_ignores_older_rows_of_later_batches(spark, tmp_path):
