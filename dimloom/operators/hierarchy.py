@@ -1,7 +1,7 @@
 """Hierarchies and dependency graphs held as edge tables.
 
-Each level is one join; the frontier of a level is cut from its lineage with a
-checkpoint, so the plan of level 20 is as small as that of level 1.
+Walks double their reach with every round, and each round is written out, so a plan never holds
+more than one round.
 """
 
 from __future__ import annotations
@@ -18,69 +18,69 @@ from dimloom.session import materialize, scratch_path
 
 def hierarchy(df: DataFrame, key: str, parent: str, name: str, *, separator: str = " > ", path_length: int | None = None,
               max_depth: int | None = None) -> DataFrame:
-    """Walk down from the rows without a parent: level, parent's name, path of names.
+    """Every row below a row without a parent: level, parent's name, path of names.
 
-    The walk goes on until a level is empty; ``max_depth`` ends it on purpose. Rows on a
-    cycle of their own are never reached, as with a recursive query. More levels than rows
-    mean that repeated keys form a cycle the walk can enter: that is an error. Direct
-    reports are counted over all rows. Paths are whole unless ``path_length`` cuts them.
+    By pointer jumping: each row carries the stretch of its path up to some ancestor, and a round puts that ancestor's stretch before it, so
+    stretches double and a tree of depth d takes log2(d) rounds. ``max_depth`` leaves deeper rows out on purpose. Rows on or below a
+    cycle, or below an unknown parent, are never reached, as with a recursive query. More levels than rows mean that repeated keys form a
+    cycle the walk can enter: that is an error. Direct reports are counted over all rows. Paths are whole unless ``path_length`` cuts them.
     """
-    def cut(path):
-        return path if path_length is None else F.substring(path, 1, path_length)
-
     base = materialize(df.select(
         F.col(key).alias("_id"), F.col(parent).alias("_up"), F.col(name).alias("_name")))
-    level = materialize(base.where("_up IS NULL").select(
-        "_id", "_up", "_name", F.lit(None).cast("string").alias("_up_name"), F.lit(1).alias("_level"),
-        cut(F.col("_name")).alias("_path")))
-    found = level
     most = base.count()
-    for depth in count(2):
-        if max_depth is not None and depth > max_depth:
-            break
-        if depth > most + 1:
+    # _top: the row above the stretch, null once it starts at a root.
+    rows = base.select("_id", "_up", "_name", F.lit(None).cast("string").alias("_up_name"), F.col("_up").alias("_top"),
+                       F.lit(1).alias("_level"), F.col("_name").alias("_path"))
+    reach = 1
+    while reach <= min(most, max_depth or most) and not rows.where("_top IS NOT NULL").isEmpty():
+        above = rows.select(F.col("_id").alias("_aid"), F.col("_name").alias("_aname"), F.col("_top").alias("_atop"),
+                            F.col("_level").alias("_alevel"), F.col("_path").alias("_apath"))
+        longer = rows.where("_top IS NOT NULL").join(above, F.col("_top") == F.col("_aid")).select(
+            "_id", "_up", "_name", (F.col("_aname") if reach == 1 else F.col("_up_name")).alias("_up_name"), F.col("_atop").alias("_top"),
+            (F.col("_level") + F.col("_alevel")).alias("_level"), F.concat("_apath", F.lit(separator), "_path").alias("_path"))
+        rows = materialize(rows.where("_top IS NULL").unionByName(longer))
+        reach *= 2
+        if max_depth is None and not rows.where((F.col("_level") > most) & F.col("_top").isNull()).isEmpty():
             raise ValueError("the hierarchy has a cycle through a repeated key")
-        above = level.select(F.col("_id").alias("_pid"), F.col("_name").alias("_pname"), F.col("_path").alias("_ppath"))
-        level = materialize(base.join(above, F.col("_up") == F.col("_pid")).select(
-            "_id", "_up", "_name", F.col("_pname").alias("_up_name"), F.lit(depth).alias("_level"),
-            cut(F.concat("_ppath", F.lit(separator), "_name")).alias("_path")))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
+    found = rows.where("_top IS NULL")
+    if max_depth is not None:
+        found = found.where(F.col("_level") <= max_depth)
     reports = base.where("_up IS NOT NULL")
+    path = F.col("_path") if path_length is None else F.substring("_path", 1, path_length)
     return apply_aggregate(found, reports, {"_id": "_up"}, {"direct_reports_count": F.count(F.lit(1))},
                            {"direct_reports_count": 0}).select(
         F.col("_id").alias(key), F.col("_name").alias(name), F.col("_up").alias(parent),
         F.col("_up_name").alias("manager_name"), F.col("_level").alias("hierarchy_level"),
-        F.col("_path").alias("manager_path"), "direct_reports_count")
+        path.alias("manager_path"), "direct_reports_count")
 
 
 def transitive_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every (src, dst) connected by a path, with its shortest length; src = dst marks a cycle.
 
-    Each round joins only the pairs found in the round before and appends what is new to a table of its own;
-    the walk ends when a round finds nothing, or at ``max_depth`` on purpose.
+    Rounds double the reach: a shortest path longer than r and up to 2r has a node at r from its start, so the pairs at just
+    r meet the pairs within r. Each round appends what is new to a table of its own. The walk ends when a round finds nothing, or at
+    ``max_depth`` on purpose.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "closure")
-    step = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    kinds = T.StructType([*step.schema.fields, T.StructField("depth", T.IntegerType())])
-    out = step.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
-
-    def part(depth: int) -> DataFrame:
-        return spark.read.schema(step.schema).parquet(f"{root}/depth={depth}")
+    step = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct().withColumn("depth", F.lit(1))
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in step.schema.fields])
+    step.write.parquet(f"{root}/round=0")
 
     def found() -> DataFrame:
-        return spark.read.schema(kinds).parquet(root)
+        return spark.read.schema(kinds).parquet(root).select(*kinds.names)
 
-    step.write.parquet(f"{root}/depth=1")
-    for depth in count(2):
-        if max_depth is not None and depth > max_depth:
+    for turn in count(1):
+        reach = 1 << (turn - 1)
+        if max_depth is not None and reach >= max_depth:
             break
-        grown = part(depth - 1).select("src", F.col("dst").alias("_mid")).join(out, F.col("_mid") == F.col("_a")).select(
-            "src", F.col("_b").alias("dst")).distinct()
-        grown.join(found().select("src", "dst"), ["src", "dst"], "left_anti").write.parquet(f"{root}/depth={depth}")
-        if part(depth).isEmpty():
+        half = found().where(F.col("depth") == reach).select("src", F.col("dst").alias("_mid"))
+        rest = found().select(F.col("src").alias("_mid"), "dst", "depth")
+        grown = half.join(rest, "_mid").groupBy("src", "dst").agg((F.min("depth") + reach).alias("depth"))
+        if max_depth is not None:
+            grown = grown.where(F.col("depth") <= max_depth)
+        grown.join(found().select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "depth").write.parquet(f"{root}/round={turn}")
+        if spark.read.schema(kinds).parquet(f"{root}/round={turn}").isEmpty():
             break
     return found()
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,30 +88,6 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     return pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values"))
 
 
-def find_keys(df: DataFrame, max_columns: int = 2) -> DataFrame:
-    """Minimal column sets that identify a row.
-
-    Sketches in one pass rule out most sets (a sketch 15 % below the row count cannot
-    belong to a key); those left are confirmed by one exact aggregation each.
-    """
-    names = [f.name for f in _comparable(df) if not isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    sets = [c for n in range(1, max_columns + 1) for c in combinations(names, n)]
-    probe = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"n_{c}") for c in names], *[
-        F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in s]), 0.02).alias(f"s{i}") for i, s in enumerate(sets)]).first()
-    total = probe["_rows"]
-    confirmed: list[tuple[str, ...]] = []
-    rows = []
-    for i, s in enumerate(sets):
-        if any(set(k) <= set(s) for k in confirmed) or any(probe[f"n_{c}"] < total for c in s):
-            continue
-        if probe[f"s{i}"] < 0.85 * total:
-            continue
-        if df.groupBy(*s).count().where("count > 1").isEmpty():
-            confirmed.append(s)
-            rows.append(("+".join(s), len(s), total))
-    return df.sparkSession.createDataFrame(rows, "key string, columns int, rows bigint")
-
-
 def key_kind(df: DataFrame, column: str, load_order: str | None = None) -> DataFrame:
     """surrogate or natural: integer, dense, rising with the load, and what the name says."""
     integral = isinstance(df.schema[column].dataType, INTEGRAL)

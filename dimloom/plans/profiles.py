@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimloom.operators import profiling as P
+from dimloom.operators.keys import find_composite_foreign_keys as composite_foreign_keys
+from dimloom.operators.keys import find_keys as find_all_keys
 from dimloom.plans.catalog import query
 from dimloom.plans.dims import contacts, customer_before
 from dimloom.plans.facts import customer_history
@@ -35,17 +37,30 @@ def profile_columns_nulls(t: Staging) -> DataFrame:
     return P.profile_columns(t.stg_product.select("product_id", "color", "product_line", "sell_end_date"))
 
 
-@query("find_keys", "F2", """
-    SELECT 'o_orderkey' AS key, CAST(1 AS BIGINT) AS columns, COUNT(*) AS rows FROM orders HAVING COUNT(*) = COUNT(DISTINCT o_orderkey)""")
+def _keys_sql(table: str) -> str:
+    """Every set of the table's columns but the floating-point ones: unique, complete, and without a smaller set that is."""
+    names = [c.split()[0] for c in TABLES[table].split(", ") if not c.endswith(" double")]
+    sets = [[(i, c) for i, c in enumerate(names) if mask >> i & 1] for mask in range(1, 1 << len(names))]
+    tests = " UNION ALL ".join(f"""SELECT {sum(1 << i for i, _ in s)} AS mask, '{"+".join(c for _, c in s)}' AS key, {len(s)} AS columns, COUNT(*) AS rows,
+        COUNT(*) = COUNT(DISTINCT ({", ".join(c for _, c in s)},)) AND {" AND ".join(f"COUNT(*) = COUNT({c})" for _, c in s)} AS fits FROM {table}""" for s in sets)
+    return f"""WITH tested AS ({tests}) SELECT key, CAST(columns AS BIGINT) AS columns, rows FROM tested t WHERE fits AND NOT EXISTS (
+        SELECT 1 FROM tested u WHERE u.fits AND u.mask <> t.mask AND u.mask & t.mask = u.mask)"""
+
+
+@query("find_keys", "F2", _keys_sql("orders"))
 def find_keys(t: Staging) -> DataFrame:
-    return P.find_keys(t.table("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]), 2)
+    return find_all_keys(t.table("orders"))
 
 
-@query("find_composite_keys", "F2", """
-    SELECT 'conv_id+turn' AS key, CAST(2 AS BIGINT) AS columns, COUNT(*) AS rows FROM conversations
-    HAVING COUNT(*) = COUNT(DISTINCT (conv_id, turn))""")
+@query("find_composite_keys", "F2", _keys_sql("conversations"))
 def find_composite_keys(t: Staging) -> DataFrame:
-    return P.find_keys(t.table("conversations", ["conv_id", "turn", "role"]), 2)
+    return find_all_keys(t.table("conversations"))
+
+
+@query("find_line_keys", "F2", _keys_sql("lineitem"))
+def find_line_keys(t: Staging) -> DataFrame:
+    """Order and line number, and whatever else happens to be unique."""
+    return find_all_keys(t.table("lineitem"))
 
 
 @query("key_kinds", "F3", """
@@ -87,6 +102,24 @@ def find_foreign_keys(t: Staging) -> DataFrame:
     return P.find_foreign_keys({name: t.table(name) for name in TRIED}, KEYS)
 
 
+def _composite_sql() -> str:
+    """Every ordered pair of columns of the returned lines and of the orders against the key of the lines."""
+    kinds = {"returned": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "orders": ["o_orderkey", "o_custkey"]}
+    numbers = {"l_linenumber"}
+    tests = [f"""SELECT '{child}' AS child, '{a}+{b}' AS columns, COUNT(*) AS n, COUNT(*) FILTER (WHERE EXISTS (
+        SELECT 1 FROM lineitem l WHERE l.l_orderkey = c.{a} AND l.l_linenumber = c.{b})) AS k FROM {source} c"""
+             for child, source in (("returned", "(SELECT * FROM lineitem WHERE l_returnflag = 'R')"), ("orders", "orders"))
+             for a in kinds[child] for b in kinds[child] if a != b and a not in numbers and b in numbers]
+    return f"""SELECT child, columns, 'lineitem' AS parent, 'l_orderkey+l_linenumber' AS key FROM ({" UNION ALL ".join(tests)}) x WHERE n = k AND n > 0"""
+
+
+@query("find_composite_foreign_keys", "F6", _composite_sql())
+def find_composite_foreign_keys(t: Staging) -> DataFrame:
+    lines = t.table("lineitem")
+    return composite_foreign_keys({"returned": lines.where("l_returnflag = 'R'"), "orders": t.table("orders"), "lineitem": lines},
+                                  {"lineitem": ["l_orderkey", "l_linenumber"]})
+
+
 @query("foreign_key_types", "F7", """
     SELECT 'nation' AS parent, fk AS column_name, CASE WHEN fk = 'home' OR fk = 'work' THEN 'role_playing' ELSE 'standard' END AS fk_type,
            child FROM (VALUES ('home', 'people'), ('work', 'people'), ('s_nationkey', 'supplier')) v(fk, child)

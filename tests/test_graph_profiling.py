@@ -1,10 +1,15 @@
 import datetime as dt
+import random
+import re
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
 
 from dimloom.operators import hierarchy as H
+from dimloom.operators import keys as K
 from dimloom.operators import profiling as P
+from dimloom.session import materialize
 from tests.conftest import rows
 
 
@@ -52,6 +57,40 @@ def test_long_chain_is_closed_to_its_end(spark):
     assert H.edge_findings(chain, nodes(spark, 31), deep=29).where("finding = 'deep_nesting'").first()["depth"] == 30
 
 
+def test_closure_in_doubling_rounds(spark):
+    chain = edges(spark, *[(i + 1, i) for i in range(1, 300)])
+    out = H.transitive_closure(chain)
+    rounds = {re.search(r"round=(\d+)", f)[1] for f in out.inputFiles()}
+    # 299 hops: the edges, nine rounds that double the reach, and the one that finds nothing.
+    assert len(rounds) == 11 and out.where("src - dst <> depth").count() == 0 and out.count() == 300 * 299 // 2
+
+
+def test_closure_lengths_on_a_random_graph(spark):
+    rng = random.Random(8)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(70)}
+    want, out = {}, {a: [b for x, b in pairs if x == a] for a in range(40)}
+    for a in range(40):
+        layer, depth = out[a], 1
+        while layer:
+            for b in layer:
+                want.setdefault((a, b), depth)
+            layer, depth = [c for b in set(layer) for c in out[b] if (a, c) not in want], depth + 1
+    got = {(r.src, r.dst): r.depth for r in H.transitive_closure(edges(spark, *pairs, *pairs)).collect()}
+    assert got == want
+    assert {k: v for k, v in want.items() if v <= 3} == {(r.src, r.dst): r.depth for r in H.transitive_closure(edges(spark, *pairs), 3).collect()}
+
+
+def test_hierarchy_of_a_thousand_levels(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(H, "materialize", lambda df: written.append(1) or materialize(df))
+    chain = spark.range(1, 1001).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("up"), F.col("id").cast("string").alias("name"))
+    out = H.hierarchy(chain, "id", "up", "name", path_length=40)
+    assert len(written) <= 13
+    last = out.where("id = 1000").first()
+    assert (last["hierarchy_level"], last["manager_name"], out.count()) == (1000, "999", 1000)
+    assert last["manager_path"] == " > ".join(map(str, range(1, 30)))[:40]
+
+
 def test_long_paths_are_whole(spark):
     staff = spark.createDataFrame([(i, i - 1 if i > 1 else None, "n" * 100) for i in range(1, 8)], "id int, up int, name string")
     assert H.hierarchy(staff, "id", "up", "name").where("id = 7").first()["manager_path"] == " > ".join(["n" * 100] * 7)
@@ -86,9 +125,50 @@ def test_column_profile(spark):
 
 def test_keys_are_minimal_and_exact(spark):
     df = spark.range(200).select((F.col("id") % 20).alias("a"), F.floor(F.col("id") / 20).alias("b"), F.lit(1).alias("c"))
-    assert rows(P.find_keys(df), "key") == [("a+b",)]
-    assert rows(P.find_keys(df.withColumn("k", F.monotonically_increasing_id())), "key") == [("a+b",), ("k",)]
-    assert P.find_keys(df.unionByName(df.limit(1))).count() == 0
+    assert rows(K.find_keys(df), "key") == [("a+b",)]
+    assert rows(K.find_keys(df.withColumn("k", F.monotonically_increasing_id())), "key") == [("a+b",), ("k",)]
+    assert K.find_keys(df.unionByName(df.limit(1))).count() == 0
+    assert K.find_keys(df.limit(0)).count() == 0
+    assert rows(K.find_keys(df.limit(1)), "key") == [("a",), ("b",), ("c",)]
+
+
+@pytest.mark.parametrize("sample", [0, 30, 5_000])
+def test_keys_of_any_size_as_counted_by_hand(spark, sample):
+    rng = random.Random(5)
+    data = sorted({(i % 4, i // 4 % 4, i // 16, rng.randrange(9), rng.choice("xyz"), i if i % 7 else None) for i in range(64)}, key=str)
+    df = spark.createDataFrame(data, "a int, b int, c int, d int, e string, f int").withColumn("g", F.rand(1))
+    unique = [set(s) for n in range(1, 6) for s in combinations(range(5), n) if len({tuple(r[i] for i in s) for r in data}) == len(data)]
+    want = sorted("+".join("abcde"[i] for i in sorted(s)) for s in unique if not any(u < s for u in unique))
+    assert [k for (k,) in rows(K.find_keys(df, sample), "key")] == want and "a+b+c" in want
+
+
+def test_least_sets_hit_every_difference():
+    rng = random.Random(2)
+    for _ in range(50):
+        n, agree = 6, [rng.randrange(63) for _ in range(rng.randrange(6))]
+        good = [s for s in range(1, 64) if all(s & ~a for a in agree)]
+        assert K.least_sets(agree, n) == [s for s in good if not any(g != s and g & s == g for g in good)]
+
+
+def test_composite_foreign_keys(spark):
+    parent = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x"), (3, 3, "x")], "p bigint, q bigint, r string")
+    child = spark.createDataFrame([(1, 2, 2, "y"), (2, 1, 1, "x"), (None, 1, 1, None), (1, 1, 3, "x")], "a bigint, b bigint, c bigint, d string")
+    found = K.find_composite_foreign_keys({"parent": parent, "child": child}, {"parent": ["p", "q"]})
+    assert rows(found, "child", "columns") == sorted(inclusions(parent, child)) and ("child", "a+b") in rows(found, "child", "columns")
+    three = K.find_composite_foreign_keys({"parent": parent, "child": child}, {"parent": ["p", "q", "r"]})
+    assert ("child", "a+b+d") in rows(three, "child", "columns")
+
+
+def inclusions(parent, child):
+    out = []
+    pairs = {(r.p, r.q) for r in parent.collect()}
+    for name, df, cols in (("child", child, "abc"), ("parent", parent, "pq")):
+        data = df.collect()
+        for x, y in permutations(cols, 2):
+            got = {(r[x], r[y]) for r in data if r[x] is not None and r[y] is not None}
+            if got and got <= pairs and (name, x, y) != ("parent", "p", "q"):
+                out.append((name, f"{x}+{y}"))
+    return out
 
 
 def test_key_kind_and_watermark(spark):
