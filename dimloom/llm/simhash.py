@@ -29,8 +29,8 @@ BUDGET = 4
 # Near copies of the pipeline: words of a shingle, the least Jaccard similarity, bands of MinHash values and values in a band.
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 30, 5
-# Pivots that the keys of a dense group have between them.
-PIVOTS = 3
+# Pivots that the keys of a dense group have between them, and the most nodes of each side of a tile.
+PIVOTS, TILE = 3, 512
 # A subtrie with more fingerprints is dealt out as pairs of its own subtries.
 SPLIT = 200_000
 # Node pairs that are taken down one level at once, and the leaf size below which pairs are compared bit by bit.
@@ -333,21 +333,131 @@ def band_keys(hashes, bands: int = BANDS, rows: int = BAND_ROWS):
     return key
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of at least ``similarity``, counted exactly."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes with ``jaccard``, the similarity of their sets, counted exactly."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            good = []
+            out = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                out.append(both / (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], ["a", "b", "jaccard"])
 
     first, second = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, jaccard double")
+
+
+def tile_links(nodes, roots, first, sets, similarity: float) -> list[tuple[int, int]]:
+    """A forest of links between nodes of different classes in a tile.
+
+    ``first`` marks the rows of the tile's first piece. Those are compared with the others, or with each other if there are no others. Intersections are products of 0/1
+    matrices over the shingles that more than one set has, some thousand shingles at a time.
+    """
+    import numpy as np
+
+    inside = bool(first.all())
+    left = np.flatnonzero(first)
+    right = left if inside else np.flatnonzero(~first)
+    sizes = np.array(list(map(len, sets)))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = many[token] > 1
+    number = np.cumsum(many > 1) - 1
+    owner, token = owner[common], number[token[common]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    place_left, place_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    step = 4_096
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+        low, high = np.searchsorted(token, [at, at + step])
+        width = int(token[high - 1]) - at + 1
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        for matrix, place in ((x, place_left), (y, place_right)):
+            own = place[owner[low:high]]
+            matrix[own[own >= 0], token[low:high][own >= 0] - at] = 1
+        both += x @ y.T
+    union = sizes[left][:, None] + sizes[right] - both
+    near = (both >= similarity * union - 1e-9) & (roots[left][:, None] != roots[right])
+    label: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while label.get(r, r) != r:
+            r = label[r]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        x, y = int(left[i]), int(right[j])
+        p, q = find(int(roots[x])), find(int(roots[y]))
+        if p != q:
+            label[max(p, q)] = min(p, q)
+            out.append((int(nodes[x]), int(nodes[y])))
+    return out
+
+
+def class_links(placed: DataFrame, sets: DataFrame, similarity: float, piece: int = TILE) -> DataFrame:
+    """Links (a, b) between nodes of different classes that share a key.
+
+    ``placed``: key, node, root (its class so far), dist (Jaccard distance to the key's pivot, with which all have been compared) and size. A key's
+    outsiders, the nodes outside its largest class, are compared with each other and with those of the largest class that can be near one: distances
+    obey the triangle inequality, and sizes may differ by the similarity at most. Pieces of the nodes meet in tiles, and a
+    tile hands on a forest, so no pair leaves a task that joins nothing.
+    """
+    slack = 1 - similarity + 1e-9
+    others = placed.where("dist > 0")  # the pivot is done
+    sizes = others.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).getField("root").alias("main")).where("roots > 1")
+    marked = materialize(others.join(main.select("key", "main"), "key").withColumn("out", F.col("root") != F.col("main")))
+    spans = marked.where("out").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_out"), F.min("dist").alias("d0"), F.max("dist").alias("d1"), F.min("size").alias("s0"), F.max("size").alias("s1"))
+    near = marked.join(spans, "key").where(F.col("out") | (
+        F.col("dist").between(F.col("d0") - slack, F.col("d1") + slack)
+        & F.col("size").between(F.col("s0") * similarity - 1e-9, F.col("s1") / similarity + 1e-9)))
+    rest = near.where("not out").groupBy("key").agg(F.count(F.lit(1)).alias("n_main"))
+    near = materialize(near.join(rest, "key", "left").na.fill(0, ["n_main"]).where("n_out + n_main > 1"))
+    out_pieces, main_pieces = (F.ceil(F.col(n) / piece).cast("int") for n in ("n_out", "n_main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("out"), out_pieces).otherwise(main_pieces)).cast("int")
+    # Pieces of outsiders count from 0, those of the largest class go on from there; a tile is two of them, the first an outsider's.
+    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    tiles = F.when(F.col("out"), F.concat(
+        F.transform(upto(out_pieces), lambda q: tile(F.least(q, F.col("own")), F.greatest(q, F.col("own")))),
+        F.transform(upto(main_pieces), lambda q: tile(F.col("own"), q + out_pieces)))).otherwise(
+        F.transform(upto(out_pieces), lambda q: tile(q, F.col("own") + out_pieces)))
+    dealt = near.withColumn("own", own).withColumn("t", F.explode(tiles)).select(
+        "key", "t.i", "t.j", "node", "root", (F.when(F.col("out"), F.col("own")).otherwise(F.col("own") + out_pieces) == F.col("t.i")).alias("first"))
+    with_sets = dealt.join(sets.select("node", "hashes"), "node").select("key", "i", "j", "node", "root", "first", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def done(rows: list):
+            first = np.array([r[2] for r in rows], bool)
+            if len(rows) < 2 or not first.any():
+                return []
+            return tile_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), first,
+                              [np.frombuffer(r[3], np.uint64) for r in rows], similarity)
+
+        here, rows = None, []
+        for batch in batches:
+            found = []
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != here:
+                    found += done(rows)
+                    here, rows = (key, i, j), []
+                rows.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        if found := done(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    names = ["key", "i", "j"]
+    return with_sets.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
 
 
 def overlap_links(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -355,33 +465,32 @@ def overlap_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
     ``nodes`` has a row per distinct set: ``node``, ``bands`` (keys) and ``text``, and should be written out. Nodes that share a key are compared in
     two passes. In the first each meets the pivots of its keys, which makes one class of a dense group for a few pairs a
-    node. In the second, nodes outside a key's largest class meet all of the key that are not in their class.
+    node. The second (``class_links``) looks for links between the classes that still share a key.
     """
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[
         F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node")).getField("node").alias(f"p{i}") for i in range(PIVOTS)]).where("n > 1")
     pivots = F.element_at(F.array(*[F.col(f"p{i}") for i in range(PIVOTS)]), (F.pmod("key", F.lit(PIVOTS)) + 1).cast("int"))
-    members = materialize(keyed.join(shared.select("key", pivots.alias("pivot")), "key"))
+    members = materialize(keyed.join(shared.select("key", "n", pivots.alias("pivot")), "key"))
     both = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = materialize(members.where("node <> pivot").select(*both("node", "pivot")).distinct())
+    tested = members.where("node <> pivot").select(*both("node", "pivot")).distinct()
     close = members.select("node").distinct()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(raw).tobytes() for raw in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
+            found = [shingle_set(raw) for raw in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()),
+                                              pa.array(list(map(len, found)), pa.int64())], ["node", "hashes", "size"])
 
-    sets = materialize(nodes.join(close, "node", "left_semi").select("node", "text").mapInArrow(hashes, "node bigint, hashes binary"))
-    links = materialize(confirmed(tested, sets, similarity))
+    sets = materialize(nodes.join(close, "node", "left_semi").select("node", "text").mapInArrow(hashes, "node bigint, hashes binary, size bigint"))
+    distances = materialize(measured(tested, sets).withColumn("dist", 1 - F.col("jaccard")))
+    links = distances.where(F.col("jaccard") >= similarity - 1e-12).select("a", "b")
     parts = materialize(components(links))
-    placed = materialize(members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    sizes = placed.groupBy("key", "root").count()
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).getField("root").alias("main")).where("roots > 1")
-    mixed = materialize(placed.join(mixed.select("key", "main"), "key"))
-    rest = mixed.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    apart = rest.join(mixed, "key").where("x_root <> root and (root = main or x < node)").select(*both("x", "node")).distinct()
-    more = confirmed(materialize(apart.join(tested, ["a", "b"], "left_anti")), sets, similarity)
-    return materialize(links.unionByName(more))
+    # Keys of two nodes are done: one of them is the pivot.
+    large = members.where("n > 2 and node <> pivot").select("key", "node", *both("node", "pivot"))
+    placed = large.join(distances.select("a", "b", "dist"), ["a", "b"]).join(parts, "node", "left").join(
+        sets.select("node", "size"), "node").select("key", "node", F.coalesce("root", "node").alias("root"), "dist", "size")
+    return materialize(links.unionByName(class_links(materialize(placed), sets, similarity)))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -94,26 +94,86 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def near_copy_classes(texts, similarity=0.8):
+    """The number of the first text of each text's class: chains of five-word shingle sets with enough in common."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append(frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset())
+    number = {}
+    for x in sets:
+        for t in x:
+            number.setdefault(t, len(number))
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [number[t] for t in x]] = 1
+    both = held @ held.T
+    sizes = held.sum(axis=1)
+    near = both >= similarity * (sizes[:, None] + sizes - both) - 1e-6
+    label = np.arange(len(sets))
+    while True:  # the least label among neighbours, until nothing changes
+        least = np.array([label[near[i]].min() for i in range(len(sets))])
+        if (least == label).all():
+            return label.tolist()
+        label = least
+
+
 def test_keep_one_reaches_similar_texts(spark):
     rng = random.Random(8)
-    jaccard = lambda x, y: len(x & y) / len(x | y)
     base = [f"t{rng.randrange(5000)}" for _ in range(400)]
     rows = [(0, base)]
     for i in range(1, 60):  # one dense group with members on both sides of the limit
         rows.append((i, [f"c{i}x{rng.randrange(9999)}" if rng.random() < rng.choice([0.01, 0.02, 0.05]) else w for w in base]))
     rows += [(100 + i, [f"u{i}x{rng.randrange(300)}" for _ in range(200)]) for i in range(30)]
-    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for _, w in rows]
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if jaccard(sets[i], sets[j]) >= 0.8:
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    group = near_copy_classes([t for _, t in rows])
     assert 30 < len(set(group)) < len(rows) - 15
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(rows[g][0] for g in set(group))
 
 
+def test_keep_one_in_a_large_family_below_the_limit(spark):
+    """Texts that mostly share 0.6 to 0.8, so that hardly any pair links, with a few near copies among them."""
+    rng = random.Random(4)
+    base = [f"t{rng.randrange(5000)}" for _ in range(250)]
+    rows = [[f"c{i}x{k}" if rng.random() < 0.033 else w for k, w in enumerate(base)] for i in range(900)]
+    for i in range(60):
+        words = list(rng.choice(rows[:900]))
+        words[rng.randrange(250)] = f"n{i}"
+        rows.append(words)
+    texts = [" ".join(w) for w in rows]
+    group = near_copy_classes(texts)
+    assert 400 < len(set(group)) < 950
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    found = simhash.keep_one(df).collect()
+    assert sorted(r.doc_id for r in found) == sorted(set(group))
+
+
+@pytest.mark.parametrize("piece", [3, 512])
+def test_links_between_classes_in_pieces(spark, piece):
+    """A key with a large class, outsiders near and far, and a pivot; however small the pieces, the same classes come out."""
+    rng = random.Random(piece)
+    pivot = set(range(100))
+    sets = [pivot] + [set(rng.sample(sorted(pivot), rng.choice([70, 80, 88, 95]))) | {1000 * i + k for k in range(rng.randrange(30))} for i in range(1, 40)]
+    similar = lambda x, y: len(x & y) / len(x | y)
+    root = [0 if similar(x, pivot) >= 0.8 else i for i, x in enumerate(sets)]
+    placed = spark.createDataFrame([(5, i, root[i], 1 - similar(sets[i], pivot), len(sets[i])) for i in range(1, 40)],
+                                   "key bigint, node bigint, root bigint, dist double, size bigint")
+    packed = spark.createDataFrame([(i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in enumerate(sets)], "node bigint, hashes binary")
+    links = [(r.a, r.b) for r in simhash.class_links(placed, packed, 0.8, piece).collect()]
+    assert all(similar(sets[a], sets[b]) >= 0.8 and root[a] != root[b] for a, b in links)
+
+    def classes(pairs):
+        label = list(root)
+        for a, b in pairs:
+            p, q = label[a], label[b]
+            label = [min(p, q) if x in (p, q) else x for x in label]
+        return label
+
+    every = [(i, j) for i in range(1, 40) for j in range(1, i) if similar(sets[i], sets[j]) >= 0.8]
+    assert classes(links) == classes(every)
+
+
 def brute_repeats(rows, length):
     first = {}
     for i, text in rows:

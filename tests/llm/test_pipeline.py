@@ -4,12 +4,13 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from dimloom.llm import secrets
 from dimloom.session import scratch_path
-from tests.llm.test_pairs import brute_fingerprint, classes_by_brute_force
+from tests.llm.test_pairs import near_copy_classes
 from tests.llm.test_texts import brute_features
 
 SF = os.environ.get("DIMLOOM_SF_DIR", "/root/testdata/sf0.001")
@@ -27,7 +28,7 @@ def folder(spark):
         (900001, None, "en", "src0", None, None), (900002, "", None, None, 0, None), (None, plain, None, None, 3, "x"),
         (900003, plain, "en", None, 3, "x"), (900003, plain, "en", None, 3, "x"), (900004, plain + " password=hunter2222", "xx", "src0", 9, "y"),
         (900005, "long " + " ".join(f"v{i % 4999}x{i}" for i in range(30000)), "en", "src1", 9, "y"),
-    ], docs.schema)
+    ], T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
     docs.unionByName(odd).write.parquet(f"{path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{path}/labels.parquet")
     return path
@@ -51,9 +52,8 @@ def test_stages(spark, folder):
     assert {(r.doc_id, r.text) for r in clean} <= {(r.doc_id, r.text) for r in kept}
     assert sum(r.doc_id == 900003 for r in kept) == 2 and all(r.n_words in ("clash", "x", "y") for r in kept)
     # Near duplicates: the smallest id of each class.
-    values = [brute_fingerprint(r.text) for r in kept]
     groups = {}
-    for r, c in zip(kept, classes_by_brute_force(values, 4)):
+    for r, c in zip(kept, near_copy_classes([r.text for r in kept])):
         groups.setdefault(c, []).append(r.doc_id if r.doc_id is not None else float("inf"))
     single = seen["near_duplicates"]
     assert sorted(r.doc_id for r in single) == sorted(min(g) for g in groups.values())
