@@ -3,7 +3,7 @@
 A source's target says how often each of its words is wanted. The whole part of that number is a number of certain
 copies of every document. The fraction is the inclusion probability of a sample without replacement: documents are ranked by
 the odds of a uniform number, drawn from a hash of the id, over the odds of inclusion, and taken in that order until the words that are left to
-the target are used up. One more document, the one whose size fits the last gap best, is taken if that
+the target are used up. Documents that did not fit are passed over, and the order is gone through again for what is left, three times in all. One more document, the one whose size fits the last gap best, is taken if that
 brings the source nearer to its target. Ranks are summed in range-partitioned segments, so one source may hold any share of the rows.
 """
 
@@ -18,6 +18,10 @@ from dimloom.llm.common import WORD, join_small, running_totals
 from dimloom.session import materialize
 
 
+# Times that the ranks are gone through.
+PASSES = 3
+
+
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -81,12 +85,17 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
         "_odds": (u / (1 - u)) / (chance / (1 - chance)),
         "_left": F.greatest(F.col("target") - F.col("_certain") * F.col("source_size"), F.lit(0.0)),
     }).drop("_propensity", "_draw")
-    ranked = materialize(running_totals(materialize(joined), ["_odds", "_id", "size", "_row"], ["size"], ["source_rank"]))
-
-    inside = F.col("before_size") + F.col("size") <= F.col("_left")
-    used = materialize(ranked.groupBy("source_rank").agg(
-        F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("_used")))
-    gapped = join_small(ranked, used, ["source_rank"]).withColumn("_gap", F.col("_left") - F.col("_used"))
+    gapped = materialize(joined.withColumns({"_in": F.lit(False), "_gap": F.col("_left")}))
+    for _ in range(PASSES):
+        # Along the ranks over what is left and could fit; a document too large for the gap stands in nobody's way.
+        fitting = ~F.col("_in") & (F.col("size") <= F.col("_gap"))
+        ranked = running_totals(materialize(gapped.withColumn("_size", F.when(fitting, F.col("size")).otherwise(0))),
+                                ["_odds", "_id", "size", "_row"], ["_size"], ["source_rank"])
+        ranked = materialize(ranked.withColumn("_in", F.col("_in") | (fitting & (F.col("before__size") + F.col("size") <= F.col("_gap")))).drop(
+            "before__size", "_size", "_gap"))
+        used = materialize(ranked.groupBy("source_rank").agg(F.coalesce(F.sum(F.when(F.col("_in"), F.col("size"))), F.lit(0)).alias("_used")))
+        gapped = join_small(ranked, used, ["source_rank"]).withColumn("_gap", F.col("_left") - F.col("_used")).drop("_used")
+    inside = F.col("_in")
     miss = F.abs(F.col("size") - F.col("_gap"))
     fits = ~inside & (miss < F.col("_gap"))
     last = materialize(gapped.where(fits).groupBy("source_rank").agg(

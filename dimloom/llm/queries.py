@@ -134,9 +134,16 @@ ORACLES["op6_pareto_mix"] = r"""
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     p AS (SELECT *, CAST(floor(wanted + 1e-12) AS BIGINT) AS certain, least(greatest(wanted - floor(wanted + 1e-12), 1e-9), 1 - 1e-9) AS chance FROM c),
     r AS (SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS odds, greatest(target - certain * source_size, 0) AS budget FROM p),
-    q AS (SELECT *, coalesce(SUM(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size
-                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= budget AS inside FROM r),
-    g AS (SELECT *, budget - coalesce(SUM(CASE WHEN inside THEN size END) OVER (PARTITION BY source), 0) AS gap FROM q),
+    -- Three times along the ranks, each time over what is left and fits the gap.
+    q1 AS (SELECT *, size <= budget AND SUM(CASE WHEN size <= budget THEN size ELSE 0 END) OVER w <= budget AS in1
+           FROM r WINDOW w AS (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    g1 AS (SELECT *, budget - coalesce(SUM(CASE WHEN in1 THEN size END) OVER (PARTITION BY source), 0) AS gap1 FROM q1),
+    q2 AS (SELECT *, in1 OR (size <= gap1 AND SUM(CASE WHEN NOT in1 AND size <= gap1 THEN size ELSE 0 END) OVER w <= gap1) AS in2
+           FROM g1 WINDOW w AS (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    g2 AS (SELECT *, budget - coalesce(SUM(CASE WHEN in2 THEN size END) OVER (PARTITION BY source), 0) AS gap2 FROM q2),
+    q3 AS (SELECT *, in2 OR (size <= gap2 AND SUM(CASE WHEN NOT in2 AND size <= gap2 THEN size ELSE 0 END) OVER w <= gap2) AS inside
+           FROM g2 WINDOW w AS (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    g AS (SELECT *, budget - coalesce(SUM(CASE WHEN inside THEN size END) OVER (PARTITION BY source), 0) AS gap FROM q3),
     f AS (SELECT *, NOT inside AND abs(size - gap) < gap AS fits FROM g),
     h AS (SELECT *, fits AND ROW_NUMBER() OVER (PARTITION BY source, fits ORDER BY abs(size - gap), odds, doc_id) = 1 AS last FROM f)
     SELECT doc_id, size, source_size, target, CAST((certain + CASE WHEN inside OR last THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM h"""

@@ -286,6 +286,12 @@ def test_mix(spark):
         assert 0 <= r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= 1 + 0.02 * target[s] for s in order)
+    # A document too long for what is left does not end the sample.
+    long = [(i, "s", "w " * rng.randrange(100, 900)) for i in range(100)] + [(100, "s", "w " * 20_000)]
+    one = spark.createDataFrame(long, "doc_id bigint, source string, text string")
+    for seed in ("a", "b", "c", "d"):
+        mixed = mixing.mix(one, (1,), 1.3, seed=seed).collect()
+        assert abs(sum(r.taken for r in mixed) - mixed[0].target) < 100
     again = mixing.mix(df.repartition(7)).collect()
     assert sorted((r.doc_id or -1, r.taken) for r in got) == sorted((r.doc_id or -1, r.taken) for r in again)
     assert mixing.mix(df.limit(0)).count() == 0

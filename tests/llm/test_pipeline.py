@@ -70,7 +70,8 @@ def test_stages(spark, folder):
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
     assert set(copies) <= set(texts) and max(copies.values()) <= 2
     words = lambda rows: sum(len(r.text.split()) for r in rows)
-    assert abs(words(seen["mix_sources"]) - 1.5 * words(seen["secret_scan"])) < 0.02 * words(seen["secret_scan"])
+    # One text has 30,001 words; a source can miss its target by half of its longest document.
+    assert abs(words(seen["mix_sources"]) - 1.5 * words(seen["secret_scan"])) < 0.02 * words(seen["secret_scan"]) + 30_001 / 2
     for name in list(seen)[:-1]:
         assert seen[name][0].__fields__ == columns
     # Packing: every copy whole.
