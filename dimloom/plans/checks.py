@@ -16,6 +16,7 @@ from dimloom.plans.dims import contacts
 from dimloom.plans.staging import RETURN_REASONS, Staging, ntz
 from dimloom.session import scratch_path
 from dimloom.sources import tables as IO
+from dimloom.sources.manifest import ManifestTable
 from dimloom.sources.types import ColumnSpec, reject_counts, typed_ingest
 
 # ---- reconciliation ----------------------------------------------------------------
@@ -303,6 +304,17 @@ def replicate_whole(t: Staging) -> DataFrame:
     return IO.replicate(t.spark, {n: (lambda n=n: t.table(n)) for n in ("lineitem", "orders")}, lambda n: f"{root}/{n}")
 
 
+@query("replace_by_manifest", "S5 S6", """
+    SELECT o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT c_custkey, c_acctbal FROM customer""")
+def replace_by_manifest(t: Staging) -> DataFrame:
+    """A table loaded, replaced by rows read from itself, and added to; no data is moved or renamed."""
+    table = ManifestTable(t.spark, scratch_path(t.spark, "manifest"))
+    table.replace(t.table("orders"))
+    table.replace(table.read().where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount")))
+    table.append(t.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount")))
+    return table.read()
+
+
 @query("append_and_create", "S6 S8", """
     SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey::BIGINT, r_name FROM region""")
 def append_and_create(t: Staging) -> DataFrame:

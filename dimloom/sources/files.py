@@ -28,3 +28,19 @@ class Files:
 
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
+
+    def read_text(self, path: str) -> str:
+        """A small file as text."""
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create_text(self, path: str, text: str) -> None:
+        """Write a small new file; one that exists is an error."""
+        stream = self._fs.create(self._path(path), False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()

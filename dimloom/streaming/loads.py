@@ -95,45 +95,82 @@ class UpsertLog:
 
 
 class Scd2Stream:
-    """SCD2 on a stream. A batch writes the versions it closed and the new current rows.
+    """SCD2 on a stream. A batch writes the versions it closed and the current rows of the key buckets it touches.
 
     Several changes of a key in one batch make several versions, so the result does not
     depend on where one batch ends. A change that is not newer than its key's current version
-    goes to the late table. Closed versions are never read or rewritten by later batches;
-    readers take the closed versions of all batches and the current rows of the newest.
+    goes to the late table. Closed versions are never read or rewritten by later batches. Current rows lie in hash buckets of the key; a small table
+    beside them says, per batch, which batch wrote each bucket last. Buckets without changes are neither read nor written, so with enough buckets
+    a batch costs what its own keys' buckets hold.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], tracked: Tracked,
-                 effective: str, start: DataFrame | None = None):
-        self.table = BatchTable(spark, f"{path.rstrip('/')}/versions", schema)
+                 effective: str, start: DataFrame | None = None, buckets: int = 64):
+        root = path.rstrip("/")
+        self.schema, self.buckets = schema, buckets
+        self.table = BatchTable(spark, f"{root}/versions", T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())]))
+        self.places = BatchTable(spark, f"{root}/places", T.StructType.fromDDL("_bucket int, written bigint"))
         change = T.StructType([f for f in schema.fields if f.name not in ("valid_from", "valid_to", "is_current")]
                               + [T.StructField(effective, schema["valid_from"].dataType)])
-        self.late = BatchTable(spark, f"{path.rstrip('/')}/late", change)
+        self.late = BatchTable(spark, f"{root}/late", change)
         self.keys, self.tracked, self.effective = list(keys), tracked, effective
-        if start is not None and not self.table.batches():
-            self.table.write(start, -1, ["is_current"])
+        if start is not None and not self.places.batches():
+            rows = self._bucketed(start.select(*schema.names))
+            self._write(rows, -1, [r["_bucket"] for r in rows.select("_bucket").distinct().collect()], {})
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def written(self, before: int | None = None) -> dict[int, int]:
+        """For each bucket the batch that wrote its current rows: at most ``buckets`` rows."""
+        done = self.places.batches(before)
+        if not done:
+            return {}
+        newest = self.places.read(before).where(F.col("batch") == done[-1])
+        return {r["_bucket"]: r["written"] for r in newest.collect()}
+
+    def _write(self, rows: DataFrame, batch: int, touched: Sequence[int], before: dict[int, int]) -> None:
+        self.table.write(rows, batch, ["is_current", "_bucket"])
+        now = sorted((before | dict.fromkeys(touched, batch)).items())
+        self.places.write(self.table.spark.createDataFrame(now, self.places.schema).coalesce(1), batch)
+
+    def _current(self, written: dict[int, int]) -> Column:
+        """Marks the current rows that count, by folders alone."""
+        by_batch: dict[int, list[int]] = {}
+        for bucket, batch in written.items():
+            by_batch.setdefault(batch, []).append(bucket)
+        here = F.lit(False)
+        for batch, some in by_batch.items():
+            here = here | ((F.col("batch") == batch) & F.col("_bucket").isin(some))
+        return F.col("is_current") & here
 
     def read(self, before: int | None = None) -> DataFrame:
-        done = self.table.batches(before)
-        rows = self.table.read(before)
-        newest = done[-1] if done else None
-        return rows.where(~F.col("is_current") | (F.col("batch") == F.lit(newest))).drop("batch")
+        rows = self.table.read(before).where(~F.col("is_current") | self._current(self.written(before)))
+        return rows.select(*self.schema.names)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        current = self.read(before=batch_id).where("is_current")
-        newer, late = split_late(current, batch.select(*self.late.schema.names), self.keys, self.effective)
+        changes = self._bucketed(batch.select(*self.late.schema.names))
+        touched = [r["_bucket"] for r in changes.select("_bucket").distinct().collect()]
+        before = self.written(batch_id)
+        stored = self.table.read(before=batch_id).where(self._current({k: v for k, v in before.items() if k in touched}))
+        current = stored.select(*self.schema.names)
+        newer, late = split_late(current, changes.drop("_bucket"), self.keys, self.effective)
         self.late.write(late, batch_id)
-        self.table.write(scd2_history(current, newer, self.keys, self.tracked, self.effective), batch_id, ["is_current"])
-
+        self._write(self._bucketed(scd2_history(current, newer, self.keys, self.tracked, self.effective)), batch_id, touched, before)
 
     def trim(self, keep: int = 2) -> None:
-        """Remove the current rows of all but the newest ``keep`` batches: readers no longer look
-        at them. Keep at least two, so the newest batch can still be replayed."""
+        """Remove current rows that the newest ``keep`` batches no longer look at. Keep at least two, so the newest
+        batch can still be replayed."""
         if keep < 2:
             raise ValueError("a replay of the newest batch needs the current rows before it")
+        done = self.places.batches()
+        used = {pair for b in done[-keep:] for pair in self.written(before=b + 1).items()}
         files = Files(self.table.spark, self.table.path)
-        for batch in self.table.batches()[:-keep]:
-            files.remove(f"{self.table.folder(batch)}/is_current=true")
+        for batch in done[:-keep]:
+            folder = f"{self.table.folder(batch)}/is_current=true"
+            for name in files.children(folder):
+                if (int(name.removeprefix("_bucket=")), batch) not in used:
+                    files.remove(f"{folder}/{name}")
 
 
 def route_late(target: BatchTable, late: BatchTable, event_time: str, allowed: str,

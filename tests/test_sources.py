@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from dimloom.sources import tables as IO
 from dimloom.sources.files import Files
+from dimloom.sources.manifest import ManifestTable
 from dimloom.sources.types import ColumnSpec, TypeMappingError, reject_counts, spark_type, struct_from_specs, typed_ingest
 from tests.conftest import rows
 
@@ -126,3 +127,27 @@ def test_create_table(spark, tmp_path):
     assert spark.read.parquet(path).columns == ["a", "b"]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         IO.create_table(spark, path, T.StructType.fromDDL("a int"))
+
+
+def test_manifest_table_is_replaced_whole(spark, tmp_path):
+    table = ManifestTable(spark, str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.replace(spark.range(5).toDF("x")) == 5
+    reader = table.read()  # resolved before the swap
+    assert table.replace(table.read().select((F.col("x") + 10).alias("x"))) == 5
+    assert rows(reader, "x") == [(i,) for i in range(5)] and rows(table.read(), "x") == [(i,) for i in range(10, 15)]
+    assert table.append(spark.range(1).toDF("x")) == 1 and table.read().count() == 6
+    # A writer that fails, before or while it writes its manifest, leaves the table as it was.
+    with pytest.raises(Exception):
+        table.replace(spark.range(3).select(F.raise_error(F.lit("boom")).cast("bigint").alias("x")))
+    broken = tmp_path / "t" / "manifest" / "000000000004.json"
+    broken.write_text('{"folders": [')
+    assert table.newest() == 3 and table.read().count() == 6
+    # The next writer goes on behind it; a second one with the same number fails.
+    assert table.replace(spark.range(2).toDF("x")) == 2 and table.newest() == 5
+    with pytest.raises(Exception):
+        table._files.create_text(table._manifest(5), "again")
+    assert table.read(1).count() == 5
+    table.vacuum(keep=1)
+    assert table.versions() == [5] and table.read().count() == 2 and len(list((tmp_path / "t" / "data").iterdir())) == 1
