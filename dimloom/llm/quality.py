@@ -186,14 +186,15 @@ def learn(features: DataFrame, labels: DataFrame, stratum: str = "lang", key: st
     """The certified cutoffs, written out: one row per stratum, one column per rule, null where the rule rejects nothing.
 
     ``features`` are the rows of ``text_features``. ``labels`` has ``key`` and ``quality`` (1 is good); null keys or qualities
-    take no part, and a document labelled both ways counts as both.
+    take no part, and a document labelled both ways counts as both. The tests need independent labels, so an id counts once in a
+    stratum however many rows it has; where its rows differ, with the largest value of each rule, which can only make a cutoff harder to certify.
     """
     shown = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).select(
         F.col(key).alias("_key"), (F.col("quality") == 1).alias("_good")).distinct()
     values = rule_values()
     labelled = (features.where(~base_failed())
                 .select(F.col(key).alias("_key"), stratum_of(stratum).alias("_stratum"), *[v.alias(k) for k, v in values.items()])
-                .join(shown, "_key"))
+                .join(shown, "_key").groupBy("_key", "_stratum", "_good").agg(*[F.max(k).alias(k) for k in values]))
     chosen = choose_cutoffs(labelled, "_stratum", "_good", risk)
     return materialize(chosen.groupBy("_stratum").agg(*[
         F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in values]))

@@ -200,6 +200,17 @@ def test_cutoffs_keep_the_bound(spark):
     assert all(r.kept for r in judged.values() if r.lang is None)
 
 
+def test_repeated_rows_are_no_more_labels(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" + ("###" if i % 3 == 0 else "") for _ in range(60)), "aa") for i in range(60)]
+    features = quality.text_features(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    marks = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(60)], "doc_id bigint, quality int")
+    once = quality.learn(features, marks).collect()
+    many = quality.learn(features.crossJoin(spark.range(20)).drop("id"), marks.unionByName(marks)).collect()
+    # Forty good documents certify nothing, and no more when each comes twenty times.
+    assert once == many and all(v is None for r in once for c, v in r.asDict().items() if c.startswith("_cut_"))
+
+
 def test_no_labels_no_method(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     features = quality.text_features(docs.withColumnRenamed("id", "lang"))
