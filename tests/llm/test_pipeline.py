@@ -100,7 +100,7 @@ def test_mixture_tells_null_and_repeated_ids_apart(spark):
 def test_registered(spark):
     names = list(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 
