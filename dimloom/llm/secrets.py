@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -153,7 +154,8 @@ def find_spans(text: str, rules: EntropyRules) -> list[tuple[str, int, int]]:
         at, word = run.start(), run[0]
         found += [("access", at + m.start(), at + m.end()) for m in _ACCESS.finditer(word) if len(m[0]) >= 20]
         found += [("hex", at + m.start(), at + m.end()) for m in _HEX.finditer(word) if len(m[0]) >= 24]
-    known = sorted((s, e) for _, s, e in found)
+    known = list(merged_spans(sorted((s, e) for _, s, e in found)))
+    ends = [e for _, e in known]
     for start, word in candidates(text, runs, rules.width):
         if any(a in word for a in rules.allow):
             continue
@@ -165,8 +167,18 @@ def find_spans(text: str, rules: EntropyRules) -> list[tuple[str, int, int]]:
                 at = start + word.index(part)
                 suspicious += [(at + s, at + e) for s, e in window_spans(part, limit, rules.width)]
         for s, e in merged_spans(suspicious):
-            if not any(a < e and s < b for a, b in known):
+            i, at, rest = bisect_right(ends, s), s, []
+            if i == len(known) or known[i][0] >= e:
                 found.append(("entropy", s, e))
+                continue
+            # What the base spans leave of it is tested by itself.
+            while i < len(known) and known[i][0] < e:
+                rest.append((at, known[i][0]))
+                at, i = known[i][1], i + 1
+            for a, b in [*rest, (at, e)]:
+                limit = character_class(text[a:b], rules) if b - a >= rules.width else None
+                if limit is not None:
+                    found += [("entropy", a + x, a + y) for x, y in merged_spans(window_spans(text[a:b], limit, rules.width))]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
