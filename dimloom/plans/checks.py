@@ -10,7 +10,9 @@ from dimloom.functions import scalar as X
 from dimloom.operators import compare as C
 from dimloom.operators import hierarchy as H
 from dimloom.operators import quality as Q
+from dimloom.operators.digests import Snapshot, changed_rows
 from dimloom.operators.loads import run_steps
+from dimloom.operators.relational import with_scalar
 from dimloom.plans.catalog import query
 from dimloom.plans.dims import contacts
 from dimloom.plans.staging import RETURN_REASONS, Staging, ntz
@@ -103,6 +105,29 @@ def snapshot_difference(t: Staging) -> DataFrame:
     return C.snapshot_diff(old, new, ["c_custkey"])
 
 
+def _orders_before_and_after(t: Staging) -> tuple[DataFrame, DataFrame]:
+    """The orders, and the orders after a day: the last day's are new, the first day's are gone, large urgent ones of one month have another price."""
+    orders = t.table("orders")
+    days = orders.agg(F.min("o_orderdate").alias("_first"), F.max("o_orderdate").alias("_last"))
+    dated = with_scalar(orders, days)
+    moved = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 400000) & (F.month("o_orderdate") == 5)
+    price = F.when(moved, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice")
+    return (dated.where("o_orderdate < _last").select(*orders.columns),
+            dated.where("o_orderdate > _first").select(*[price if c == "o_totalprice" else c for c in orders.columns]))
+
+
+@query("snapshot_changes_by_digest", "C5", """
+    WITH days AS (SELECT MIN(o_orderdate) AS first_day, MAX(o_orderdate) AS last_day FROM orders),
+    marked AS (SELECT o_orderkey, o_orderdate < last_day AS before, o_orderdate > first_day AS after,
+                      o_orderpriority = '1-URGENT' AND o_totalprice > 400000 AND EXTRACT(month FROM o_orderdate) = 5 AS moved FROM orders, days)
+    SELECT o_orderkey, CASE WHEN NOT before THEN 'new' WHEN NOT after THEN 'removed' ELSE 'changed' END AS status
+    FROM marked WHERE before <> after OR (before AND moved)""")
+def snapshot_changes_by_digest(t: Staging) -> DataFrame:
+    """Two stored snapshots of the orders: only buckets whose digests differ are read."""
+    old, new = [Snapshot(t.spark, scratch_path(t.spark, "snapshot")).write(df, ["o_orderkey"], 12) for df in _orders_before_and_after(t)]
+    return changed_rows(old, new)
+
+
 @query("row_fingerprints", "C6", r"""
     SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) || chr(31) || lower(trim(lang))) AS fingerprint
     FROM documents""")

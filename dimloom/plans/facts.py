@@ -140,9 +140,9 @@ def orders_with_returned_peak(t: Staging) -> DataFrame:
                            {"peak": F.max("l_discount"), "n": F.count(F.lit(1))}, keep_unmatched=False)
 
 
-@query("load_fct_sales_historical", "N7 M1 M9 Q7", f"SELECT {FACT_OUT} FROM fct_sales")
+@query("load_fct_sales_historical", "N7 M1 Q7", f"SELECT {FACT_OUT} FROM fct_sales")
 def load_fct_sales_historical(t: Staging) -> DataFrame:
-    """The batched rebuild. Batches only bound a transaction; the union of all batches is one job."""
+    """The rebuild. Batches only bound a transaction there; the union of all batches is one job here."""
     return t.fct_sales
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from dimloom.operators import profiling as P
 from dimloom.operators.keys import find_composite_foreign_keys as composite_foreign_keys
 from dimloom.operators.keys import find_keys as find_all_keys
+from dimloom.operators.sketches import ProfileLog
 from dimloom.plans.catalog import query
 from dimloom.plans.dims import contacts, customer_before
 from dimloom.plans.facts import customer_history
 from dimloom.plans.staging import TABLES, Staging, ntz
+from dimloom.session import scratch_path
 
 CUSTOMER_COLUMNS = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")]
 
@@ -37,6 +39,36 @@ def profile_columns_nulls(t: Staging) -> DataFrame:
     return P.profile_columns(t.stg_product.select("product_id", "color", "product_line", "sell_end_date"))
 
 
+_ARRIVING = {"l_orderkey": True, "l_linenumber": True, "l_extendedprice": True, "l_returnflag": False}
+
+
+@query("profile_by_arrival", "F4", " UNION ALL ".join(f"""
+    SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, {f'CAST(MIN({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS least,
+           {f'CAST(MAX({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS greatest, TRUE AS distinct_close, TRUE AS quantiles_close FROM lineitem"""
+                                               for c, number in _ARRIVING.items()))
+def profile_by_arrival(t: Staging) -> DataFrame:
+    """Four columns of the lines, recorded in a batch per year of shipping and merged: distinct counts within 8 % and quantiles within 3 % of their rank."""
+    names = list(_ARRIVING)
+    lines = t.table("lineitem")
+    log = ProfileLog(t.spark, scratch_path(t.spark, "profile"))
+    years = [r[0] for r in lines.select(F.year("l_shipdate").alias("y")).distinct().collect()]  # a handful of years
+    for n, year in enumerate(sorted(years, key=str)):
+        log.record(lines.where(F.year("l_shipdate").eqNullSafe(F.lit(year))).select(*names), n)
+    exact = P.distinct_counts(lines.select(*names)).withColumnRenamed("distinct_values", "exact")
+    merged = log.read().join(F.broadcast(exact), "column_name")
+    middle = {r.column_name: r.quantiles[1] for r in merged.select("column_name", "quantiles").collect() if r.quantiles}
+    # The share of rows up to the median that the sketch gives, and below it.
+    ranks = lines.agg(*[F.struct((F.count_if(F.col(c) < v) / F.count(c)).alias("below"), (F.count_if(F.col(c) <= v) / F.count(c)).alias("upto")).alias(c)
+                        for c, v in middle.items()])
+    tested = ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), ((F.col(c)["below"] <= 0.53) & (F.col(c)["upto"] >= 0.47)).alias("near"))
+                                             for c in middle])))
+    number = lambda c: F.when(F.col("type") != "string", F.col(c)).cast("double").alias(c)
+    return merged.join(F.broadcast(tested), "column_name", "left").select(
+        "column_name", "rows", "nulls", number("least"), number("greatest"),
+        (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.08 * F.col("exact")).alias("distinct_close"),
+        F.coalesce("near", F.lit(True)).alias("quantiles_close"))
+
+
 def _keys_sql(table: str) -> str:
     """Every set of the table's columns but the floating-point ones: unique, complete, and without a smaller set that is."""
     names = [c.split()[0] for c in TABLES[table].split(", ") if not c.endswith(" double")]
