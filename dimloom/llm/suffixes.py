@@ -4,8 +4,8 @@ Wanted are the places where a document starts a string of ``length`` bytes that
 all suffixes of all documents would move one record per byte. Instead a cover sample of the suffixes is sorted first: of the
 grams of ``GRAM`` bytes inside every window of ``length`` bytes the one with the least hash is sampled, so two equal windows always
 hold the same sampled gram at the same offset. (A difference cover of positions has that property for all pairs of windows and samples 6 of
-31 positions; choosing by content samples about 1 of 14.) Sampled suffixes are dealt into buckets by the leading bits of their
-names, and a task sorts one bucket at a time; a gram that two different texts share is a tie. Only suffixes whose window's sample is
+31 positions; choosing by content samples about 1 of 14.) Sampled suffixes are dealt into buckets by a mix of their
+names, as many as the size of the input asks for, and a task sorts one bucket at a time; a gram that two different texts share is a tie. Only suffixes whose window's sample is
 tied are then sorted in the same way, by names of the whole window. Every record is a name of fixed size, so a bucket's memory does not depend on
 how long its strings agree. Exact copies are settled beforehand by their SHA-256.
 """
@@ -29,8 +29,10 @@ WINDOW_RECORD, SAMPLE_RECORD = 8, 6
 # Odd constants of the hash, one for each 8 bytes.
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
         0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
-# Bytes that are worked on at once.
+# Names that are worked on at once.
 SLAB = 1 << 20
+# Bytes of text whose names a bucket holds at most, about: this bounds a task, whatever the number of shuffle partitions is.
+BUCKET_BYTES = 24 << 20
 
 
 def names(data, length: int):
@@ -81,10 +83,11 @@ def sample(data, length: int, gram: int):
 
 
 def bucket_of(name, buckets: int):
-    """Buckets by the name's leading 16 bits."""
+    """Buckets by a second mix of the name. Sampled names are least hashes, so their own leading bits would crowd the first buckets."""
     import numpy as np
 
-    return ((name >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+    mixed = (name ^ (name >> np.uint64(31))) * np.uint64(_ODD[3])
+    return ((mixed >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def packed(name, width: int) -> bytes:
@@ -282,13 +285,14 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     from one another. Names have 64 bits, so two different windows are taken for equal with a chance of n * n / 2**65.
     """
     spark = df.sparkSession
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.sha2(body, 256)
     largest = (1 << 63) - 1
     docs = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(largest)).alias("owner"),
                      body.alias("body"), F.substring(F.unhex(digest), 1, 16).alias("key"), digest.alias("sha"))
     ids = materialize(docs.select("id", "owner", "key", "sha", F.octet_length("body").cast("bigint").alias("n_bytes")))
+    size = ids.agg(F.sum("n_bytes").alias("n")).first().n or 0
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-size // BUCKET_BYTES))
     firsts = materialize(ids.groupBy("key").agg(F.min("owner").alias("first")))
 
     def deal_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

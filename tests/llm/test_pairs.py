@@ -315,6 +315,13 @@ def brute_url(url):
     return host, path, best and best[1], best and best[0]
 
 
+def test_buckets_of_sampled_names_are_even():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 400_000).astype(np.uint8)
+    sizes = np.bincount(suffixes.bucket_of(suffixes.sample(data, suffixes.LENGTH, suffixes.GRAM), 50), minlength=50)
+    assert sizes.max() < 1.3 * sizes.mean() and sizes.min() > 0.7 * sizes.mean()
+
+
 def test_urls(spark):
     odd = [None, "", "no scheme", "http://", "http://A.ORG", "http://a.org/", "x://b.example.org/es/1?q#f", "https://Example.ORG/en/12", "http://É.com/fr/x",
            "http://com/fr/", "http://xcom/fr/", "http://a.com?x=/fr/", "http://a.com/de/#/fr/", "a://b://c/d", "http://org/ \n?", "http://user@org/"]
