@@ -124,7 +124,7 @@ def _orders_before_and_after(t: Staging) -> tuple[DataFrame, DataFrame]:
     FROM marked WHERE before <> after OR (before AND moved)""")
 def snapshot_changes_by_digest(t: Staging) -> DataFrame:
     """Two stored snapshots of the orders: only buckets whose digests differ are read."""
-    old, new = [Snapshot(t.spark, scratch_path(t.spark, "snapshot")).write(df, ["o_orderkey"], 12) for df in _orders_before_and_after(t)]
+    old, new = [Snapshot(t.spark, scratch_path(t.spark, "snapshot")).write(df, ["o_orderkey"], 8) for df in _orders_before_and_after(t)]
     return changed_rows(old, new)
 
 
