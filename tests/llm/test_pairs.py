@@ -259,6 +259,34 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [1, 2]
 
 
+@pytest.mark.parametrize("size", [600, 6000])
+def test_leaves_stay_small_however_many_rows(spark, size):
+    rng, step = np.random.default_rng(4), 5 if size < 1000 else 50
+    x = rng.standard_normal((40, 12))[rng.integers(0, 40, size)] + 0.3 * rng.standard_normal((size, 12))
+    x[::9] = x[0]
+    x[size // 2] = 2 * x[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rules = neighbours.TreeRules(sample=200, branching=4, leaf=16, rows=60, trials=80, piece=64, query_piece=8)
+    held = df.select(F.col("vec_id").alias("row"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit("0").alias("leaf"))
+    held = held.where("id % 9 <> 0 or id < 50")
+    index, rounds = held, 0
+    while (trees := neighbours.split(index, rules)) is not None:
+        index, rounds = materialize(neighbours.deeper(index, trees, rules)), rounds + 1
+    assert rounds >= 1 and index.count() == held.count()
+    assert index.groupBy("leaf").count().agg(F.max("count")).first()[0] <= rules.rows
+    got: dict[int, list] = {}
+    for r in neighbours.search(df, F.col("vec_id") % step == 0, 5, rules=rules).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, size, step):
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -2
+        hits += len(set(np.lexsort((np.arange(size), -score))[:5].tolist()) & set(got[q]))
+    assert len(got) == size // step and all(len(v) == 5 for v in got.values())
+    assert hits >= 0.9 * 5 * (size // step)
+
+
 def test_mix(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["a", "b", "c", "é", None]) if i % 3 else "hot", "w " * rng.choice([0, 1, 30, 400])) for i in range(900)]
