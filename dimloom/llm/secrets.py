@@ -4,8 +4,9 @@ A candidate is a run of key characters. Windows of a fixed width slide over it;
 kept up to date as one character enters and one leaves, and with them the sum of c*log2(c), so a step costs the
 same however long the run is. A window is suspicious if its Shannon entropy reaches the limit of its character class:
 hexadecimal, letters and digits, or base64. Touching suspicious windows form one span. Allow-lists suppress what only
-looks random: plain words, identifiers in known forms, counting sequences, and of addresses the hosts and paths: user names, passwords, query values, and
-the path segments of webhooks and the like are tested.
+looks random: plain words, identifiers in known forms, counting sequences, and of addresses the hosts. User names, passwords and query values
+are tested like other text, and so are the path segments of webhooks and the like; of other paths the runs of letters and digits are, by a limit of
+their own and only if capitals, small letters and digits are mixed, as titles, dates and hashes of files stand there, too.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ _PART = re.compile(r"[A-Za-z0-9]{20,}")
 _URL = re.compile(r"(?:://|www\.)((?:(?!://)[A-Za-z0-9._~:/?#\[\]@!$&*+=%-])*)")
 # User and password before the host. A password may hold a slash if a colon stands before it that begins no port.
 _USERINFO = re.compile(r"[^/?#]*@|[^/?#@:]*:(?!\d+(?:[/?#]|\Z))[^?#]*@")
-# URLs whose paths carry keys.
+# URLs whose paths carry keys: their segments need no more entropy than other text.
 _KEYED_PATH = re.compile(r"hook|/services/|/bot\d|token|secret|api[_-]?key|/keys?/|auth|sign", re.IGNORECASE)
 # The domain of an e-mail address.
 _MAIL = re.compile(r"(?<=[A-Za-z0-9._%+-]@)(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9+/_=-])")
@@ -47,12 +48,17 @@ _RULER = re.compile(r"(.)\1*|[-_=+/]+|(0123456789|1234567890|abcdefghijklmnopqrs
 
 @dataclass(frozen=True)
 class EntropyRules:
-    """Window width, and the least entropy in bits for each character class (at most log2 of the width)."""
+    """Window width, and the least entropy in bits for each character class (at most log2 of the width).
+
+    ``path`` and ``changes`` are for runs in ordinary paths: their entropy, and the share of places where the kind of character changes.
+    """
 
     width: int = 20
     hexadecimal: float = 3.2
     letters_digits: float = 3.7
     base64: float = 3.9
+    path: float = 3.9
+    changes: float = 0.4
     allow: tuple[str, ...] = ()
 
 
@@ -107,28 +113,45 @@ def character_class(text: str, rules: EntropyRules) -> float | None:
     return rules.letters_digits if text.isalnum() else rules.base64
 
 
-def harmless_spans(text: str) -> list[tuple[int, int]]:
-    """Where only addresses stand: hosts, paths that carry no key, and domains of e-mail addresses.
+def path_limit(text: str, rules: EntropyRules) -> float | None:
+    """The entropy limit of a run of letters and digits in an ordinary path; None for hashes, titles and numbers.
 
-    User names, passwords, query values and fragments are not among them. Slashes are, so that the segments of a keyed path are candidates apart.
+    Random letters and digits change between capitals, small letters and digits at 0.62 of all places, joined words at about 0.3.
     """
-    out = [m.span() for m in _MAIL.finditer(text)] if "@" in text else []
+    kinds = [c.isdigit() + 2 * c.isupper() for c in text]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    mixed = len(set(kinds)) == 3 and changes >= rules.changes * (len(text) - 1)
+    return rules.path if mixed and character_class(text, rules) is not None else None
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """URLs as (start of the host, of the path, end of the path, whether the address speaks of keys)."""
     for m in _URL.finditer(text) if "://" in text or "www." in text else ():
         at, url = m.start(1), m[1]
         host = user.end() if (user := _USERINFO.match(url)) else 0
         path = next((i for i in range(host, len(url)) if url[i] in "/?#"), len(url))
         end = next((i for i in range(path, len(url)) if url[i] in "?#"), len(url))
-        if not _KEYED_PATH.search(url, host, end):
-            out.append((at + host, at + end))
+        yield at + host, at + path, at + end, bool(_KEYED_PATH.search(url, host, end))
+
+
+def harmless_spans(text: str, urls: Sequence[tuple[int, int, int, bool]]) -> list[tuple[int, int]]:
+    """Where only addresses stand: hosts, paths that speak of no key, and domains of e-mail addresses.
+
+    User names, passwords, query values and fragments are not among them. Slashes are, so that the segments of a keyed path are candidates apart.
+    """
+    out = [m.span() for m in _MAIL.finditer(text)] if "@" in text else []
+    for host, path, end, keyed in urls:
+        if not keyed:
+            out.append((host, end))
             continue
-        out.append((at + host, at + path))
-        out += [(at + i, at + i + 1) for i in range(path, end) if url[i] == "/"]
+        out.append((host, path))
+        out += [(i, i + 1) for i in range(path, end) if text[i] == "/"]
     return merged_spans(out)
 
 
-def candidates(text: str, runs: Sequence[re.Match], width: int) -> Iterator[tuple[int, str]]:
+def candidates(text: str, runs: Sequence[re.Match], urls: Sequence[tuple[int, int, int, bool]], width: int) -> Iterator[tuple[int, str]]:
     """Start and characters of what is left of the runs outside addresses."""
-    harmless = harmless_spans(text) if runs else []
+    harmless = harmless_spans(text, urls) if runs else []
     first = 0
     for run in runs:
         at, end = run.span()
@@ -156,13 +179,16 @@ def find_spans(text: str, rules: EntropyRules) -> list[tuple[str, int, int]]:
         found += [("hex", at + m.start(), at + m.end()) for m in _HEX.finditer(word) if len(m[0]) >= 24]
     known = list(merged_spans(sorted((s, e) for _, s, e in found)))
     ends = [e for _, e in known]
-    for start, word in candidates(text, runs, rules.width):
+    urls = list(addresses(text)) if runs else []
+    tested = [(*c, character_class) for c in candidates(text, runs, urls, rules.width)]
+    tested += [(m.start(), m[0], path_limit) for _, path, end, keyed in urls if not keyed for m in _PART.finditer(text, path, end)]
+    for start, word, least in tested:
         if any(a in word for a in rules.allow):
             continue
         suspicious = []
         # The whole candidate by its own class, and its parts between separators by theirs.
         for part in dict.fromkeys([word, *_PART.findall(word)]):
-            limit = character_class(part, rules)
+            limit = least(part, rules)
             if limit is not None:
                 at = start + word.index(part)
                 suspicious += [(at + s, at + e) for s, e in window_spans(part, limit, rules.width)]
@@ -176,7 +202,7 @@ def find_spans(text: str, rules: EntropyRules) -> list[tuple[str, int, int]]:
                 rest.append((at, known[i][0]))
                 at, i = known[i][1], i + 1
             for a, b in [*rest, (at, e)]:
-                limit = character_class(text[a:b], rules) if b - a >= rules.width else None
+                limit = least(text[a:b], rules) if b - a >= rules.width else None
                 if limit is not None:
                     found += [("entropy", a + x, a + y) for x, y in merged_spans(window_spans(text[a:b], limit, rules.width))]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))

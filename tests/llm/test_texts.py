@@ -221,7 +221,8 @@ def test_no_labels_no_method(spark, docs):
 @pytest.mark.parametrize("before, after", [
     ("https://hooks.slack.com/services/T0AB12CD3/B0EF45GH6/", ""), ("postgres://app:", "@db.example.org/main"), ("postgres://app:x/", "@db:5432/main"),
     ("https://example.org/a/b?sid=", "&x=1"), ("https://example.org/a#", ""), ("联系@客服获取", "谢谢"), ("{url:https://example.org/a,key:", "}"),
-    ("@" + "x," * 990, ""), ("@" + "x," * 1010, ""), ("https://example.org/a中文", ""), ("https://api.telegram.org/bot123456:", "/send"),
+    ("@" + "x," * 990, ""), ("@" + "x," * 1010, ""), ("https://example.org/a中文", ""), ("https://example.org/download/", "/page"), ("see www.example.org/", ""),
+    ("https://example.org/0123456789abcdef0123456789abcdef/", ".zip?x=1"), ("https://api.telegram.org/bot123456:", "/send"),
 ])
 def test_keys_in_and_behind_addresses(before, after):
     key = "q7Zt2mXw9KpLr4VbN8sYc3Hd"
@@ -231,7 +232,9 @@ def test_keys_in_and_behind_addresses(before, after):
 
 
 @pytest.mark.parametrize("text", [
-    "https://example.org/wiki/q7Zt2mXw9KpLr4VbN8sYc3Hd/page", "see www.example.org/q7Zt2mXw9KpLr4VbN8sYc3Hd", "mail me@q7Zt2mXw9KpLr4VbN8sYc3Hd.example.org now",
+    "https://q7Zt2mXw9KpLr4VbN8sYc3Hd.example.org/page", "mail me@q7Zt2mXw9KpLr4VbN8sYc3Hd.example.org now",
+    "https://example.org/wiki/ListOfInternationallyRecognisedStatesByPopulationIn2024", "https://example.org/2024/05/10-quick-wins-for-job-hunters-vexed-by-2023",
+    "https://example.org/static/app.9F86D081884C7D659A2FEAA0.js", "https://example.org/a/IMG20240501120000000000Xx/view",
 ])
 def test_plain_addresses_are_no_secrets(text):
     assert secrets.find_spans(text, secrets.EntropyRules()) == []
