@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from dimloom.functions.scalar import exact_key
 from dimloom.operators.loads import CURRENT, one_per_key, scd2_merge, sides
-from dimloom.operators.ordered import match_keys
-from dimloom.operators.relational import explode_axis
+from dimloom.operators.ordered import match_keys, row_numbers
+from dimloom.operators.relational import explode_axis, with_scalar
 
 
 def _calendar(days: DataFrame) -> DataFrame:
@@ -216,18 +216,39 @@ def densify(df: DataFrame, spine: DataFrame, entities: DataFrame, entity: str, p
             fill: str = "zero") -> DataFrame:
     """A row per entity and period. Gaps become 0 or carry the last known value forward.
 
-    ``spine`` is a calendar, so each entity is spread over it as an array; the entities
-    stay where they are.
+    To fill with zeros the entities are spread over the calendar ``spine``. To carry values forward nothing is crossed: each known row
+    makes its own cells up to the entity's next one. Rows of unknown entities or of periods off the spine take no part.
     """
+    if fill == "carry":
+        return _carried(df, spine, entities, entity, period, measures)
+    if fill != "zero":
+        raise ValueError(f"unknown fill {fill}")
     grid = explode_axis(entities.select(entity).distinct(), spine, period)
     out = grid.join(df.select(entity, period, *measures), [entity, period], "left")
-    if fill == "zero":
-        return out.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in measures})
-    if fill != "carry":
-        raise ValueError(f"unknown fill {fill}")
-    # An entity has one row per calendar period, so a group is as long as the calendar.
-    w = W.partitionBy(entity).orderBy(period).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return out.withColumns({m: F.last(m, ignorenulls=True).over(w) for m in measures})
+    return out.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in measures})
+
+
+def _carried(df: DataFrame, spine: DataFrame, entities: DataFrame, entity: str, period: str, measures: Sequence[str]) -> DataFrame:
+    places = row_numbers(spine.select(period).distinct(), [period], "_place")
+    length = places.agg(F.count(F.lit(1)).alias("_length"))
+    # Every entity begins at place 0, before the calendar, with nothing known.
+    begin = entities.select(entity).distinct().select(entity, F.lit(0).cast("bigint").alias("_place"), *[
+        F.lit(None).cast(df.schema[m].dataType).alias(m) for m in measures])
+    known = df.where(F.col(entity).isNotNull()).select(entity, period, *measures).join(places, period).select(
+        entity, F.col("_place").cast("bigint").alias("_place"), *measures)
+    # An entity has at most a row per place, unless the input repeats cells.
+    order = W.partitionBy(entity).orderBy("_place")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = begin.unionByName(known).withColumns(
+        {f"_known_{i}": F.last(m, ignorenulls=True).over(so_far) for i, m in enumerate(measures)}
+        | {"_first": F.min("_place").over(so_far), "_next": F.lead("_place").over(order)})
+    rows = with_scalar(rows.where(F.col("_first") == 0), length)
+    start = F.greatest(F.col("_place"), F.lit(1))
+    # Of a repeated cell only the last row has a gap to fill, the others make themselves.
+    end = F.greatest(F.coalesce(F.col("_next") - 1, F.col("_length")), F.col("_place"))
+    cells = rows.where(start <= end).select(
+        entity, F.explode(F.sequence(start, end)).alias("_place"), *[F.col(f"_known_{i}").alias(m) for i, m in enumerate(measures)])
+    return cells.join(places, "_place").select(entity, period, *measures)
 
 
 def aggregate_fact(df: DataFrame, grain: Sequence[str], measures: Mapping[str, str], *,

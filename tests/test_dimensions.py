@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,28 @@ def test_coverage_and_densify(spark):
         ("a", 1, 5), ("a", 2, 5), ("a", 3, 7), ("b", 1, None), ("b", 2, 1), ("b", 3, 1)]
 
 
+def test_carry_without_a_grid(spark):
+    rng = random.Random(5)
+    cells = [(e, p, rng.choice([None, rng.randrange(99)]), rng.randrange(99)) for e in "abcde" for p in range(60) if rng.random() < 0.1]
+    df = spark.createDataFrame([*cells, ("stranger", 3, 1, 1), (None, 5, 1, 1), ("a", 999, 1, 1)], "e string, p int, v int, w int")
+    spine = spark.createDataFrame([(p,) for p in range(0, 60, 2)] * 2, "p int")
+    wanted = [*"abcde", "silent"]
+    got = D.densify(df, spine, spark.createDataFrame([(e,) for e in wanted], "e string"), "e", "p", ["v", "w"], "carry")
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+    expected, state = [], {}
+    for e in wanted:
+        for p in range(0, 60, 2):
+            for _, _, v, w in [c for c in cells if c[:2] == (e, p)]:
+                old = state.get(e, (None, None))
+                state[e] = (old[0] if v is None else v, w)
+            expected.append((e, p, *state.get(e, (None, None))))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+    # Repeated cells stay, the gap behind them is filled once.
+    twice = spark.createDataFrame([("a", 2, 1), ("a", 2, 1)], "e string, p int, v int")
+    out = D.densify(twice, spine.where("p < 6"), twice, "e", "p", ["v"], "carry")
+    assert rows(out) == [("a", 0, None), ("a", 2, 1), ("a", 2, 1), ("a", 4, 1)]
+
+
 def test_aggregate_fact_by_additivity(spark):
     df = spark.createDataFrame([("x", 1, 1, 10), ("x", 1, 2, 30), ("x", 2, 1, 5)], "g string, e int, p int, v int").select(
         "*", F.col("v").alias("flow"), F.col("v").alias("level"), F.col("v").alias("ratio"))
