@@ -34,6 +34,7 @@ RETURN_REASONS = [
     "Size/fit issue",
 ]
 
+# The four card types.
 CARD_TYPES = ["SuperiorCard", "Distinguish", "ColonialVoice", "Vista"]
 
 # The first load of every dimension.
