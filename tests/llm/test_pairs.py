@@ -372,6 +372,57 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_verdicts_of_unruled_urls_by_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    made = [f"https://{word('abcdeno')}.org/{word('xyabc')}" for _ in range(60)] + [f"http://{word('vwxenoy')}.com/de/{word('uvwab')}" for _ in range(60)]
+    made += [f"https://{word('abcdenovwxy')}.net/{word('xyabcuvw')}" for _ in range(80)] + [None, "", "http://É.net/ü"]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string")
+    got = {r.page_id: (r.score, r.verdict, r.half) for r in urls.judge_urls(df, RULES).withColumn(
+        "half", F.pmod(F.xxhash64("host"), F.lit(2))).collect()}
+    judged = [(*brute_url(u), got[i][2]) for i, u in enumerate(made)]
+
+    def padded_grams(text):
+        text = "\x02" * urls.ORDER + text + "\x03"
+        return [text[i:i + urls.ORDER + 1] for i in range(len(text) - urls.ORDER)]
+
+    def model(kind, halves):
+        levels = [{} for _ in range(urls.ORDER + 2)]
+        for host, path, _, verdict, half in judged:
+            for g in padded_grams(host + path) if verdict == kind and half in halves else ():
+                for size in range(1, urls.ORDER + 2):
+                    after = levels[size].setdefault(g[-size:-1], {})
+                    after[g[-1]] = after.get(g[-1], 0) + 1
+
+        def p(g):
+            if not g:
+                return 1 / urls.ALPHABET
+            after = levels[len(g)].get(g[:-1], {})
+            n, t = sum(after.values()), len(after)
+            return (after.get(g[-1], 0) + t * p(g[1:])) / (n + t) if n else p(g[1:])
+
+        return p
+
+    def score(text, halves):
+        good, bad = model("allow", halves), model("block", halves)
+        return float(np.mean([np.log(good(g)) - np.log(bad(g)) for g in padded_grams(text)]))
+
+    labelled = [(int(np.floor(score(host + path, (1 - half,)) * urls.FINENESS)), verdict) for host, path, _, verdict, half in judged if verdict]
+    n = {v: sum(x[1] == v for x in labelled) for v in ("allow", "block")}
+    best, limit = 0.0, None
+    for c in sorted({c for c, _ in labelled}, reverse=True):
+        gain = sum(x[0] >= c and x[1] == "allow" for x in labelled) / n["allow"] - sum(x[0] >= c and x[1] == "block" for x in labelled) / n["block"]
+        if gain >= best:
+            best, limit = gain, c / urls.FINENESS
+    verdicts = set()
+    for i, (host, path, _, verdict, _) in enumerate(judged):
+        own = score(host + path, (0, 1))
+        assert got[i][0] == pytest.approx(own, abs=1e-9)
+        assert got[i][1] == (verdict or ("allow" if own >= limit else "block"))
+        verdicts |= set() if verdict else {got[i][1]}
+    assert verdicts == {"allow", "block"}
+
+
 def test_markov_probabilities_by_hand(spark):
     rows = [("ab", "allow"), ("abc", "allow"), ("ba", "block")]
     counts = {}
