@@ -7,8 +7,9 @@ each keeps the bits in which its two paths differ, and is dropped as soon as the
 nodes whose fingerprints are all in one class already is dropped too, which keeps dense groups of near copies cheap without losing a link
 that matters. Each task hands on a forest: at most one link per fingerprint and block.
 
-The pipeline's stage (``keep_one``) asks for more: five-word shingles of a Jaccard similarity of 0.8. Such pairs differ in up to 13 bits, where blocks
-are too short to keep pairs apart, so its candidates come from bands of MinHash values instead.
+The pipeline's stage (``keep_one``) asks for more: five-word shingles of a Jaccard similarity of 0.8. Its candidates are the classes that the tries find among
+fingerprints of such shingles. Pairs of that similarity differ in up to 13 bits, though, where blocks are too short to keep pairs apart, so bands of MinHash values add
+the candidates beyond the budget. All are confirmed on the exact sets.
 """
 
 from __future__ import annotations
@@ -460,14 +461,20 @@ def class_links(placed: DataFrame, sets: DataFrame, similarity: float, piece: in
     return with_sets.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
 
 
-def overlap_links(nodes: DataFrame, similarity: float) -> DataFrame:
+def class_keys(hashed: DataFrame) -> DataFrame:
+    """A key (node, key) for every class of nodes whose fingerprints the tries link. ``hashed`` has a row per distinct set: ``node`` and ``fp``."""
+    found = near_duplicates(materialize(hashed), "node")
+    return materialize(found.select("node", F.xxhash64("class_fp", F.lit("class")).alias("key")))
+
+
+def overlap_links(nodes: DataFrame, similarity: float, classes: DataFrame) -> DataFrame:
     """Links (a, b) that connect the classes of nodes whose shingle sets are similar.
 
-    ``nodes`` has a row per distinct set: ``node``, ``bands`` (keys) and ``text``, and should be written out. Nodes that share a key are compared in
+    ``nodes`` has a row per distinct set: ``node``, ``bands`` (keys) and ``text``, and should be written out; ``classes`` adds a key per node. Nodes that share a key are compared in
     two passes. In the first each meets the pivots of its keys, which makes one class of a dense group for a few pairs a
     node. The second (``class_links``) looks for links between the classes that still share a key.
     """
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", F.explode("bands").alias("key")).unionByName(classes)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[
         F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node")).getField("node").alias(f"p{i}") for i in range(PIVOTS)]).where("n > 1")
     pivots = F.element_at(F.array(*[F.col(f"p{i}") for i in range(PIVOTS)]), (F.pmod("key", F.lit(PIVOTS)) + 1).cast("int"))
@@ -496,8 +503,8 @@ def overlap_links(nodes: DataFrame, similarity: float) -> DataFrame:
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``df`` with one row of each group of near copies: the one with the smallest id, null last; of repeated rows any one.
 
-    Near copies share ``similarity`` of their five-word shingles (Jaccard), or are linked by a chain of such pairs. Candidates come from bands of MinHash
-    values and are confirmed on the exact sets. A pair at a similarity of 0.8 is missed with a chance of 7 in a million, nearer ones
+    Near copies share ``similarity`` of their five-word shingles (Jaccard), or are linked by a chain of such pairs. Candidates are the classes of SimHash
+    fingerprints that the tries link and, for pairs of more differing bits, bands of MinHash values; all are confirmed on the exact sets. A pair at a similarity of 0.8 is missed with a chance of 7 in a million, nearer ones
     less often; texts with equal sets, among them all without words, never are.
     """
     plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
@@ -509,20 +516,23 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", simil
         import xxhash
 
         for batch in batches:
-            nodes, bands = [], []
+            nodes, fps, bands = [], [], []
             for raw in texts(batch.column(at)):
                 hashes = shingle_set(raw)
+                fps.append(fingerprint(raw, WORDS) if len(hashes) else None)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 bands.append(band_keys(hashes).view("<i8") if len(hashes) else [])
             node = pa.array(nodes, pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, node, pa.array(bands, pa.list_(pa.int64()))], [*batch.schema.names, "_node", "_bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, node, pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                                              [*batch.schema.names, "_node", "_fp", "_bands"])
 
-    schema = StructType([*rows.schema.fields, StructField("_node", LongType()), StructField("_bands", ArrayType(LongType()))])
+    schema = StructType([*rows.schema.fields, StructField("_node", LongType()), StructField("_fp", LongType()), StructField("_bands", ArrayType(LongType()))])
     rows = materialize(rows.mapInArrow(run, schema))
     one = rows.groupBy("_node").agg(F.min("_row").alias("_row"))
-    nodes = rows.join(one.select("_row"), "_row", "left_semi").select(
-        F.col("_node").alias("node"), F.col("_bands").alias("bands"), F.col(own_text).alias("text"))
-    parts = materialize(components(overlap_links(nodes, similarity)))
+    distinct = rows.join(one.select("_row"), "_row", "left_semi")
+    nodes = distinct.select(F.col("_node").alias("node"), F.col("_bands").alias("bands"), F.col(own_text).alias("text"))
+    classes = class_keys(distinct.where("_fp IS NOT NULL").select(F.col("_node").alias("node"), F.col("_fp").alias("fp")))
+    parts = materialize(components(overlap_links(nodes, similarity, classes)))
     found = rows.select(F.col(own_id).alias("_id"), "_row", F.col("_node").alias("node")).join(parts, "node", "left")
     first = found.groupBy(F.coalesce("root", "node").alias("class")).agg(
         F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).getField("_row").alias("_row"))

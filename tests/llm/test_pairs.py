@@ -94,6 +94,18 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_links_by_the_tries(spark, monkeypatch):
+    """Without any band, the pairs within the budget of bits are still found, and confirmed on the sets."""
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.empty(0, np.uint64))
+    words = [f"word{i}" for i in range(600)]
+    near = [" ".join(words + [f"end{i}"]) for i in range(6)]
+    bits = [simhash.fingerprint(t.encode(), simhash.WORDS) & ((1 << 64) - 1) for t in near]
+    assert all((b ^ bits[0]).bit_count() <= simhash.BUDGET for b in bits)
+    rows = [(i + 10, t) for i, t in enumerate(near)] + [(3, " ".join(f"other{i}" for i in range(80))), (4, ""), (5, None)]
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [3, 4, 10]
+
+
 def near_copy_classes(texts, similarity=0.8):
     """The number of the first text of each text's class: chains of five-word shingle sets with enough in common."""
     sets = []
