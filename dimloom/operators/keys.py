@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimloom.operators.relational import pieces
+
 SAMPLE = 2_000
 WITNESSES = 4
+# Digests in a slice that is tested before whole tables, and the most digests or values that one task groups.
+SLICE = 4_000_000
+PIECE = 1_000_000
 
 
 def key_columns(df: DataFrame) -> list[str]:
@@ -57,12 +62,13 @@ def agreements(rows: Sequence[tuple]) -> set[int]:
     return out
 
 
-def find_keys(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find_keys(df: DataFrame, sample: int = SAMPLE, slice_rows: int = SLICE) -> DataFrame:
     """All minimal column sets that identify a row of the whole table, however many columns they have.
 
     Two rows that agree in some columns rule out every set of those columns. Pairs from a bounded sample give the first such evidence; the smallest sets it leaves
-    open are the candidates. Those of one size are tested together in one exact pass over all rows, and pairs
-    that break a candidate become evidence for the next round, so the search ends when every candidate is confirmed. Columns with NULLs and
+    open are the candidates. Those of one size are tested together, and pairs that break a candidate become evidence for the next round. In a large table a
+    slice of the values goes first: all rows of a value are in it or none, so what repeats there is broken beyond doubt, and only what holds there
+    is moved whole. A key is confirmed by an exact pass over all rows alone, and the search ends when every candidate is. Columns with NULLs and
     floating-point columns belong to no key. A table with two equal rows, or without rows, has none.
     """
     result = "key string, columns int, rows bigint"
@@ -79,12 +85,22 @@ def find_keys(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
         """128 bits of the values of some columns."""
         return F.xxhash64(*members).alias("h"), F.xxhash64(F.lit(1), *reversed(members)).alias("g")
 
-    if not rows.groupBy(*digest(columns)).count().where("count > 1").isEmpty():
+    def repeats(sets: Sequence[Sequence[str]], slices: int = 1) -> DataFrame:
+        """(i, h, g) of the values that come more than once, in a slice of the values or in all. Keys hardly repeat, so rows are dealt out before they are counted."""
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *digest(m)) for i, m in enumerate(sets)])).alias("x")
+        found = rows.select(each).select("x.*")
+        if slices > 1:
+            found = found.where(F.pmod("g", F.lit(slices)) == 0)
+        dealt = found.repartition(pieces(spark, total * len(sets) // slices, PIECE), "i", "h", "g")
+        return dealt.groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+
+    if not repeats([columns]).isEmpty():
         return spark.createDataFrame([], result)
     # A draw by hash, so that reruns agree. A few more or fewer do no harm.
     drawn = rows.where(F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, sample / total)))).limit(2 * sample)
     evidence = set(maximal(agreements([tuple(r) for r in drawn.collect()])))
     confirmed: set[int] = set()
+    held: set[int] = set()  # not broken in a slice
     while True:
         candidates = least_sets(evidence, len(names))
         waiting = [c for c in candidates if c not in confirmed]
@@ -92,13 +108,21 @@ def find_keys(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
             break
         level = min(c.bit_count() for c in waiting)
         tested = [c for c in waiting if c.bit_count() == level]
+        fresh = [c for c in tested if c not in held]
+        slices = max(1, total * len(fresh) // slice_rows)
+        if slices > 1:
+            tested = fresh
         members = [[columns[i] for i in range(len(names)) if c >> i & 1] for c in tested]
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *digest(m)) for i, m in enumerate(members)])).alias("x")
-        repeated = rows.select(each).groupBy("x.i", "x.h", "x.g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        repeated = repeats(members, slices)
         # At most a few broken values per candidate come to the driver, and two rows of each.
         broken = repeated.groupBy("i").agg(F.slice(F.array_sort(F.collect_set(F.when(
             F.pmod("h", F.lit(1 << 10)) < WITNESSES, F.struct("h", "g")))), 1, WITNESSES).alias("some"), F.min(F.struct("h", "g")).alias("least")).collect()
-        confirmed |= {c for i, c in enumerate(tested) if i not in {b["i"] for b in broken}}
+        whole_ones = {c for i, c in enumerate(tested) if i not in {b["i"] for b in broken}}
+        if slices > 1:
+            held |= whole_ones
+        else:
+            confirmed |= whole_ones
         values = sorted({(b["i"], w["h"], w["g"]) for b in broken for w in [*b["some"], b["least"]]})
         if not values:
             continue

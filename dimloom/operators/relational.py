@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +12,15 @@ from pyspark.sql import types as T
 from dimloom.operators.ordered import match_keys, row_numbers, sort_column
 
 
+def pieces(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions for that many rows: up to the session's own number, and more where a task would get over ``most`` rows.
+
+    A number given to ``repartition`` stays, while the adaptive planner would join partitions again by their compressed bytes, whatever a hash table of their rows takes.
+    """
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // most), min(own, -(-rows // 50_000)))
+
+
 def update_where(df: DataFrame, cond: Column, sets: Mapping[str, Column]) -> DataFrame:
     """UPDATE … SET … WHERE: every row, changed where the condition is true."""
     return df.withColumns({c: F.when(cond, v).otherwise(F.col(c)) for c, v in sets.items()})

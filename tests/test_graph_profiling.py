@@ -142,6 +142,15 @@ def test_keys_of_any_size_as_counted_by_hand(spark, sample):
     assert [k for (k,) in rows(K.find_keys(df, sample), "key")] == want and "a+b+c" in want
 
 
+@pytest.mark.parametrize("slice_rows", [10, 100, 1_000])
+def test_keys_by_slices_of_the_values(spark, slice_rows):
+    """What a slice leaves unbroken is tested whole, so a single repeated value decides, wherever it lies."""
+    df = spark.range(200).select(F.col("id").alias("a"), (F.col("id") % 20).alias("b"), F.floor(F.col("id") / 20).alias("c"),
+                                 F.when(F.col("id") == 77, 5).otherwise(F.col("id")).alias("d"))
+    assert rows(K.find_keys(df, 0, slice_rows), "key") == [("a",), ("b+c",), ("b+d",), ("c+d",)]
+    assert K.find_keys(df.unionByName(df.limit(1)), 0, slice_rows).count() == 0
+
+
 def test_least_sets_hit_every_difference():
     rng = random.Random(2)
     for _ in range(50):
