@@ -13,7 +13,7 @@ from dimloom.operators.loads import accumulating_snapshot, as_of_join, dedup, in
 from dimloom.operators.relational import allocate, apply_aggregate, assign_batches, partition_aggregate, top_k_per_group
 from dimloom.plans.catalog import query
 from dimloom.plans.staging import NOW, Staging, ntz
-from dimloom.plans.views import DETAIL_KEY, distinct_order_totals
+from dimloom.plans.views import DETAIL_KEY, distinct_order_totals, line_pieces
 
 FACT_COLUMNS = [
     "sales_order_id", "sales_order_detail_id", "customer_key", "product_key", "date_key", "address_key",
@@ -163,19 +163,18 @@ CALENDAR_LEVELS = ["year_number", "quarter_number", "month_number"]
 
 def sales_summary(t: Staging, dialect: str = "postgres") -> DataFrame:
     """GROUP BY ROLLUP (year, quarter, month), product, date. The fact is added up per (date, product) once; the concatenated
-    grouping sets then expand those sums, not the lines."""
+    grouping sets then expand those sums, not the lines. Product and date are in every set, so the sums are grouped where they lie:
+    a row per level takes the columns of its set, instead of grouping sets that would move four times the sums."""
     days = F.broadcast(t.dim_date.select("date_key", *CALENDAR_LEVELS))  # a calendar: some tens of thousands of rows
     base = t.fact("date_key", "product_key", "sales_order_id", "order_qty", "line_total").join(days.select("date_key"), "date_key")
     keys = ["product_key", "date_key"]
-    if dialect == "oracle":
-        totals = base.groupBy(*keys).agg(
-            F.sum("order_qty").alias("total_qty"), F.sum("line_total").alias("total_revenue"), F.count(F.lit(1)).alias("order_count"))
-    else:
-        totals = distinct_order_totals(base, keys)
-    sets = [[F.col(c) for c in CALENDAR_LEVELS[:n] + keys] for n in range(len(CALENDAR_LEVELS), -1, -1)]
+    totals = distinct_order_totals(base, keys, line_pieces(t), distinct=dialect != "oracle")
     measures = ["total_qty", "total_revenue", "order_count"]
-    rolled = totals.join(days, "date_key").groupingSets(sets, *CALENDAR_LEVELS, *keys).agg(
-        *[F.sum(m).alias(m) for m in measures], F.grouping("year_number").alias("_no_year"))
+    level = F.explode(F.array(*[F.lit(n) for n in range(len(CALENDAR_LEVELS), -1, -1)])).alias("_level")
+    expanded = totals.join(days, "date_key").select("*", level).withColumns(
+        {c: F.when(F.col("_level") > n, F.col(c)) for n, c in enumerate(CALENDAR_LEVELS)})
+    rolled = expanded.groupBy(*keys, *CALENDAR_LEVELS, "_level").agg(
+        *[F.sum(m).alias(m) for m in measures]).withColumn("_no_year", (F.col("_level") == 0).cast("int"))
     having = {"postgres": F.col("total_revenue") > 0, "sqlserver": (F.col("total_qty") > 0) | (F.col("_no_year") == 1),
               "oracle": F.col("_no_year") == 0}
     if dialect not in having:

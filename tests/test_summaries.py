@@ -1,9 +1,11 @@
 """Totals per date and product, added up in as many pieces as the lines ask for."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
-from dimloom.plans import views
+from dimloom.plans import facts, views
 from tests.conftest import rows
 
 
@@ -25,3 +27,21 @@ def test_totals_in_pieces(spark, lines, distinct):
     found = views.distinct_order_totals(lines, keys, 7, distinct)
     assert rows(found) == rows(wanted)
     assert found.rdd.getNumPartitions() == 7
+
+
+@pytest.mark.parametrize("dialect, count, having", [
+    ("postgres", "COUNT(DISTINCT sales_order_id)", "r > 0"),
+    ("sqlserver", "COUNT(DISTINCT sales_order_id)", "q > 0 OR top = 1"),
+    ("oracle", "COUNT(*)", "top = 0")])
+def test_rollup_stays_in_its_pieces(spark, lines, monkeypatch, dialect, count, having):
+    monkeypatch.setattr(views, "LINES", 40)
+    days = lines.select("date_key").distinct().where("date_key <> 20200105").select(
+        "date_key", F.lit(2020).alias("year_number"), F.lit(1).alias("quarter_number"), F.lit(1).alias("month_number"))
+    t = SimpleNamespace(spark=spark, dim_date=days, fact=lambda *columns: lines.select(*columns), table=lambda name: lines)
+    found = facts.sales_summary(t, dialect)
+    lines.join(days, "date_key").createOrReplaceTempView("summary_lines")
+    wanted = spark.sql(f"""SELECT date_key, product_key, q, r, n FROM (
+        SELECT date_key, product_key, SUM(order_qty) AS q, SUM(line_total) AS r, {count} AS n, GROUPING(year_number) AS top FROM summary_lines
+        GROUP BY date_key, product_key, ROLLUP (year_number, quarter_number, month_number)) WHERE {having}""")
+    assert rows(found) == rows(wanted)
+    assert found.rdd.getNumPartitions() == 10
