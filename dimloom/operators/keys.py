@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ WITNESSES = 4
 # Digests in a slice that is tested before whole tables, and the most digests or values that one task groups.
 SLICE = 4_000_000
 PIECE = 1_000_000
+# Pieces of a frequent value.
+SALTS = 16
 
 
 def key_columns(df: DataFrame) -> list[str]:
@@ -141,7 +143,8 @@ def find_composite_foreign_keys(tables: Mapping[str, DataFrame], keys: Mapping[s
 
     Level by level: a list of m columns can only lie in the key's first m columns if its first m - 1 do and the m-th lies in the m-th alone. So each
     level extends what the level before confirmed by the columns that pass alone, and all lists of a level are tested in one pass: distinct
-    values of the lists against distinct values of the keys' beginnings. Columns must have the key column's type; rows with a NULL in the list
+    values of the lists against distinct values of the keys' beginnings. Values are dealt out before they are made distinct, into as many pieces as their
+    number asks for; a salt spreads frequent ones first. Columns must have the key column's type; rows with a NULL in the list
     are left out, and a list without any other row does not count. A key is not tested against itself.
     """
     spark = next(iter(tables.values())).sparkSession
@@ -149,25 +152,35 @@ def find_composite_foreign_keys(tables: Mapping[str, DataFrame], keys: Mapping[s
     def kind(table: str, column: str) -> str:
         return tables[table].schema[column].dataType.simpleString()
 
-    def values(table: str, lists: Sequence[tuple[int, Sequence[str]]]) -> DataFrame:
-        items = [F.struct(F.lit(i).alias("i"), F.array(*[F.col(f"`{c}`").cast("string") for c in cs]).alias("v")) for i, cs in lists]
-        return tables[table].select(F.inline(F.array(*items))).where(~F.exists("v", F.isnull)).distinct()
+    @cache
+    def rows_of(table: str) -> int:
+        return tables[table].count()
+
+    def values(by_table: Mapping[str, Sequence[tuple[int, int, Sequence[str]]]], parts: int) -> DataFrame:
+        """Distinct (i, head, v) of numbered lists of columns, dealt out by head and v."""
+        found = []
+        for table, lists in by_table.items():
+            items = [F.struct(F.lit(i).alias("i"), F.lit(head).alias("head"), F.array(*[F.col(f"`{c}`").cast("string") for c in cs]).alias("v"))
+                     for i, head, cs in lists]
+            salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in sorted({c for *_, cs in lists for c in cs})]), F.lit(SALTS)).alias("salt")
+            found.append(tables[table].select(salt, F.inline(F.array(*items))).where(~F.exists("v", F.isnull)))
+        spread = reduce(DataFrame.unionByName, found).repartition(parts, "head", "v", "salt").distinct()
+        return spread.drop("salt").repartition(parts, "head", "v").distinct()
 
     def confirmed(tests: Sequence[tuple[str, tuple[str, ...], str, tuple[str, ...]]]) -> list[int]:
         """The numbers of the tests (child, columns, parent, key columns) that hold."""
         if not tests:
             return []
-        by_child: dict[str, list] = {}
+        by_child, by_parent = {}, {}
         heads = {h: n for n, h in enumerate(sorted({(p, k) for _, _, p, k in tests}))}
-        for i, (child, cs, _, _) in enumerate(tests):
-            by_child.setdefault(child, []).append((i, cs))
-        children = reduce(DataFrame.unionByName, [values(t, lists) for t, lists in by_child.items()])
-        head = spark.createDataFrame([(i, heads[p, k]) for i, (_, _, p, k) in enumerate(tests)], "i int, head int")
-        by_parent: dict[str, list] = {}
+        for i, (child, cs, parent, key) in enumerate(tests):
+            by_child.setdefault(child, []).append((i, heads[parent, key], cs))
         for (p, k), n in heads.items():
-            by_parent.setdefault(p, []).append((n, k))
-        known = reduce(DataFrame.unionByName, [values(t, lists) for t, lists in by_parent.items()]).withColumnRenamed("i", "head").withColumn("hit", F.lit(1))
-        met = children.join(F.broadcast(head), "i").join(known, ["head", "v"], "left")
+            by_parent.setdefault(p, []).append((n, n, k))
+        sizes = [rows_of(t) * len(lists) for by in (by_child, by_parent) for t, lists in by.items()]
+        parts = pieces(spark, sum(sizes), PIECE)
+        known = values(by_parent, parts).select("head", "v", F.lit(1).alias("hit"))
+        met = values(by_child, parts).join(known, ["head", "v"], "left")
         return [r["i"] for r in met.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k")).where("n = k").collect()]
 
     alone = [(t, (c,), p, (k,)) for p, ks in keys.items() for k in ks for t, df in tables.items() for c in df.columns if kind(t, c) == kind(p, k)]

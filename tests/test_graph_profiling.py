@@ -151,6 +151,16 @@ def test_keys_by_slices_of_the_values(spark, slice_rows):
     assert K.find_keys(df.unionByName(df.limit(1)), 0, slice_rows).count() == 0
 
 
+def test_composite_foreign_keys_in_pieces(spark, monkeypatch):
+    """Many pieces and frequent values give what one piece gives."""
+    parent = spark.range(300).select((F.col("id") % 3).alias("p"), F.col("id").alias("q"))
+    child = spark.range(900).select((F.col("id") % 3).alias("a"), (F.col("id") % 300).alias("b"), (F.col("id") % 301).alias("c"))
+    whole = rows(K.find_composite_foreign_keys({"parent": parent, "child": child}, {"parent": ["p", "q"]}), "child", "columns")
+    monkeypatch.setattr(K, "PIECE", 500)
+    assert rows(K.find_composite_foreign_keys({"parent": parent, "child": child}, {"parent": ["p", "q"]}), "child", "columns") == whole
+    assert ("child", "a+b") in whole and ("child", "a+c") not in whole
+
+
 def test_least_sets_hit_every_difference():
     rng = random.Random(2)
     for _ in range(50):
