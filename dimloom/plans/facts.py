@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dimloom.functions.scalar import date_key
@@ -13,7 +13,7 @@ from dimloom.operators.loads import accumulating_snapshot, as_of_join, dedup, in
 from dimloom.operators.relational import allocate, apply_aggregate, assign_batches, partition_aggregate, top_k_per_group
 from dimloom.plans.catalog import query
 from dimloom.plans.staging import NOW, Staging, ntz
-from dimloom.plans.views import DETAIL_KEY, distinct_order_totals, line_pieces
+from dimloom.plans.views import DETAIL_KEY, distinct_order_totals, frequent_buckets, line_pieces
 
 FACT_COLUMNS = [
     "sales_order_id", "sales_order_detail_id", "customer_key", "product_key", "date_key", "address_key",
@@ -33,7 +33,8 @@ def sales_fact_rows(t: Staging, lines: DataFrame | None = None, *, address: str
     The dimensions that hang off the order are resolved on the header, before the join
     with the many times larger lines. Only the six-row status table has a broadcast hint.
     Address and card are left joins on unique keys: they change no rows, so a reader that
-    does not want their key does not pay for them.
+    does not want their key does not pay for them. Lines meet the products first, while they are
+    narrow, and lie by order from then on; what follows from their other columns comes last.
     """
     h = (header if header is not None else t.stg_sales_order_header).select(
         "sales_order_id", "customer_id", "bill_to_address_id", "credit_card_id", "status",
@@ -45,23 +46,33 @@ def sales_fact_rows(t: Staging, lines: DataFrame | None = None, *, address: str
                    "bill_to_address_id", address)
     if "credit_card_key" in columns:
         h = h.join(t.dim_credit_card.where("is_current").select("credit_card_id", "credit_card_key"), "credit_card_id", "left")
-    lines = lines if lines is not None else t.stg_sales_order_detail
-    return lines.join(h, "sales_order_id").join(t.product_keys.drop("product_name"), "product_id").select(*columns)
+    if lines is None:
+        lines = t.sale_lines if "unit_price" in columns else t.stg_sales_order_detail
+    rows = (lines if "product_key" in lines.columns else with_product_keys(t, lines)).join(h, "sales_order_id")
+    return (t.detail_columns(rows) if "_line" in lines.columns else rows).select(*columns)
+
+
+def with_product_keys(t: Staging, lines: DataFrame) -> DataFrame:
+    return lines.join(t.product_keys.drop("product_name"), "product_id")
+
+
+def lines_with_order(t: Staging, aggs: dict[str, Column]) -> DataFrame:
+    """Sale lines with their product's key and aggregates over all lines of their order, whether their product is known or not."""
+    grouped = t.stg_sales_order_detail.groupBy("sales_order_id").agg(*[expr.alias(name) for name, expr in aggs.items()])
+    return with_product_keys(t, t.sale_lines).join(grouped, "sales_order_id")
 
 
 def discount_filtered(t: Staging, rule: str) -> DataFrame:
     """Lines that pass the correlated test of each dialect, one aggregate per order or product."""
-    lines = t.stg_sales_order_detail
     if rule == "avg_order_discount":  # at most the order's average + 0.5
-        agg = {"_sum": F.sum("unit_price_discount"), "_n": F.count("unit_price_discount")}
-        kept = partition_aggregate(lines, ["sales_order_id"], agg, keys_not_null=True)
+        kept = lines_with_order(t, {"_sum": F.sum("unit_price_discount"), "_n": F.count("unit_price_discount")})
         return kept.where(F.col("unit_price_discount") <= F.col("_sum") / F.col("_n") + F.lit(0.5)).drop("_sum", "_n")
     if rule == "max_order_discount":  # at most the order's maximum
-        kept = partition_aggregate(lines, ["sales_order_id"], {"_max": F.max("unit_price_discount")}, keys_not_null=True)
+        kept = lines_with_order(t, {"_max": F.max("unit_price_discount")})
         return kept.where(F.col("unit_price_discount") <= F.col("_max")).drop("_max")
     if rule == "product_price":  # at least one hundredth of the product's average price
         agg = {"_sum": F.sum("unit_price"), "_n": F.count("unit_price")}
-        kept = partition_aggregate(lines, ["product_id"], agg, keys_not_null=True)
+        kept = partition_aggregate(t.stg_sales_order_detail, ["product_id"], agg, keys_not_null=True)
         return kept.where(F.col("unit_price").cast("double") >= F.col("_sum").cast("double") / F.col("_n") * F.lit(0.01)
                           ).drop("_sum", "_n")
     raise ValueError(f"unknown rule {rule}")
@@ -96,7 +107,7 @@ NOT_LOADED = """
 @query("load_fct_sales_incremental", "N6 M3 J15 P17", f"SELECT {FACT_OUT} FROM ({PG_FACT} AND {NOT_LOADED}) f")
 def load_fct_sales_incremental(t: Staging) -> DataFrame:
     """INCREMENTAL mode: the anti join comes first, so loaded lines reach no other join."""
-    fresh = incremental_append(loaded_fact_keys(t), discount_filtered(t, "avg_order_discount"), DETAIL_KEY)
+    fresh = incremental_append(loaded_fact_keys(t), t.detail_columns(discount_filtered(t, "avg_order_discount")), DETAIL_KEY)
     return sales_fact_rows(t, fresh)
 
 
@@ -163,18 +174,19 @@ CALENDAR_LEVELS = ["year_number", "quarter_number", "month_number"]
 
 def sales_summary(t: Staging, dialect: str = "postgres") -> DataFrame:
     """GROUP BY ROLLUP (year, quarter, month), product, date. The fact is added up per (date, product) once; the concatenated
-    grouping sets then expand those sums, not the lines. Product and date are in every set, so the sums are grouped where they lie:
-    a row per level takes the columns of its set, instead of grouping sets that would move four times the sums."""
+    grouping sets then expand those sums, not the lines. Product and date are in every set, so each row of a level is a group of
+    its own: a row per level takes the columns of its set, and nothing is moved or grouped again."""
     days = F.broadcast(t.dim_date.select("date_key", *CALENDAR_LEVELS))  # a calendar: some tens of thousands of rows
     base = t.fact("date_key", "product_key", "sales_order_id", "order_qty", "line_total").join(days.select("date_key"), "date_key")
     keys = ["product_key", "date_key"]
-    totals = distinct_order_totals(base, keys, line_pieces(t), distinct=dialect != "oracle")
+    # A stored fact is read once more to find its frequent keys; one that is still to be joined is not joined twice for that.
+    often = frequent_buckets(base, keys) if "fct_sales" in vars(t) else None
+    totals = distinct_order_totals(base, keys, line_pieces(t), distinct=dialect != "oracle", frequent=often)
     measures = ["total_qty", "total_revenue", "order_count"]
     level = F.explode(F.array(*[F.lit(n) for n in range(len(CALENDAR_LEVELS), -1, -1)])).alias("_level")
-    expanded = totals.join(days, "date_key").select("*", level).withColumns(
-        {c: F.when(F.col("_level") > n, F.col(c)) for n, c in enumerate(CALENDAR_LEVELS)})
-    rolled = expanded.groupBy(*keys, *CALENDAR_LEVELS, "_level").agg(
-        *[F.sum(m).alias(m) for m in measures]).withColumn("_no_year", (F.col("_level") == 0).cast("int"))
+    rolled = totals.join(days, "date_key").select("*", level).withColumns(
+        {c: F.when(F.col("_level") > n, F.col(c)) for n, c in enumerate(CALENDAR_LEVELS)}).withColumn(
+        "_no_year", (F.col("_level") == 0).cast("int"))
     having = {"postgres": F.col("total_revenue") > 0, "sqlserver": (F.col("total_qty") > 0) | (F.col("_no_year") == 1),
               "oracle": F.col("_no_year") == 0}
     if dialect not in having:

@@ -123,8 +123,8 @@ def replicate(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]]
     return spark.createDataFrame(report, COPY_REPORT)
 
 
-def replace_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """Replace a table's rows and return how many were written.
+def replace_rows(df: DataFrame, path: str, partition_by: Sequence[str] = (), **options: str) -> int:
+    """Replace a table's rows and return how many were written. ``options`` go to the writer.
 
     The new rows are written next to the target first and only then put in its place,
     so a failed write leaves the old table whole. The count is taken by the write itself.
@@ -136,7 +136,7 @@ def replace_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
         # An earlier swap stopped half way: the old table is still whole, take it back.
         files.move(outgoing, path)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").partitionBy(*partition_by).parquet(incoming)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(incoming)
     if files.exists(path):
         files.remove(outgoing)
         if not files.move(path, outgoing):
