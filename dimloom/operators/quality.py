@@ -73,15 +73,19 @@ def check_contract(tables: Mapping[str, DataFrame], contracts: Mapping[str, Tabl
 
 
 def check_non_empty(tables: Mapping[str, DataFrame], raise_on_empty: bool = True) -> DataFrame:
-    """Row counts of the inputs of a load; an empty one warns or stops the run."""
+    """Row counts of the inputs of a load; an empty one warns or stops the run.
+
+    The run stops in a filter: a column of its own is dropped, error and all, by a reader that only counts the rows.
+    """
     out = None
     for name, df in tables.items():
         row = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = row if out is None else out.unionByName(row)
-    verdict = F.when(F.col("rows") > 0, F.lit("ok"))
-    empty = F.raise_error(F.concat(F.lit("staging table is empty: "), F.col("table_name"))).cast("string") \
-        if raise_on_empty else F.lit("empty")
-    return out.withColumn("status", verdict.otherwise(empty))
+    filled = F.col("rows") > 0
+    if raise_on_empty:
+        stop = F.raise_error(F.concat(F.lit("staging table is empty: "), F.col("table_name"))).cast("boolean")
+        out = out.where(F.when(filled, True).otherwise(stop))
+    return out.withColumn("status", F.when(filled, "ok").otherwise("empty"))
 
 
 def freshness(df: DataFrame, column: str, now: Column, warn_hours: int = 24, error_hours: int = 48) -> DataFrame:

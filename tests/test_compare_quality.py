@@ -79,6 +79,17 @@ def test_non_empty(spark):
         Q.check_non_empty(tables).collect()
 
 
+def test_an_empty_table_stops_every_reader(spark):
+    """Counting the rows or reading the names alone asks for no status, and must not pass."""
+    full, empty = df(spark, [(1, "x"), (2, "y")]), df(spark, [])
+    for tables in ({"a": full, "b": empty}, {"b": empty, "a": full}, {"b": empty}):
+        for read in (lambda out: out.count(), lambda out: out.select("table_name").collect(), lambda out: out.select("rows").collect()):
+            with pytest.raises(Exception, match="staging table is empty: b"):
+                read(Q.check_non_empty(tables))
+        assert Q.check_non_empty(tables, raise_on_empty=False).count() == len(tables)
+    assert Q.check_non_empty({"a": full, "c": full}).count() == 2
+
+
 @pytest.mark.parametrize("hours,status", [(1, "pass"), (24, "pass"), (25, "warn"), (48, "warn"), (49, "error")])
 def test_freshness_levels(spark, hours, status):
     loaded = dt.datetime(2020, 1, 1)

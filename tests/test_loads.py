@@ -198,6 +198,29 @@ def test_steps_report_and_name_the_failing_one(spark):
         ("bad", "error", None, "division by zero"), ("one", "ok", 1, None), ("two", "skipped", None, None)]
 
 
+@pytest.mark.parametrize("empty", ["customer", "part", "orders", "supplier", None])
+def test_full_load_stops_before_it_writes_if_an_input_is_empty(spark, tmp_path, empty):
+    from dimloom.plans.reports import full_load
+    from dimloom.plans.staging import TABLES, Staging
+
+    day = dt.datetime(1998, 3, 1)
+    given = {
+        "customer": [(1, "Customer#1", 3, 10.0, "BUILDING"), (2, "Customer#2", 4, -1.0, "MACHINERY")],
+        "supplier": [(1, "Supplier#1", 1, 5.0)], "part": [(1, "red gear", "Brand#11", "ECONOMY", 7, 10.0)],
+        "orders": [(1, 1, "O", 9.0, day, "5-LOW"), (2, 2, "F", 9.0, day, "1-URGENT")],
+        "lineitem": [(o, 1, 1, n, 3.0, 100.25, 0.1, 0.0, "N", "O", day) for o, n in ((1, 1), (1, 2), (2, 1))]}
+    for name, table in given.items():
+        spark.createDataFrame([] if name == empty else table, TABLES[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    t, out = Staging(spark, str(tmp_path)), tmp_path / "out"
+    if empty is None:
+        report = rows(full_load(t, str(out)), "step", "name", "status", "rows")
+        assert report[0] == (0, "validate_staging_counts", "ok", 4) and report[3] == (3, "fct_sales", "ok", 3) and len(report) == 7
+    else:
+        with pytest.raises(RuntimeError, match=r"step 0 \(validate_staging_counts\) failed: .*staging table is empty: stg_"):
+            full_load(t, str(out))
+        assert not out.exists()
+
+
 # ---- the five change scenarios ------------------------------------------------------
 def test_delta_new_customer_gets_a_current_row(spark):
     out = L.scd2_merge(dim(spark, (1, "a", "x")), spark.createDataFrame([(1, "a", "x"), (99901, "new", "n")], SRC), ["id"], TRACKED, at(T1), surrogate="sk")
